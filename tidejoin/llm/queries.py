@@ -5,21 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import new_path, table
+from .decontaminate import contamination
 from .packing import pack
+from .simhash import SimHash, classes
 from .token_counts import length_histogram
 from .token_files import token_documents, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classes(table(spark, sf_dir, "documents"), SimHash(shingle=3, words=1, radius=2))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path, "word_bpe_49k.json", 2)
     return token_documents(spark, path)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 0)
 
@@ -29,7 +42,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_files, op6_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_files, op5_decontamination, op6_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
