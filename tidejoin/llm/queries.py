@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from .common import new_path, table
 from .decontaminate import contamination
 from .packing import pack
+from .secrets import scan
 from .simhash import SimHash, classes
 from .token_counts import length_histogram
 from .token_files import token_documents, write_token_files
+from .toxicity import THRESHOLD, fit, held_out, scored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +30,16 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(spark, path)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = scored(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -42,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_files, op5_decontamination, op6_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_secrets, op4_toxicity, op5_decontamination, op6_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
