@@ -33,10 +33,11 @@ from .common import written
 
 TRAIN_ROWS = 20_000
 FEATURES = 4096
-LEAST_COUNT = 8
-LEAST_Z = 4.0
+LEAST_COUNT = 3
+#: Least log-likelihood ratio (G statistic) between the classes.
+LEAST_G = 15.0
 THRESHOLD = 0.3
-L2 = 1e-3
+L2 = 1e-4
 COUNTERFACTUAL = 1.0
 STEPS = 400
 _WORD = re.compile(r"[^\W\d_]+")
@@ -77,11 +78,14 @@ class Model:
 
 
 def features(text: str | None, known: dict[str, float] | dict[str, int] | None = None) -> set[str]:
-    """Words of a text, in lower case, and their first 4 and 5 letters with a star; only the known ones if those are given."""
+    """Words of a text in lower case, their first 4 and 5 letters with a star, and with two stars if several different
+    words share them; only the known ones if those are given."""
     words = set(_WORD.findall((text or "").lower()))
-    if known is None:
-        return words | {w[:4] + "*" for w in words if len(w) > 4} | {w[:5] + "*" for w in words if len(w) > 5}
-    return {f for w in words for f in ((w, w[:4] + "*", w[:5] + "*") if len(w) > 5 else (w, w[:4] + "*") if len(w) > 4 else (w,)) if f in known}
+    stems = [w[:n] + "*" for n in (4, 5) for w in words if len(w) > n]
+    if known is not None:
+        words, stems = {w for w in words if w in known}, [s for s in stems if s in known or s + "*" in known]
+    found = words | {s if n == 1 else s + k for s, n in Counter(stems).items() for k in ("", "*")}
+    return found if known is None else {f for f in found if f in known}
 
 
 def swapped(text: str) -> str | None:
@@ -107,7 +111,7 @@ def held_out(column: str):
 
 
 def choose_features(rows: DataFrame, most: int = FEATURES) -> tuple[list[str], int, int]:
-    """The features whose shares among toxic and other rows differ most, in standard errors; and the rows of both classes."""
+    """The features whose shares among toxic and other rows differ most, by log-likelihood ratio; and the rows of both classes."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +126,10 @@ def choose_features(rows: DataFrame, most: int = FEATURES) -> tuple[list[str], i
     if not n1 or not n0:
         return [], n1, n0
     total = rows.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    a, b = (F.col("t") + 0.5) / (n1 + 1), (F.col("c") + 0.5) / (n0 + 1)
-    z = F.abs(a - b) / F.sqrt(a * (1 - a) / n1 + b * (1 - b) / n0)
-    best = total.where(F.col("t") + F.col("c") >= LEAST_COUNT).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(most)
+    share = n1 / (n1 + n0)
+    seen = F.col("t") + F.col("c")
+    part = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (seen * p))).otherwise(0)
+    best = total.where(seen >= LEAST_COUNT).withColumn("g", 2 * (part("t", share) + part("c", 1 - share))).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "feature").limit(most)
     return [r.feature for r in best.select("feature").collect()], n1, n0
 
 
