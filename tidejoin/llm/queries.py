@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import new_path, table
 from .decontaminate import contamination
+from .gif import stored
+from .html_text import main_text, trained_on
 from .packing import pack
 from .secrets import scan
 from .simhash import SimHash, classes
@@ -49,12 +51,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 0)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return main_text(pages, trained_on(pages), ["page_id", "url"])
+
+
+def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_secrets, op4_toxicity, op5_decontamination, op6_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_secrets, op4_toxicity, op5_decontamination, op6_packing, op7_html_text, op9_gif, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
