@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .gif import stored
 from .html_text import main_text, trained_on
 from .packing import pack
+from .pii import pseudonymised
 from .secrets import scan
 from .simhash import SimHash, classes
 from .token_counts import length_histogram
@@ -56,6 +57,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(pages, trained_on(pages), ["page_id", "url"])
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(table(spark, sf_dir, "documents"))
 
@@ -65,7 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_secrets, op4_toxicity, op5_decontamination, op6_packing, op7_html_text, op9_gif, op10_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_secrets, op4_toxicity, op5_decontamination, op6_packing, op7_html_text, op8_pii, op9_gif, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
