@@ -12,6 +12,10 @@
    spanning forest of its links, not the links.
 5. Components of all forests give each document its class.
 
+``near_duplicates`` is the general stage: five-word shingles, wide fingerprints, and
+an exact check of each forest edge, so that documents are joined by similarities
+(Jaccard, of sets of shingles) of ``least`` or more only.
+
 Nulls count as empty texts; an empty text has fingerprint zero and is linked like
 any other; equal rows share a class; an empty table gives an empty result; a row
 without doc_id gets the class of its fingerprint; other columns are not read.
@@ -141,11 +145,43 @@ def tile_links(fp: np.ndarray, pc: np.ndarray, side: np.ndarray, radius: int, ro
             yield own[i], other[j]
 
 
-def forest(fp: np.ndarray, pc: np.ndarray, side: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what the links of a pair of tiles join."""
+def nearest_forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a minimum spanning forest (rounds of each component's nearest link), so that joins go by the closest pairs."""
+    order = np.argsort(d, kind="stable")
+    i, j, label, out = i[order], j[order], np.arange(n), []
+    while True:
+        a, b = label[i], label[j]
+        if not (apart := a != b).any():
+            break
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        best = np.full(n, len(i))
+        np.minimum.at(best, a, np.arange(len(i)))
+        np.minimum.at(best, b, np.arange(len(i)))
+        roots = np.flatnonzero(best < len(i))
+        link = best[roots]
+        parent = np.arange(n)
+        parent[roots] = np.where(a[link] == roots, b[link], a[link])
+        mutual = (parent[parent] == np.arange(n)) & (np.arange(n) < parent)
+        parent[mutual] = np.flatnonzero(mutual)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label, link = parent[label], np.unique(link)
+        out.append((i[link], j[link]))
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+
+
+def forest(fp: np.ndarray, pc: np.ndarray, side: np.ndarray, rep: np.ndarray, radius: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what the links of a pair of tiles join; if ``nearest``, edges between close pairs."""
     if len(rep) == 2:
         near = int(np.bitwise_count(fp[0] ^ fp[1]).sum()) <= radius
         return (rep[1:], rep[:1]) if near else (rep[:0], rep[:0])
+    if nearest:
+        links = list(tile_links(fp, pc, side, radius))
+        i, j = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
+        i, j = i[i != j], j[i != j]
+        near = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1)
+        i, j = nearest_forest(len(rep), i, j, near)
+        return rep[i], rep[j]
     label = joined_labels(len(rep), tile_links(fp, pc, side, radius))
     own = np.flatnonzero(label != np.arange(len(rep)))
     return rep[own], rep[label[own]]
@@ -188,7 +224,7 @@ def tile_edges(nodes: DataFrame, how: SimHash, tile: int = TILE) -> DataFrame:
                 held, starts = rest.to_batches(), starts[:-1]
             pc, side, rep = (table.column(x).to_numpy() for x in ("pc", "side", "rep"))
             fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(n, -1)
-            edges = [forest(fp[a:b], pc[a:b], side[a:b], rep[a:b], how.radius) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b - a > 1]
+            edges = [forest(fp[a:b], pc[a:b], side[a:b], rep[a:b], how.radius, bool(how.min_keys)) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b - a > 1]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[k] for e in edges] or [np.zeros(0, np.int64)])) for k in (0, 1)], ["a", "b"])
 
     # a task gets whole pairs of tiles, each of 2 * tile rows at most
@@ -215,3 +251,43 @@ def classes(docs: DataFrame, how: SimHash = SimHash(), tile: int = TILE, keep: C
     found = components(keep(edges) if keep else edges, "a", "b")
     named = nodes.select("fp", "rep").join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.select("doc_id", "fp").join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+#: Five-word shingles and 256 bits; similarity 0.8 means 39 differing bits on average and over 60 hardly ever.
+WIDE = SimHash(shingle=5, words=4, radius=60, min_keys=8, distinct=True)
+
+
+def alike(docs: DataFrame, edges: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The edges (a, b) of doc_ids whose texts have a Jaccard similarity of ``least`` or more."""
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle).astype("<u4")).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "s"])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = (np.frombuffer(v.as_py(), "<u4") for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ids = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
+    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = written(named.mapInArrow(hashed, "doc_id long, s binary"), "shingle-sets")
+    pairs = edges.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
+    return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, how: SimHash = WIDE, least: float = 0.8) -> DataFrame:
+    """``doc_id, component_id`` of each document; texts with equal fingerprints or of similarity ``least`` share a component."""
+    return classes(docs, how, keep=lambda edges: alike(docs, edges, how.shingle, least)).select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, how: SimHash = WIDE, least: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group, that of the smallest doc_id; rows without doc_id stay."""
+    gone = near_duplicates(docs, how, least).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
