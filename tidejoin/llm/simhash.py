@@ -37,6 +37,8 @@ from .components import components
 
 SEED = 42
 TILE = 2048
+#: Edge-disjoint spanning forests of a pair of tiles whose edges are checked.
+FORESTS = 2
 
 
 @dataclass(frozen=True)
@@ -178,10 +180,15 @@ def forest(fp: np.ndarray, pc: np.ndarray, side: np.ndarray, rep: np.ndarray, ra
     if nearest:
         links = list(tile_links(fp, pc, side, radius))
         i, j = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
-        i, j = i[i != j], j[i != j]
+        i, j = (np.minimum(i, j)[i != j], np.maximum(i, j)[i != j])
         near = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1)
-        i, j = nearest_forest(len(rep), i, j, near)
-        return rep[i], rep[j]
+        out = []
+        for _ in range(FORESTS):  # a pair that fails the check may have others beside it
+            a, b = nearest_forest(len(rep), i, j, near)
+            out.append((rep[a], rep[b]))
+            rest = ~np.isin(i * len(rep) + j, a * len(rep) + b)
+            i, j, near = i[rest], j[rest], near[rest]
+        return tuple(np.concatenate([o[k] for o in out]) for k in (0, 1))
     label = joined_labels(len(rep), tile_links(fp, pc, side, radius))
     own = np.flatnonzero(label != np.arange(len(rep)))
     return rep[own], rep[label[own]]
