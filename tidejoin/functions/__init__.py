@@ -1,0 +1 @@
+"""Scalar functions: money texts, discounts, revenue."""

@@ -1,0 +1 @@
+"""Operators over a foreign-key chain: joins, liveness, signed deltas, aggregates, rankings, checks."""

@@ -1,0 +1 @@
+"""Declarative descriptions of foreign-key chains."""

@@ -1,0 +1 @@
+"""Readers: Parquet tables, pipe-delimited tables, update sets."""
