@@ -5,8 +5,9 @@ from fixtures import CHAIN, frames, tables
 from pyspark.sql import functions as F
 from test_operators import as_logs, brute, random_changes, view
 
+from tidejoin.operators import metrics
 from tidejoin.operators.changelog import mixed
-from tidejoin.streaming.maintainer import Maintainer, Policy, run
+from tidejoin.streaming.maintainer import Maintainer, Policy, run, start
 from tidejoin.streaming.queries import unfiltered, write_files
 from tidejoin.streaming.store import Store
 
@@ -39,6 +40,10 @@ def test_restart_replay_policies_and_compaction(spark, stream, tmp_path):
     assert view(store.view()) == first
     for i in (1, 2):
         parts[i].coalesce(1).write.mode("append").parquet(f"{base}/source/part={i}")
+    again = start(spark, f"{base}/source", schema, Maintainer(Store(spark, f"{base}/store", PLAIN, 2)), f"{base}/checkpoint")
+    assert again.awaitTermination(300)
+    run_record = metrics.summary(metrics.of_stream(spark, again.recentProgress, "stream")).first()
+    assert run_record.updates_total == parts[1].count() + parts[2].count() and 0 < run_record.processing_time_ms <= run_record.wall_time_ms
     top = run(spark, f"{base}/source", schema, Maintainer(Store(spark, f"{base}/store", PLAIN, 2), Policy.JOB_END), f"{base}/checkpoint")
     changes = random_changes(8, 3)
     want = brute({n: [r for r in dict.fromkeys(x[0] for x in c) for _ in range(sum(op for y, op, _ in c if y == r))] for n, c in changes.items()})

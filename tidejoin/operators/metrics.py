@@ -18,6 +18,14 @@ def record(spark: SparkSession, **values) -> DataFrame:
     return row.withColumn("run_id", F.coalesce("run_id", F.uuid()))
 
 
+def of_stream(spark: SparkSession, progress: list, job: str, parallelism: int = 1, join_deltas: int | None = None) -> DataFrame:
+    """A run's record from the progress reports of a streaming query (``query.recentProgress``)."""
+    took = [dict(p["durationMs"]) for p in progress]
+    total = lambda *names: sum(int(d.get(n, 0)) for d in took for n in names)
+    phases = {"load": total("latestOffset", "getBatch"), "plan": total("queryPlanning"), "join": total("addBatch"), "commit": total("walCommit", "commitOffsets")}
+    return record(spark, job=job, parallelism=parallelism, updates_total=sum(int(p["numInputRows"]) for p in progress), join_deltas_total=join_deltas, snapshots_total=len(progress), wall_time_ms=total("triggerExecution"), phases_ms=phases)
+
+
 def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
