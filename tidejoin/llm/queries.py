@@ -11,6 +11,7 @@ from .common import new_path, table
 from .decontaminate import contamination
 from .gif import stored
 from .html_text import main_text, trained_on
+from .oracles import ORACLES
 from .packing import pack
 from .pii import pseudonymised
 from .secrets import scan
@@ -74,4 +75,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
