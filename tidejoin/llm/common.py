@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +44,34 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def least_keys(keys: DataFrame, most: int) -> list[Row]:
+    """The ``most`` smallest different values of one column of hashes, on the driver.
+
+    Values above a bound that leaves about four times as many go first, so that no task sends more than its share.
+    """
+    name = keys.columns[0]
+    n = keys.agg(F.approx_count_distinct(name)).first()[0]
+    bound = -(2**63) + min(2**64 - 1, 4 * most * 2**64 // max(1, n))
+    return keys.where(F.col(name) <= bound).distinct().orderBy(name).limit(most).collect()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on for the next stage, beside the executor's JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; the worker's memory is given back when its task ends."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner

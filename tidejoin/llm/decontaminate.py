@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .tokens import slices
 
 WINDOW = 13
@@ -158,7 +158,7 @@ def index(docs: DataFrame) -> DataFrame:
                     [x.split()[0] for x in SEGMENT.split(", ")],
                 )
 
-    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SEGMENT), "postings", **_LARGE_VALUES)
+    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), SEGMENT), "postings", **_LARGE_VALUES)
 
 
 #: A few large values per file: the writer checks its sizes at each row.
@@ -191,7 +191,7 @@ def matched(segments: DataFrame, block: Block) -> DataFrame:
                 row |= {"hits": np.packbits(hit).tobytes(), "found_doc": [p[0] for p in sorted(pairs)], "found_item": [p[1] for p in sorted(pairs)]}
                 yield pa.RecordBatch.from_pylist([row], batch.schema)
 
-    return segments.mapInArrow(run, SEGMENT)
+    return segments.mapInArrow(lean(run), SEGMENT)
 
 
 def judged(segments: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def judged(segments: DataFrame) -> DataFrame:
                 sha = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(n), pa.array(hit[base[1:]] - hit[base[:-1]]), pa.array([len(i) for i in items], pa.int64()), pa.array(sha), pa.array(items, pa.list_(pa.string()))], [x.split()[0] for x in RESULT.split(", ")])
 
-    return segments.mapInArrow(run, RESULT)
+    return segments.mapInArrow(lean(run), RESULT)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = 0.05, most_words: int = BLOCK_WORDS) -> DataFrame:
@@ -249,6 +249,6 @@ def proximity(docs: DataFrame, items: DataFrame, width: int, most_words: int = B
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "begin", "end"])
 
-        own = segments.mapInArrow(run, "doc_id long, item_id string, begin long, end long")
+        own = segments.mapInArrow(lean(run), "doc_id long, item_id string, begin long, end long")
         out = own if out is None else out.unionByName(own)
     return out

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 Span = tuple[int, int, str]
 #: Order of kinds at equal starts.
 KINDS = ["assign", "access", "hex", "github", "npm", "jwt", "pem"]
@@ -156,7 +158,7 @@ def scan(docs: DataFrame) -> DataFrame:
             base = [hashlib.sha256(joined(s for s in own if s[2] in BASE).encode()).hexdigest() for own in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(base, pa.string()), pa.array([joined(own) for own in found], pa.string())], ["doc_id", *[x.split()[0] for x in SCAN.split(", ")]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {SCAN}")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), f"doc_id long, {SCAN}")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -169,4 +171,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             new = pa.array([redacted(t, spans(t)) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(run, schema)
+    return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(lean(run), schema)

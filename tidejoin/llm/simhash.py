@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .components import components
 
 SEED = 42
@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame, how: SimHash) -> DataFrame:
                 pc = [int(np.bitwise_count(f).sum()) for f in fps]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f.astype(">u8").tobytes() for f in fps], pa.binary()), pa.array(pc, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "pc", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary, pc int, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, fp binary, pc int, keys array<long>")
 
 
 def joined_labels(n: int, links: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -235,7 +235,7 @@ def tile_edges(nodes: DataFrame, how: SimHash, tile: int = TILE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[k] for e in edges] or [np.zeros(0, np.int64)])) for k in (0, 1)], ["a", "b"])
 
     # a task gets whole pairs of tiles, each of 2 * tile rows at most
-    return tile_rows(nodes, how.radius, tile).repartition(*names).sortWithinPartitions(*names, "rep").mapInArrow(run, "a long, b long")
+    return tile_rows(nodes, how.radius, tile).repartition(*names).sortWithinPartitions(*names, "rep").mapInArrow(lean(run), "a long, b long")
 
 
 def _lookahead(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
@@ -284,9 +284,9 @@ def alike(docs: DataFrame, edges: DataFrame, shingle: int, least: float) -> Data
 
     ids = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(named.mapInArrow(hashed, "doc_id long, s binary"), "shingle-sets")
+    sets = written(named.mapInArrow(lean(hashed), "doc_id long, s binary"), "shingle-sets")
     pairs = edges.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(lean(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, how: SimHash = WIDE, least: float = 0.8) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import lean, written
 from .tokens import encoder, slices
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,7 +38,7 @@ def length_counts(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZE
                 length, n = np.unique(encode(part.column("text"))[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(n.astype(np.int64))], ["n_tokens", "n"])
 
-    each = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "n_tokens long, n long")
+    each = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lean(count), "n_tokens long, n long")
     return each.groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import lean
 from .tokens import encoder, slices
 
 MAGIC = b"TPLN1\0"
@@ -128,7 +129,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     # few, large values: sizes are to be checked at each row, and planes are compressed already
     options = {"compression": "none", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.max": "2"}
-    ordered.mapInArrow(encode, TABLE).write.options(**options).parquet(path)
+    ordered.mapInArrow(lean(encode), TABLE).write.options(**options).parquet(path)
 
 
 def token_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +153,7 @@ def token_documents(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition of the writing job
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     starts = sizes.select("part", "seq", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("off")).join(parts, "part").select("part", "seq", (F.col("base") + F.col("off")).alias("first"))
-    read = files.select("part", "seq", "file").mapInArrow(decode, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    read = files.select("part", "seq", "file").mapInArrow(lean(decode), "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return read.join(starts, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

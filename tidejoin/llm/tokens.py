@@ -22,9 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Cached pieces a Python worker keeps at most (about 200 bytes each).
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 #: Text bytes encoded at a time; bounds the worker's memory.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _TO_LOWER = np.arange(256, dtype=np.uint8)
 _TO_LOWER[65:91] += 32
@@ -134,7 +134,10 @@ class PieceEncoder:
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.dtype.itemsize
         begin, per = (np.cumsum(size) - size)[codes], size[codes]
         end = np.concatenate([[0], np.cumsum(per)])
-        ids = np.frombuffer(b"".join(coded), self.dtype)[np.repeat(begin - end[:-1], per) + np.arange(end[-1])]
+        kind = np.int32 if end[-1] < 2**31 and size.sum() < 2**31 else np.int64
+        place = np.repeat((begin - end[:-1]).astype(kind), per)
+        place += np.arange(end[-1], dtype=kind)
+        ids = np.frombuffer(b"".join(coded), self.dtype)[place]
         at = end[np.searchsorted(starts, bounds)]
         lengths = np.diff(at)
         if odd.any():

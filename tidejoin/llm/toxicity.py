@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, release, written
 
 TRAIN_ROWS = 20_000
 FEATURES = 4096
@@ -125,7 +125,7 @@ def choose_features(rows: DataFrame, most: int = FEATURES) -> tuple[list[str], i
     n1, n0 = sizes.p, sizes.n - sizes.p
     if not n1 or not n0:
         return [], n1, n0
-    total = rows.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    total = rows.mapInArrow(lean(count), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     share = n1 / (n1 + n0)
     seen = F.col("t") + F.col("c")
     part = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (seen * p))).otherwise(0)
@@ -146,7 +146,7 @@ def sparse_rows(rows: DataFrame, chosen: list[str]) -> list[tuple[int, list[int]
             after = [None if o is None else sorted(number[f] for f in features(o, number)) for o in other]
             yield pa.RecordBatch.from_arrays([pa.array([int(y > 0) for y in batch.column("toxic").to_pylist()], pa.int32()), *(pa.array(x, pa.list_(pa.int32())) for x in (own, before, after))], ["y", "x", "a", "b"])
 
-    return [(r.y, r.x, r.a, r.b) for r in rows.mapInArrow(run, "y int, x array<int>, a array<int>, b array<int>").collect()]
+    return [(r.y, r.x, r.a, r.b) for r in rows.mapInArrow(lean(run), "y int, x array<int>, a array<int>, b array<int>").collect()]
 
 
 def _matrix(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +192,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1; higher means that the label is likelier."""
 
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(model.score).astype(float)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield texts.map(model.score).astype(float)
+        finally:
+            release()
 
     return docs.withColumn(score, F.pandas_udf(of, "double")(F.coalesce(F.col(text).cast("string"), F.lit(""))))
