@@ -17,7 +17,7 @@ from ..operators.aggregate import group_changes, positive
 from ..operators.changelog import OP, data_columns, unmixed
 from ..operators.delta import WEIGHT, delta_join
 from ..operators.fk_join import with_attributes
-from ..operators.topk import top_k
+from ..operators.topk import order, top_k
 from ..plans.chain import FkChain
 from .store import Store
 
@@ -83,7 +83,7 @@ class Maintainer:
         """The ranking after a version, with the dimension columns of that version."""
         rels = {r.name: self.current(r.name, version) for r in self.chain.rels[1:]}
         found = with_attributes(self.chain, self.ranked(version), rels)
-        return found.select(self.chain.group_key, "revenue", *self.chain.attributes)
+        return found.select(self.chain.group_key, "revenue", *self.chain.attributes).orderBy(*order(self.chain.group_key))
 
     def current(self, name: str, version: int) -> DataFrame:
         rows = self.store.state(name, version + 1)
