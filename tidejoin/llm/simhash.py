@@ -37,8 +37,8 @@ from .components import components
 
 SEED = 42
 TILE = 2048
-#: Edge-disjoint spanning forests of a pair of tiles whose edges are checked.
-FORESTS = 2
+#: For checked edges: rows of a tile, whose links are held at once, and bits of 256 at which a link hardly ever fails.
+CHECKED_TILE, SURE = 1024, 28
 
 
 @dataclass(frozen=True)
@@ -147,10 +147,10 @@ def tile_links(fp: np.ndarray, pc: np.ndarray, side: np.ndarray, radius: int, ro
             yield own[i], other[j]
 
 
-def nearest_forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a minimum spanning forest (rounds of each component's nearest link), so that joins go by the closest pairs."""
-    order = np.argsort(d, kind="stable")
-    i, j, label, out = i[order], j[order], np.arange(n), []
+def nearest_forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links in order of distance those of a minimum spanning forest (rounds of each component's nearest link), so
+    that joins go by the closest pairs; rows of equal labels are joined from the start."""
+    n, out = len(label), []
     while True:
         a, b = label[i], label[j]
         if not (apart := a != b).any():
@@ -172,23 +172,38 @@ def nearest_forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple
     return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
 
 
+def near_links(fp: np.ndarray, pc: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two edge-disjoint nearest forests of the links of a tile, or between two tiles.
+
+    Rows that a chain of links of ``SURE`` or less joins count as one between tiles (their own tile joins them) and in
+    the second forest: that one is for pairs that may fail the check.
+    """
+    n = len(fp)
+    links = [(a[keep], b[keep]) for a, b in tile_links(fp, pc, side, radius) for keep in ((a < b) if not side.any() else np.ones(len(a), bool),)]
+    i, j = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
+    d = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1)
+    order = np.argsort(d, kind="stable")
+    i, j, sure = i[order], j[order], int(np.searchsorted(d[order], SURE, "right"))
+    start = np.arange(n)
+    if side.any():
+        for s in (0, 1):
+            own = np.flatnonzero(side == s)
+            within = joined_labels(len(own), tile_links(fp[own], pc[own], np.zeros(len(own), np.int32), SURE))
+            start[own] = own[within]
+    first = nearest_forest(start, i, j)
+    rest = ~np.isin(i * n + j, first[0] * n + first[1])
+    second = nearest_forest(joined_labels(n, [(np.arange(n), start), (i[:sure], j[:sure])]), i[rest], j[rest])
+    return np.concatenate([first[0], second[0]]), np.concatenate([first[1], second[1]])
+
+
 def forest(fp: np.ndarray, pc: np.ndarray, side: np.ndarray, rep: np.ndarray, radius: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join what the links of a pair of tiles join; if ``nearest``, edges between close pairs."""
     if len(rep) == 2:
         near = int(np.bitwise_count(fp[0] ^ fp[1]).sum()) <= radius
         return (rep[1:], rep[:1]) if near else (rep[:0], rep[:0])
     if nearest:
-        links = list(tile_links(fp, pc, side, radius))
-        i, j = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
-        i, j = (np.minimum(i, j)[i != j], np.maximum(i, j)[i != j])
-        near = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1)
-        out = []
-        for _ in range(FORESTS):  # a pair that fails the check may have others beside it
-            a, b = nearest_forest(len(rep), i, j, near)
-            out.append((rep[a], rep[b]))
-            rest = ~np.isin(i * len(rep) + j, a * len(rep) + b)
-            i, j, near = i[rest], j[rest], near[rest]
-        return tuple(np.concatenate([o[k] for o in out]) for k in (0, 1))
+        i, j = near_links(fp, pc, side, radius)
+        return rep[i], rep[j]
     label = joined_labels(len(rep), tile_links(fp, pc, side, radius))
     own = np.flatnonzero(label != np.arange(len(rep)))
     return rep[own], rep[label[own]]
@@ -291,7 +306,7 @@ def alike(docs: DataFrame, edges: DataFrame, shingle: int, least: float) -> Data
 
 def near_duplicates(docs: DataFrame, how: SimHash = WIDE, least: float = 0.8) -> DataFrame:
     """``doc_id, component_id`` of each document; texts with equal fingerprints or of similarity ``least`` share a component."""
-    return classes(docs, how, keep=lambda edges: alike(docs, edges, how.shingle, least)).select("doc_id", "component_id")
+    return classes(docs, how, CHECKED_TILE, lambda edges: alike(docs, edges, how.shingle, least)).select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, how: SimHash = WIDE, least: float = 0.8) -> DataFrame:
