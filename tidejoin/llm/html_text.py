@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, least_keys
 from .boosting import Trees, fit
 from .tokens import slices
 
@@ -397,8 +398,13 @@ def pick_other(lines: list[list[str]], rng: random.Random) -> list[str]:
 
 def trained_on(pages: DataFrame, column: str = "html", most: int = TRAIN_PAGES) -> Trees:
     """A model fitted to layouts filled with the text of at most ``most`` pages, those with the least hash."""
-    few = pages.select(F.col(column).cast("string").alias("h")).where(F.length("h").between(1, TRAIN_CHARS)).select("h", F.xxhash64("h").alias("k")).dropDuplicates(["k"]).orderBy("k").limit(most)
-    return train([r.h for r in few.collect()])
+    usable = pages.select(F.col(column).cast("string").alias("h")).where(F.length("h").between(1, TRAIN_CHARS)).withColumn("k", F.xxhash64("h"))
+    # the keys are chosen by their numbers alone; only the chosen pages travel, equal ones once
+    keys = [r.k for r in least_keys(usable.select("k"), most)]
+    if not keys:
+        return train([])
+    few = usable.where(F.col("k").isin(keys)).groupBy("k").agg(F.min("h").alias("h"))
+    return train([r.h for r in few.orderBy("k").collect()])
 
 
 def main_text(pages: DataFrame, model: Trees, keys: list[str], column: str = "html") -> DataFrame:
@@ -412,4 +418,4 @@ def main_text(pages: DataFrame, model: Trees, keys: list[str], column: str = "ht
                 texts = extract(part.column("_html").to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keys, "text", "n_chars"])
 
-    return pages.select(*keys, F.col(column).cast("string").alias("_html")).mapInArrow(run, f"{ddl}, text string, n_chars long")
+    return pages.select(*keys, F.col(column).cast("string").alias("_html")).mapInArrow(lean(run), f"{ddl}, text string, n_chars long")
