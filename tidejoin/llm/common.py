@@ -46,6 +46,11 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_bound(n: int, most: int) -> int:
+    """A bound below which about four times ``most`` of n different 64-bit hashes lie, or all of them."""
+    return -(2**63) + min(2**64 - 1, 4 * most * 2**64 // max(1, n))
+
+
 def least_keys(keys: DataFrame, most: int) -> list[Row]:
     """The ``most`` smallest different values of one column of hashes, on the driver.
 
@@ -53,8 +58,7 @@ def least_keys(keys: DataFrame, most: int) -> list[Row]:
     """
     name = keys.columns[0]
     n = keys.agg(F.approx_count_distinct(name)).first()[0]
-    bound = -(2**63) + min(2**64 - 1, 4 * most * 2**64 // max(1, n))
-    return keys.where(F.col(name) <= bound).distinct().orderBy(name).limit(most).collect()
+    return keys.where(F.col(name) <= hash_bound(n, most)).distinct().orderBy(name).limit(most).collect()
 
 
 def release() -> None:

@@ -165,8 +165,9 @@ def index(docs: DataFrame) -> DataFrame:
 _LARGE_VALUES = {"compression": "none", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.max": "4"}
 
 
-def matched(segments: DataFrame, block: Block) -> DataFrame:
-    """The segments with the words that a window of the block covers added to ``hits``, and (document, item) to ``found``."""
+def matched(segments: DataFrame, block: Block, judge: bool = False) -> DataFrame:
+    """The segments with the words that a window of the block covers added to ``hits``, and (document, item) to ``found``;
+    if ``judge``, a row per document instead, from the same Python worker."""
     shared = segments.sparkSession.sparkContext.broadcast((list(block.terms), *(np.asarray(x, np.int64) for x in (block.seq, block.begin, block.length, block.item)), block.items))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,26 +192,22 @@ def matched(segments: DataFrame, block: Block) -> DataFrame:
                 row |= {"hits": np.packbits(hit).tobytes(), "found_doc": [p[0] for p in sorted(pairs)], "found_item": [p[1] for p in sorted(pairs)]}
                 yield pa.RecordBatch.from_pylist([row], batch.schema)
 
-    return segments.mapInArrow(lean(run), SEGMENT)
+    return segments.mapInArrow(lean(lambda batches: judged(run(batches))), RESULT) if judge else segments.mapInArrow(lean(run), SEGMENT)
 
 
-def judged(segments: DataFrame) -> DataFrame:
+def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document of matched segments."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.select(["doc_ids", "n_words", "hits", "found_doc", "found_item"]).to_pylist():
-                n = np.asarray(row["n_words"], np.int64)
-                base = np.concatenate([[0], np.cumsum(n + 1)])
-                hit = np.concatenate([[0], np.cumsum(np.unpackbits(np.frombuffer(row["hits"], np.uint8), count=int(base[-1])), dtype=np.int64)])
-                own: dict[int, list[str]] = {}
-                for d, i in zip(row["found_doc"], row["found_item"], strict=True):
-                    own.setdefault(d, []).append(i)
-                items = [sorted(own.get(d, [])) for d in range(len(n))]
-                sha = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(n), pa.array(hit[base[1:]] - hit[base[:-1]]), pa.array([len(i) for i in items], pa.int64()), pa.array(sha), pa.array(items, pa.list_(pa.string()))], [x.split()[0] for x in RESULT.split(", ")])
-
-    return segments.mapInArrow(lean(run), RESULT)
+    for batch in batches:
+        for row in batch.select(["doc_ids", "n_words", "hits", "found_doc", "found_item"]).to_pylist():
+            n = np.asarray(row["n_words"], np.int64)
+            base = np.concatenate([[0], np.cumsum(n + 1)])
+            hit = np.concatenate([[0], np.cumsum(np.unpackbits(np.frombuffer(row["hits"], np.uint8), count=int(base[-1])), dtype=np.int64)])
+            own: dict[int, list[str]] = {}
+            for d, i in zip(row["found_doc"], row["found_item"], strict=True):
+                own.setdefault(d, []).append(i)
+            items = [sorted(own.get(d, [])) for d in range(len(n))]
+            sha = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(n), pa.array(hit[base[1:]] - hit[base[:-1]]), pa.array([len(i) for i in items], pa.int64()), pa.array(sha), pa.array(items, pa.list_(pa.string()))], [x.split()[0] for x in RESULT.split(", ")])
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = 0.05, most_words: int = BLOCK_WORDS) -> DataFrame:
@@ -219,12 +216,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     A document word inside an occurrence of an item's window is hit; a document is contaminated
     if some word is hit and the hit words are at least ``share`` of all its words.
     """
-    segments, done = index(docs), 0
+    segments, waits = index(docs), None
     for block in blocks(items, window, most_words):
-        segments = matched(written(segments, "matched", **_LARGE_VALUES) if done else segments, block)
-        done += 1
+        if waits is not None:
+            segments = written(matched(segments, waits), "matched", **_LARGE_VALUES)
+        waits = block
+    found = matched(segments, waits, judge=True)
     least = int(round(1 / share))
-    return judged(segments).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(least) * F.col("n_hit") >= F.col("n_words")))
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(least) * F.col("n_hit") >= F.col("n_words")))
 
 
 def proximity(docs: DataFrame, items: DataFrame, width: int, most_words: int = BLOCK_WORDS) -> DataFrame:

@@ -37,8 +37,8 @@ from .components import components
 
 SEED = 42
 TILE = 2048
-#: For checked edges: rows of a tile, whose links are held at once, and bits of 256 at which a link hardly ever fails.
-CHECKED_TILE, SURE = 1024, 28
+#: For checked edges: rows of a tile, whose links are held at once.
+CHECKED_TILE = 1024
 
 
 @dataclass(frozen=True)
@@ -172,61 +172,57 @@ def nearest_forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.
     return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
 
 
-def near_links(fp: np.ndarray, pc: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two edge-disjoint nearest forests of the links of a tile, or between two tiles.
-
-    Rows that a chain of links of ``SURE`` or less joins count as one between tiles (their own tile joins them) and in
-    the second forest: that one is for pairs that may fail the check.
-    """
-    n = len(fp)
-    links = [(a[keep], b[keep]) for a, b in tile_links(fp, pc, side, radius) for keep in ((a < b) if not side.any() else np.ones(len(a), bool),)]
+def near_links(fp: np.ndarray, pc: np.ndarray, side: np.ndarray, label: np.ndarray, radius: int, forests: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edge-disjoint nearest forests of the links of a tile, or between two tiles; rows of equal labels are joined already."""
+    n, start = len(fp), np.unique(label, return_inverse=True)[1]
+    links = [(a[keep], b[keep]) for a, b in tile_links(fp, pc, side, radius) for keep in ((start[a] != start[b]) & ((a < b) | (side[a] != side[b])),)]
     i, j = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
-    d = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1)
-    order = np.argsort(d, kind="stable")
-    i, j, sure = i[order], j[order], int(np.searchsorted(d[order], SURE, "right"))
-    start = np.arange(n)
-    if side.any():
-        for s in (0, 1):
-            own = np.flatnonzero(side == s)
-            within = joined_labels(len(own), tile_links(fp[own], pc[own], np.zeros(len(own), np.int32), SURE))
-            start[own] = own[within]
-    first = nearest_forest(start, i, j)
-    rest = ~np.isin(i * n + j, first[0] * n + first[1])
-    second = nearest_forest(joined_labels(n, [(np.arange(n), start), (i[:sure], j[:sure])]), i[rest], j[rest])
-    return np.concatenate([first[0], second[0]]), np.concatenate([first[1], second[1]])
-
-
-def forest(fp: np.ndarray, pc: np.ndarray, side: np.ndarray, rep: np.ndarray, radius: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what the links of a pair of tiles join; if ``nearest``, edges between close pairs."""
+    order = np.argsort(np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1), kind="stable")
+    i, j, out = i[order], j[order], []
+    for _ in range(forests):  # a pair that fails the check may have others beside it
+        out.append(nearest_forest(start, i, j))
+        rest = ~np.isin(i * n + j, out[-1][0] * n + out[-1][1])
+        i, j = i[rest], j[rest]
+    return tuple(np.concatenate([o[k] for o in out]) for k in (0, 1))
+
+
+def forest(fp: np.ndarray, pc: np.ndarray, side: np.ndarray, rep: np.ndarray, radius: int, label: np.ndarray | None = None, forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what the links of a pair of tiles join; with labels, edges between close pairs of different labels."""
+    if label is not None:
+        i, j = near_links(fp, pc, side, label, radius, forests)
+        return rep[i], rep[j]
     if len(rep) == 2:
         near = int(np.bitwise_count(fp[0] ^ fp[1]).sum()) <= radius
         return (rep[1:], rep[:1]) if near else (rep[:0], rep[:0])
-    if nearest:
-        i, j = near_links(fp, pc, side, radius)
-        return rep[i], rep[j]
     label = joined_labels(len(rep), tile_links(fp, pc, side, radius))
     own = np.flatnonzero(label != np.arange(len(rep)))
     return rep[own], rep[label[own]]
 
 
-def tile_rows(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """Each node once for each pair of tiles that it takes part in."""
-    spread = nodes.select("fp", "pc", "rep", F.posexplode("keys").alias("band", "key"))
-    counts = spread.groupBy("band", "key", "pc").agg(F.count("*").alias("n"))
-    plan = counts.groupBy("band", "key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("pc", F.expr(f"(n + {tile} - 1) div {tile}").alias("k")))).alias("tiles")).where("total > 1")
+def tile_rows(nodes: DataFrame, how: SimHash, tile: int, within: bool) -> DataFrame:
+    """Each node once for each pair of tiles that it takes part in; if ``within``, only for its own tiles."""
+    # population counts in classes; a wide radius reaches the next class only
+    step = how.radius if how.min_keys else 1
+    reach = -(-how.radius // step)
+    spread = nodes.select("fp", "pc", "rep", "label", F.floor(F.col("pc") / step).cast("int").alias("cls"), F.posexplode("keys").alias("band", "key"))
+    counts = spread.groupBy("band", "key", "cls").agg(F.count("*").alias("n"))
+    plan = counts.groupBy("band", "key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("cls", F.expr(f"(n + {tile} - 1) div {tile}").alias("k")))).alias("tiles")).where("total > 1")
     rows = spread.join(plan, ["band", "key"])
-    small = rows.where(F.col("total") <= tile).select("band", "key", F.lit(-1).alias("p"), F.lit(0).alias("s"), F.lit(-1).alias("q"), F.lit(0).alias("t"), F.lit(0).alias("side"), "fp", "pc", "rep")
-    large = rows.where(F.col("total") > tile).withColumn("own", F.expr("pmod(xxhash64(fp), tiles[pc])"))
-    # tiles within reach, by population count and number
-    partners = F.expr(f"flatten(transform(filter(map_keys(tiles), x -> abs(x - pc) <= {radius}), x -> transform(sequence(0L, tiles[x] - 1), y -> struct(x as pc, y as t))))")
-    large = large.withColumn("other", F.explode(partners)).withColumn("me", F.struct("pc", F.col("own").alias("t")))
+    small = rows.where(F.col("total") <= tile).select("band", "key", F.lit(-1).alias("p"), F.lit(0).alias("s"), F.lit(-1).alias("q"), F.lit(0).alias("t"), F.lit(0).alias("side"), "fp", "pc", "rep", "label")
+    # each band deals a block out anew, so that blocks that several bands share meet in many ways within tiles
+    large = rows.where(F.col("total") > tile).withColumn("own", F.expr("pmod(xxhash64(fp, band), tiles[cls])"))
+    # tiles within reach, by class and number
+    others = F.expr(f"flatten(transform(filter(map_keys(tiles), x -> abs(x - cls) <= {reach}), x -> transform(sequence(0L, tiles[x] - 1), y -> struct(x as cls, y as t))))")
+    me = F.struct("cls", F.col("own").alias("t"))
+    large = large.withColumn("other", F.explode(F.array(me) if within else others)).withColumn("me", me)
     first, last = F.least("me", "other"), F.greatest("me", "other")
-    large = large.select("band", "key", first["pc"].alias("p"), first["t"].alias("s"), last["pc"].alias("q"), last["t"].alias("t"), (F.col("me") != first).cast("int").alias("side"), "fp", "pc", "rep")
+    large = large.select("band", "key", first["cls"].alias("p"), first["t"].alias("s"), last["cls"].alias("q"), last["t"].alias("t"), (F.col("me") != first).cast("int").alias("side"), "fp", "pc", "rep", "label")
     return small.unionByName(large)
 
 
-def tile_edges(nodes: DataFrame, how: SimHash, tile: int = TILE) -> DataFrame:
-    """``a, b``: representatives joined by a link, as forests of the pairs of tiles."""
+def tile_edges(nodes: DataFrame, how: SimHash, tile: int = TILE, within: bool = False, forests: int = 0) -> DataFrame:
+    """``a, b``: representatives joined by a link, as forests of the pairs of tiles; with ``forests``, that many nearest
+    ones between rows of different labels."""
     names = ["band", "key", "p", "s", "q", "t"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,13 +240,13 @@ def tile_edges(nodes: DataFrame, how: SimHash, tile: int = TILE) -> DataFrame:
             if not batch[1]:  # the last group may go on in the next batch
                 rest = table.slice(starts[-2])
                 held, starts = rest.to_batches(), starts[:-1]
-            pc, side, rep = (table.column(x).to_numpy() for x in ("pc", "side", "rep"))
+            pc, side, rep, label = (table.column(x).to_numpy() for x in ("pc", "side", "rep", "label"))
             fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(n, -1)
-            edges = [forest(fp[a:b], pc[a:b], side[a:b], rep[a:b], how.radius, bool(how.min_keys)) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b - a > 1]
+            edges = [forest(fp[a:b], pc[a:b], side[a:b], rep[a:b], how.radius, label[a:b] if forests else None, forests) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b - a > 1]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[k] for e in edges] or [np.zeros(0, np.int64)])) for k in (0, 1)], ["a", "b"])
 
     # a task gets whole pairs of tiles, each of 2 * tile rows at most
-    return tile_rows(nodes, how.radius, tile).repartition(*names).sortWithinPartitions(*names, "rep").mapInArrow(lean(run), "a long, b long")
+    return tile_rows(nodes, how, tile, within).repartition(*names).sortWithinPartitions(*names, "rep").mapInArrow(lean(run), "a long, b long")
 
 
 def _lookahead(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
@@ -265,12 +261,22 @@ def _lookahead(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
 
 
 def classes(docs: DataFrame, how: SimHash = SimHash(), tile: int = TILE, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``doc_id, fp, component_id`` for each row; ``keep`` may drop edges (a, b) before components are formed."""
+    """``doc_id, fp, component_id`` for each row; with ``keep`` only the edges (a, b) that it keeps join.
+
+    Then two rounds run: the first joins what meets within tiles, the second all tiles' rows that are in different
+    components still, by two forests each, as a pair that fails may have others beside it.
+    """
     fps = written(fingerprints(docs, how), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("pc").alias("pc"), F.min_by("keys", "doc_id").alias("keys")).where("rep is not null")
-    nodes = written(nodes, "nodes")
-    edges = tile_edges(nodes, how, tile)
-    found = components(keep(edges) if keep else edges, "a", "b")
+    nodes = written(nodes.withColumn("label", F.col("rep")), "nodes")
+    if keep:
+        edges = written(keep(tile_edges(nodes, how, tile, True, 1)), "joined")
+        found = written(components(edges, "a", "b"), "components")
+        again = nodes.drop("label").join(found, F.col("rep") == F.col("node"), "left").select("fp", "rep", "pc", "keys", F.coalesce("component", "rep").alias("label"))
+        edges = edges.unionByName(keep(tile_edges(again, how, tile, False, 2)))
+    else:
+        edges = tile_edges(nodes, how, tile)
+    found = components(edges, "a", "b")
     named = nodes.select("fp", "rep").join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.select("doc_id", "fp").join(named, "fp", "left").select("doc_id", "fp", "component_id")
 

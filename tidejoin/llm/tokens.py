@@ -10,7 +10,6 @@ tokens) go through the library whole, so the ids never differ from
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from array import array
@@ -82,10 +81,8 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
 
-        state = json.loads(self.tokenizer.to_str())
-        kinds = str(state["normalizer"])
-        self.lower = "'Lowercase'" in kinds
-        self.drops_space = "</w>" == state["model"].get("end_of_word_suffix")
+        self.lower = "Lowercase" in str(self.tokenizer.normalizer)
+        self.drops_space = getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>"
         self.plain = re.compile("[a-zß-öø-ÿ]+" if self.lower else " ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
         sample = ["straße", "été", "the", "mañana", "owl", "überhaupt"]
         self.direct = self._model(sample) == self._library(sample)
