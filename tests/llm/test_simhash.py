@@ -90,6 +90,21 @@ def test_near_duplicates_equal_exact_similarity(spark):
     assert {r.doc_id for r in S.deduplicated(df).collect()} == set(want.values())
 
 
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_a_link_is_found_behind_nearer_pairs_that_fail(spark, tile):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in rng.sample(range(300), 24)]
+    fps = [S.fingerprint(np.unique(S.shingle_hashes(t, 5)), 4) for t in texts]
+    distance = {(b, a): int(np.bitwise_count(fps[a] ^ fps[b]).sum()) for a in range(24) for b in range(24) if a < b}
+    assert max(distance.values()) <= S.WIDE.radius
+    # of all pairs the farthest one is the only one that passes
+    b, a = max(distance, key=distance.get)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.classes(df, S.WIDE, tile, lambda pairs: pairs.where(f"a = {b} and b = {a}")).collect()}
+    assert got == {**{i: i for i in range(24)}, b: a}
+
+
 def test_deduplicated_keeps_columns_and_nameless_rows(docs, empty):
     out = S.deduplicated(docs)
     assert out.columns == docs.columns and S.deduplicated(empty).count() == 0

@@ -13,8 +13,9 @@
 5. Components of all forests give each document its class.
 
 ``near_duplicates`` is the general stage: five-word shingles, wide fingerprints, and
-an exact check of each forest edge, so that documents are joined by similarities
-(Jaccard, of sets of shingles) of ``least`` or more only.
+an exact check of each link between documents that are not joined yet, so that they
+are joined by all similarities (Jaccard, of sets of shingles) of ``least`` or more, and
+by these only.
 
 Nulls count as empty texts; an empty text has fingerprint zero and is linked like
 any other; equal rows share a class; an empty table gives an empty result; a row
@@ -39,6 +40,10 @@ SEED = 42
 TILE = 2048
 #: For checked edges: rows of a tile, whose links are held at once.
 CHECKED_TILE = 1024
+#: All links instead of a number of forests.
+EVERY = -1
+#: Links of a task that go out at once.
+SENT = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -173,10 +178,13 @@ def nearest_forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.
 
 
 def near_links(fp: np.ndarray, pc: np.ndarray, side: np.ndarray, label: np.ndarray, radius: int, forests: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edge-disjoint nearest forests of the links of a tile, or between two tiles; rows of equal labels are joined already."""
+    """Edge-disjoint nearest forests of the links of a tile, or between two tiles, or with ``EVERY`` all the links; rows
+    of equal labels are joined already."""
     n, start = len(fp), np.unique(label, return_inverse=True)[1]
     links = [(a[keep], b[keep]) for a, b in tile_links(fp, pc, side, radius) for keep in ((start[a] != start[b]) & ((a < b) | (side[a] != side[b])),)]
     i, j = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
+    if forests == EVERY:
+        return i, j
     order = np.argsort(np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1), kind="stable")
     i, j, out = i[order], j[order], []
     for _ in range(forests):  # a pair that fails the check may have others beside it
@@ -222,7 +230,7 @@ def tile_rows(nodes: DataFrame, how: SimHash, tile: int, within: bool) -> DataFr
 
 def tile_edges(nodes: DataFrame, how: SimHash, tile: int = TILE, within: bool = False, forests: int = 0) -> DataFrame:
     """``a, b``: representatives joined by a link, as forests of the pairs of tiles; with ``forests``, that many nearest
-    ones between rows of different labels."""
+    ones (with ``EVERY`` all links) between rows of different labels."""
     names = ["band", "key", "p", "s", "q", "t"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +250,13 @@ def tile_edges(nodes: DataFrame, how: SimHash, tile: int = TILE, within: bool =
                 held, starts = rest.to_batches(), starts[:-1]
             pc, side, rep, label = (table.column(x).to_numpy() for x in ("pc", "side", "rep", "label"))
             fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(n, -1)
-            edges = [forest(fp[a:b], pc[a:b], side[a:b], rep[a:b], how.radius, label[a:b] if forests else None, forests) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b - a > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[k] for e in edges] or [np.zeros(0, np.int64)])) for k in (0, 1)], ["a", "b"])
+            edges = []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if b - a > 1:
+                    edges.append(forest(fp[a:b], pc[a:b], side[a:b], rep[a:b], how.radius, label[a:b] if forests else None, forests))
+                if edges and (b == starts[-1] or sum(len(e[0]) for e in edges) >= SENT):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[k] for e in edges])) for k in (0, 1)], ["a", "b"])
+                    edges = []
 
     # a task gets whole pairs of tiles, each of 2 * tile rows at most
     return tile_rows(nodes, how, tile, within).repartition(*names).sortWithinPartitions(*names, "rep").mapInArrow(lean(run), "a long, b long")
@@ -260,23 +273,33 @@ def _lookahead(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
         yield held, True
 
 
+#: For checked links: whether only rows of the same tile meet, and how many forests of their links are checked.
+ROUNDS = ((True, 1), (False, EVERY))
+
+
 def classes(docs: DataFrame, how: SimHash = SimHash(), tile: int = TILE, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``doc_id, fp, component_id`` for each row; with ``keep`` only the edges (a, b) that it keeps join.
+    """``doc_id, fp, component_id`` for each row; with ``keep`` only the links (a, b) that it keeps join.
 
-    Then two rounds run: the first joins what meets within tiles, the second all tiles' rows that are in different
-    components still, by two forests each, as a pair that fails may have others beside it.
+    Then two rounds run.  The first joins by nearest forests what meets within tiles and only saves checks; the last
+    checks every link in all pairs of tiles whose ends are in different components still and that was not checked
+    before, so no link that ``keep`` would keep is left out.
     """
     fps = written(fingerprints(docs, how), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("pc").alias("pc"), F.min_by("keys", "doc_id").alias("keys")).where("rep is not null")
     nodes = written(nodes.withColumn("label", F.col("rep")), "nodes")
     if keep:
-        edges = written(keep(tile_edges(nodes, how, tile, True, 1)), "joined")
-        found = written(components(edges, "a", "b"), "components")
-        again = nodes.drop("label").join(found, F.col("rep") == F.col("node"), "left").select("fp", "rep", "pc", "keys", F.coalesce("component", "rep").alias("label"))
-        edges = edges.unionByName(keep(tile_edges(again, how, tile, False, 2)))
+        checked = edges = None
+        now = nodes
+        for within, forests in ROUNDS:
+            pairs = tile_edges(now, how, tile, within, forests).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+            pairs = written(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+            checked = pairs if checked is None else checked.unionByName(pairs)
+            new = written(keep(pairs), "joined")
+            edges = new if edges is None else edges.unionByName(new)
+            found = written(components(edges, "a", "b"), "components")
+            now = nodes.drop("label").join(found, F.col("rep") == F.col("node"), "left").select("fp", "rep", "pc", "keys", F.coalesce("component", "rep").alias("label"))
     else:
-        edges = tile_edges(nodes, how, tile)
-    found = components(edges, "a", "b")
+        found = components(tile_edges(nodes, how, tile), "a", "b")
     named = nodes.select("fp", "rep").join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.select("doc_id", "fp").join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -287,7 +310,6 @@ WIDE = SimHash(shingle=5, words=4, radius=60, min_keys=8, distinct=True)
 
 def alike(docs: DataFrame, edges: DataFrame, shingle: int, least: float) -> DataFrame:
     """The edges (a, b) of doc_ids whose texts have a Jaccard similarity of ``least`` or more."""
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
