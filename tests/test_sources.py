@@ -49,6 +49,21 @@ def test_pairs_alternate_and_stop_at_a_gap(spark, tmp_path):
     assert sorted((r.o_orderkey, r.o_custkey, r.op, r.batch) for r in got) == [(1, 1, -1, 4), (1, 2, 1, 4), (2, 1, -1, 4), (2, 2, 1, 4)]
 
 
+def test_lines_of_a_split_file_are_numbered(spark, tmp_path):
+    text = "".join(ORDER.format(k=k, c=c).replace("\n", "\r\n" if k % 3 else "\n\n") for k in range(50) for c in (1, 2))
+    path = write(tmp_path / "orders.tbl.u1", text)
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        lines = updates.numbered_lines(spark, [(path, 4)]).collect()
+        got = updates.pair_lines(spark, [(path, 4)], "orders").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    assert len({r.block for r in lines}) > 5
+    assert [r.line for r in sorted(lines, key=lambda r: r.n)] == text.split() and sorted(r.n for r in lines) == list(range(1, 101))
+    assert sorted((r.o_orderkey, r.o_custkey, r.op, r.batch) for r in got) == [(k, c, op, 4) for k in range(50) for c, op in ((1, -1), (2, 1))]
+
+
 def test_refresh_layout_looks_rows_up(spark, tmp_path):
     write(tmp_path / "orders.tbl.u1", ORDER.format(k=5, c=1))
     write(tmp_path / "delete.1", "1|\n")

@@ -174,16 +174,15 @@ def changelog_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changelog_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An update file of DELETE and INSERT lines in turn, written from the orders table and read back."""
+    """Update files of DELETE and INSERT lines in turn, written from the orders table and read back."""
     from .streaming.store import scratch
 
     o = rels_all_orders(spark, sf_dir).where("o_orderkey % 10 < 5")
     line = lambda status: F.concat_ws("|", "o_orderkey", "o_custkey", F.lit(status), F.col("o_totalprice").cast("string"), F.col("o_orderdate").cast("string"), "o_orderpriority", F.lit("Clerk"), F.lit("0"), F.lit("note"), F.lit(""))
     path = scratch(spark, "pairs")
-    # a file of its own for each bucket of orders: lines alternate within a file only
-    buckets = 10
-    block = o.groupBy(F.pmod("o_orderkey", F.lit(buckets)).alias("b")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line("O").alias("d"), line("F").alias("i")))), lambda x: F.concat(x["d"], F.lit("\n\n"), x["i"])), "\n").alias("value"))
-    block.repartition(buckets, "b").select("b", "value").write.partitionBy("b").text(path)
+    # a row holds both lines of an order, so that they stay together in any file; a blank line stands between them
+    pair = o.select(F.pmod("o_orderkey", F.lit(10)).alias("b"), F.concat(line("O"), F.lit("\n\n"), line("F")).alias("value"))
+    pair.write.partitionBy("b").text(path)
     log = pair_lines(spark, [(f"{path}/b={b}", 4 + b) for b in range(5)], "orders")
     return log.select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), "op", "batch")
 

@@ -24,15 +24,10 @@ def bulk(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def pair_lines(spark: SparkSession, files: list[tuple[str, int]], relation: str) -> DataFrame:
     """Update files (path, batch) in which the lines that aren't blank are DELETE and INSERT in turn.
 
-    The place of a line within its file decides; files are independent, each is read as one value.
+    The place of a line within its file decides; files are independent, and large ones are read in splits.
     """
     schema = tbl_schema(relation)
-    out = None
-    for path, batch in files:
-        text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-        lines = text.where(F.trim("line") != "")
-        lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).withColumn("batch", F.lit(batch).cast("long"))
-        out = lines if out is None else out.unionByName(lines)
+    out = numbered_lines(spark, files)
     if out is None:
         return spark.createDataFrame([], schema).withColumn("op", F.lit(1)).withColumn("batch", F.lit(0).cast("long"))
     field = F.split("line", r"\|", -1)
@@ -40,6 +35,26 @@ def pair_lines(spark: SparkSession, files: list[tuple[str, int]], relation: str)
     return out.select(*columns, F.when(F.col("n") % 2 == 1, -1).otherwise(1).alias("op"), "batch")
 
 
+def numbered_lines(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame | None:
+    """``file, block, line, n, batch``: the lines that aren't blank, numbered from 1 within their file.
+
+    Numbers come from the counts of the splits before a line's own, whose rows a task holds in order.
+    """
+    out = None
+    for path, batch in files:
+        text = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"))
+        lines = text.where(F.trim("line") != "").withColumn("batch", F.lit(batch).cast("long"))
+        out = lines if out is None else out.unionByName(lines)
+    if out is None:
+        return None
+    split = ["batch", "file", "block"]
+    placed = out.withColumn("_id", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(Window.partitionBy(*split).orderBy("_id")))
+    sizes = out.groupBy(*split).agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy("batch", "file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*split, F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.join(starts, split).select("file", "block", "line", (F.col("_before") + F.col("_n")).alias("n"), "batch")
+
+
 def update_sets(spark: SparkSession, path: str, relations: tuple[str, ...] = ("orders", "lineitem"), first_batch: int = len(LOAD_ORDER), layout: str = "pairs", tables: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Sets 1, 2, ... of ``<relation>.tbl.u<N>``, until no relation has a file of that number; one batch each.
 
