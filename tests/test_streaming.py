@@ -8,7 +8,7 @@ from test_operators import as_logs, brute, random_changes, view
 from tidejoin.operators import metrics
 from tidejoin.operators.changelog import mixed
 from tidejoin.streaming.maintainer import Maintainer, Policy, run, start
-from tidejoin.streaming.queries import unfiltered, write_files
+from tidejoin.streaming.queries import maintained, unfiltered, write_files
 from tidejoin.streaming.store import Store
 
 PLAIN = unfiltered(CHAIN)
@@ -62,3 +62,12 @@ def test_seeded_store_equals_bulk_view(spark, tmp_path):
     store.seed(filtered(CHAIN, frames(spark)))
     assert view(store.view()) == brute(tables())
     assert {r.c_custkey for r in Maintainer(store).top(-1).collect()} == set(brute(tables()))
+
+
+def test_a_part_of_several_files_is_one_micro_batch(spark, stream):
+    parts = [stream.where(f"batch = {b}").repartition(3) for b in range(3)]
+    seen = []
+    keeper, _ = maintained(spark, parts, Policy.BATCH_END, lambda rows, batch, trigger: seen.append((batch, trigger)))
+    source = keeper.store.path.removesuffix("store") + "source"
+    assert all(len(spark.read.parquet(f"{source}/part={i}").inputFiles()) == 3 for i in range(3))
+    assert seen == [(0, "batch_end"), (1, "batch_end"), (2, "batch_end"), (2, "job_end")]

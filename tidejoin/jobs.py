@@ -19,7 +19,7 @@ from .operators import aggregate, changelog, compare, fk_join, metrics, predicat
 from .plans.chain import FkChain, q10
 from .sources.tables import parquet_table, tbl_table
 from .sources.updates import LOAD_ORDER, bulk, update_sets
-from .streaming.maintainer import Maintainer, Policy, start
+from .streaming.maintainer import Maintainer, Policy, apply
 from .streaming.queries import unfiltered
 from .streaming.store import Store
 
@@ -78,7 +78,7 @@ def run_replay(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def run_stream(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Seeds a store from the tables, writes the update sets as files of a stream, and runs it to its end; run again, what is committed stays as it is."""
+    """Seeds a store from the tables, writes each update set as a folder of a stream, a micro-batch each, and runs it to its end; run again, what is committed stays as it is."""
     tables = load(spark, args.input, args.format)
     chain = chain_for(tables, args.start, args.months, args.revenue)
     plain = unfiltered(chain)
@@ -88,12 +88,10 @@ def run_stream(spark: SparkSession, args: argparse.Namespace) -> int:
     updates = update_sets(spark, args.input, layout=args.layout, tables=tables)
     logs = {r.name: r.rows(updates[r.name], ("op", "batch")) if r.name in updates else rels[r.name].limit(0).withColumn("op", F.lit(1)).withColumn("batch", F.lit(0).cast("long")) for r in chain.rels}
     mixed = changelog.mixed(logs)
-    for b in range(len(LOAD_ORDER), last_batch(updates) + 1):
-        mixed.where(F.col("batch") == b).coalesce(1).write.mode("overwrite").parquet(f"{args.output}/source/part={b}")
     keeper = Maintainer(store, Policy(args.policy), lambda rows, batch, trigger: sinks.write_snapshot(rows, f"{args.output}/snapshots", trigger, batch), args.k)
-    if last_batch(updates) >= len(LOAD_ORDER):
-        query = start(spark, f"{args.output}/source", mixed.withColumn("part", F.lit(0)).schema, keeper, f"{args.output}/checkpoint")
-        query.awaitTermination()
+    for b in range(len(LOAD_ORDER), last_batch(updates) + 1):
+        mixed.where(F.col("batch") == b).write.mode("overwrite").parquet(f"{args.output}/source/part={b}")
+        apply(spark, f"{args.output}/source", mixed.withColumn("part", F.lit(0)).schema, keeper, f"{args.output}/checkpoint")
     sinks.write_csv(keeper.finish(), f"{args.output}/top")
     return spark.read.parquet(f"{store.path}/commits").agg(F.sum("n_deltas")).first()[0]
 

@@ -99,18 +99,26 @@ class Maintainer:
         return rows
 
 
-def start(spark: SparkSession, source: str, schema, maintainer: Maintainer, checkpoint: str, files_per_trigger: int = 1) -> StreamingQuery:
-    """A query over a folder of mixed changelog files that ends when all files that are there have been applied."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    return stream.writeStream.foreachBatch(maintainer.process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(spark: SparkSession, source: str, schema, maintainer: Maintainer, checkpoint: str, files_per_trigger: int | None = None) -> StreamingQuery:
+    """A query over a folder of mixed changelog files that ends when all files that are there have been applied: in one
+    micro-batch, or so many files at a time."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(source).writeStream.foreachBatch(maintainer.process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run(spark: SparkSession, source: str, schema, maintainer: Maintainer, checkpoint: str, files_per_trigger: int = 1, timeout: int = 600) -> DataFrame:
-    """Runs to the end and returns the final ranking."""
+def apply(spark: SparkSession, source: str, schema, maintainer: Maintainer, checkpoint: str, files_per_trigger: int | None = None, timeout: int | None = None) -> None:
+    """Runs until the files that are there have been applied, however long that takes unless a timeout in seconds is given."""
     query = start(spark, source, schema, maintainer, checkpoint, files_per_trigger)
     try:
-        if not query.awaitTermination(timeout):
+        if query.awaitTermination(timeout) is False:
             raise TimeoutError(f"the stream took more than {timeout} seconds")
     finally:
         query.stop()
+
+
+def run(spark: SparkSession, source: str, schema, maintainer: Maintainer, checkpoint: str, files_per_trigger: int | None = None, timeout: int | None = None) -> DataFrame:
+    """Runs to the end and returns the final ranking."""
+    apply(spark, source, schema, maintainer, checkpoint, files_per_trigger, timeout)
     return maintainer.finish()
