@@ -52,12 +52,14 @@ def test_edge_rows(docs, empty):
     assert by[4].component_id == 0 and by[None].component_id is None
 
 
-def test_a_dense_tile_gives_a_forest():
+def test_a_dense_group_gives_a_forest(spark):
     rng = np.random.default_rng(1)
-    fp = (np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)))[:, None]
-    pc, side, rep = np.bitwise_count(fp).sum(axis=1).astype(np.int32), np.zeros(500, np.int32), np.arange(500)
-    a, b = S.forest(fp, pc, side, rep, 2)
-    assert len(a) == 499 and len(set(grouped(zip(a.tolist(), b.tolist()), range(500)).values())) == 1
+    fp = np.uint64(12345) ^ (np.uint64(1) << rng.permutation(64).astype(np.uint64))
+    pc = np.bitwise_count(fp)
+    rows = [(0, 5, -1, 0, -1, 0, 0, f.tobytes(), f.astype(">u8").tobytes(), int(c), 0, [5, k, k]) for k, (f, c) in enumerate(zip(fp, pc))]
+    df = spark.createDataFrame(rows, "band int, key long, p int, s long, q int, t long, side int, node binary, fp binary, pc int, n int, keys array<long>")
+    got = [(bytes(r.a), bytes(r.b)) for r in S.linked(df, S.SimHash(), 0.0, "forest").collect()]
+    assert len(got) == 63 and len(set(grouped(got, [f.tobytes() for f in fp]).values())) == 1
 
 
 def test_components_of_a_chain(spark):
@@ -66,43 +68,79 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
 
 
-def jaccard(a, b):
-    x, y = (set(S.shingle_hashes(t, 5).tolist()) for t in (a, b))
-    return len(x & y) / len(x | y) if x | y else 1
+def shingles(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()) or (text or "").split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def test_near_duplicates_equal_exact_similarity(spark):
-    rng = random.Random(3)
+def plain_groups(texts, least=0.8):
+    """All pairs that share a shingle, so all pairs of similarity above 0."""
+    sets, held = [shingles(t) for t in texts], {}
+    for k, own in enumerate(sets):
+        for x in own or {None}:
+            held.setdefault(x, []).append(k)
+    common = {}
+    for x, own in held.items():
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                common[a, b] = common.get((a, b), 0) + 1
+    return grouped([(a, b) for (a, b), n in common.items() if n >= least * max(1, len(sets[a] | sets[b]))], range(len(texts)))
+
+
+def families(seed, count, lengths, edits):
+    rng, texts = random.Random(seed), []
     words = [f"w{i}" for i in range(3000)]
-    texts = []
-    for _ in range(25):
-        base = [rng.choice(words) for _ in range(rng.randint(30, 300))]
-        texts.append(" ".join(base))
-        for edits in (0, 1, 2, 4, 12):
+    for _ in range(count):
+        base = [rng.choice(words) for _ in range(rng.randint(*lengths))]
+        for n in (0, *edits):
             copy = list(base)
-            for _ in range(edits):
+            for _ in range(n):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             texts.append(" ".join(copy))
-    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if jaccard(texts[a], texts[b]) >= 0.8]
-    want = grouped(pairs, range(len(texts)))
+    return texts
+
+
+@pytest.mark.parametrize("tile", [4, 1024])
+@pytest.mark.parametrize("texts", [families(3, 25, (30, 300), (0, 1, 2, 4, 12)), families(5, 3, (150, 260), (2, 2, 3, 3, 3, 4) * 8), families(7, 60, (1, 14), (0, 1, 1))], ids=["edits", "near the threshold", "short"])
+def test_near_duplicates_equal_exact_similarity(spark, tile, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()} == want
+    want = plain_groups(texts)
+    assert {r.doc_id: r.component_id for r in S.near_duplicates(df, tile=tile).collect()} == want
     assert {r.doc_id for r in S.deduplicated(df).collect()} == set(want.values())
 
 
-@pytest.mark.parametrize("tile", [4, 1024])
-def test_a_link_is_found_behind_nearer_pairs_that_fail(spark, tile):
-    rng = random.Random(5)
-    base = [f"w{i}" for i in range(300)]
-    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in rng.sample(range(300), 24)]
-    fps = [S.fingerprint(np.unique(S.shingle_hashes(t, 5)), 4) for t in texts]
-    distance = {(b, a): int(np.bitwise_count(fps[a] ^ fps[b]).sum()) for a in range(24) for b in range(24) if a < b}
-    assert max(distance.values()) <= S.WIDE.radius
-    # of all pairs the farthest one is the only one that passes
-    b, a = max(distance, key=distance.get)
+def test_near_duplicates_of_the_drivers_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toPandas().sort_values("doc_id")
+    at = dict(enumerate(docs.doc_id))
+    want = {at[k]: at[v] for k, v in plain_groups(list(docs.text)).items()}
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert got == want
+
+
+def test_marks_and_case_do_not_count(spark):
+    texts = ["one Two, three four five six seven eight nine ten", "One two three; four five six seven eight nine ten!", "?!", "?!", "...", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in S.classes(df, S.WIDE, tile, lambda pairs: pairs.where(f"a = {b} and b = {a}")).collect()}
-    assert got == {**{i: i for i in range(24)}, b: a}
+    assert {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 5}
+
+
+def test_a_text_without_doc_id_links_and_repeated_ids_keep_a_text_of_each_group(spark):
+    base = [f"w{i}" for i in range(100)]
+    far = " ".join(f"x{i}" for i in range(50))
+    texts = [" ".join(base), " ".join(base[:90]), " ".join(base[:81])]
+    rows = [(3, texts[0]), (None, texts[1]), (9, texts[2]), (1, texts[0]), (3, far), (7, far)]
+    out = S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(1, texts[0]), (3, far), (None, texts[1])], key=str)
+
+
+def test_the_radius_is_wide_enough():
+    rng = np.random.default_rng(2)
+    few, many = S.reach(0.8, 1024)
+    for n1, n2, both in ((4, 5, 4), (12, 15, 12), (9, 9, 8), (180, 180, 160), (160, 200, 160)):
+        far = 0
+        for _ in range(60):
+            h = rng.integers(0, 2**64, n1 + n2 - both, np.uint64)
+            far = max(far, int(np.bitwise_count(S.fingerprint(h[:n1], 16) ^ S.fingerprint(h[n1 - both :], 16)).sum()))
+        assert far < (few if n1 < S.MANY else many)
 
 
 def test_deduplicated_keeps_columns_and_nameless_rows(docs, empty):

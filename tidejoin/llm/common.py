@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -43,7 +44,47 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append((out, path))
+    return out
+
+
+#: Tables written inside of each scratch block that is open.
+_open: list[list[tuple[DataFrame, str]]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that ``written`` makes inside are deleted at the end, but for those put into the list."""
+    keep: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        made = _open.pop()
+        for df, path in made:
+            if any(df is k for k in keep):
+                if _open:
+                    _open[-1].append((df, path))
+            else:
+                removed(spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of at most two numbers that may be broadcast: some 100 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of a few numbers, to be broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def hash_bound(n: int, most: int) -> int:

@@ -1,31 +1,38 @@
 """SimHash near-dedup (1): fingerprints compared exactly in tiles, with numpy exclusive-or and bit counts.
 
 1. Each text gets a fingerprint of 64 bits or more over its word shingles.
-2. Equal fingerprints are folded into one row, so copies cost nothing further.
+2. Texts with the same node (the fingerprint itself, or for checked links a 128-bit
+   digest of the shingles) are folded into one row, so copies cost nothing further.
 3. Rows go to blocks.  With radius r the 64 bits are cut into r + 1 bands; two
    fingerprints that differ in at most r bits agree in a band, so comparing inside
    the blocks of equal bands loses no link.  For wide fingerprints with a large
    radius (``min_keys``) the blocks are equal minima of the hashed shingles instead.
-4. A block beyond ``TILE`` rows is dealt into tiles by population count and hash.
+4. A block beyond ``tile`` rows is dealt into tiles by population count and hash.
    Only pairs of tiles whose population counts differ by no more than the radius
-   are compared, each in a task's bounded memory; a pair of tiles returns a
-   spanning forest of its links, not the links.
+   are compared, each in a task's bounded memory, and each pair of rows only in the
+   first block that both share; a pair of tiles returns a spanning forest of its
+   links, not the links.
 5. Components of all forests give each document its class.
 
 ``near_duplicates`` is the general stage: five-word shingles, wide fingerprints, and
-an exact check of each link between documents that are not joined yet, so that they
-are joined by all similarities (Jaccard, of sets of shingles) of ``least`` or more, and
-by these only.
+links of exact Jaccard similarity (of sets of shingles) ``least`` or more, and these
+only.  Step 4 then runs twice: the first pass finds the rows that have another one
+within the radius, the second gets these rows' shingles too and checks every such
+pair in its task, but for pairs that checked links of the tiles join already.
 
 Nulls count as empty texts; an empty text has fingerprint zero and is linked like
 any other; equal rows share a class; an empty table gives an empty result; a row
-without doc_id gets the class of its fingerprint; other columns are not read.
+without doc_id links like any other and gets its component's smallest doc_id, null
+if there is none; a doc_id with several texts has a row for each; other columns are
+not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +40,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, written
+from .common import bounded, lean, scratch, written
 from .components import components
 
 SEED = 42
+#: Rows of a tile, and for checked links also its shingles.
 TILE = 2048
-#: For checked edges: rows of a tile, whose links are held at once.
 CHECKED_TILE = 1024
-#: All links instead of a number of forests.
-EVERY = -1
+CHECKED_SHINGLES = 1 << 20
+#: Groups of at most so many rows return all their links.
+FEW = 8
 #: Links of a task that go out at once.
 SENT = 1 << 17
+#: Most pairs whose fingerprints are compared at once.
+AT_ONCE = 1 << 16
+#: Standard deviations of the number of differing bits that the radius leaves for a pair at ``least``.
+DEVIATIONS = 6
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 @dataclass(frozen=True)
@@ -53,8 +66,9 @@ class SimHash:
     shingle: int = 3
     words: int = 1  # of 64 bits
     radius: int = 2
-    min_keys: int = 0  # 0: bands
+    min_keys: int = 0  # 0: bands, and the radius decides; else minima, and the radius proposes
     distinct: bool = False  # a repeated shingle counts once
+    letters: bool = False  # words are runs of letters and digits, so marks don't count
 
     def keys(self, fp: np.ndarray, hashes: np.ndarray) -> list[int]:
         if not self.min_keys:
@@ -66,9 +80,42 @@ class SimHash:
         return [int((mixed(hashes, 1000 + k)).min() >> np.uint64(1)) for k in range(self.min_keys)]
 
 
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+def checked(least: float = 0.8, words: int = 16, shingle: int = 5, min_keys: int = 8) -> SimHash:
+    """The settings for links of similarity ``least``.
+
+    Of two sets of five shingles or more at 0.8 a bit differs with probability 0.1615
+    at most (the greatest over all sizes; 0.1875 for four and five shingles, see
+    ``reach``).  A pair at ``least`` shares none of the minima with probability
+    (1 - least) ** min_keys, and its bits lie beyond the radius with about 1e-9.
+    """
+    return SimHash(shingle, words, int(reach(least, 64 * words)[0]), min_keys, True, True)
+
+
+def differing(least: float) -> tuple[float, float]:
+    """Probability that a bit of two fingerprints differs, at most, for sets of similarity ``least`` or more: sets of
+    few shingles, and others."""
+    wide = np.arccos(2 * least / (1 + least)) / np.pi
+    return 1.25 * wide, 1.07 * wide
+
+
+def reach(least: float, bits: int) -> tuple[int, int]:
+    """Differing bits that leave no pair of similarity ``least`` out: of sets of few shingles, and others."""
+    return tuple(int(np.ceil(bits * p + DEVIATIONS * np.sqrt(bits * p * (1 - p)))) for p in differing(least))
+
+
+#: Sets of fewer shingles count as few.
+MANY = 5
+
+
+def text_words(text: str | None, letters: bool = False) -> list[bytes]:
+    """Lower-case (A-Z) words; with ``letters`` runs of letters and digits, unless there are none."""
+    low = (text or "").encode().lower()
+    return (_WORD.findall(low) if letters else None) or low.split()
+
+
+def shingle_hashes(text: str | None, size: int, letters: bool = False) -> np.ndarray:
     """XXH64 of each run of ``size`` words, in order; of the whole sequence if there are fewer."""
-    words = (text or "").encode().lower().split()
+    words = text_words(text, letters)
     if not words:
         return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), min(size, len(words))
@@ -78,10 +125,10 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(start[: len(words) - n + 1].tolist(), end[n - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def mixed(h: np.ndarray, k: int) -> np.ndarray:
+def mixed(h: np.ndarray, k: int | np.ndarray) -> np.ndarray:
     """Another 64-bit hash of each hash, one for each k (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):
-        z = h + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))
+        z = h + np.asarray(k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
@@ -89,34 +136,100 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     """A bit is 1 if it is set in over half the hashes; the first 64 bits come from the hashes themselves."""
-    out = np.zeros(words, np.uint64)
-    for w in range(words if len(hashes) else 0):
-        count = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 1 << 16):
-            part = hashes[at : at + (1 << 16)]
-            part = part if w == 0 else mixed(part, w)
-            count += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-        out[w] = np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0]
-    return out
+    count = np.zeros(64 * words, np.int64)
+    step = max(1, (1 << 16) // words)
+    for at in range(0, len(hashes), step):
+        part = hashes[at : at + step, None]
+        part = np.hstack([part, mixed(part, np.arange(1, words)[None])]) if words > 1 else part
+        count += np.unpackbits(part.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * count > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
+
 
+FINGERPRINT = "doc_id long, text_hash long, node binary, fp binary, pc int, n int, keys array<long>"
 
-def fingerprints(docs: DataFrame, how: SimHash) -> DataFrame:
-    """``doc_id, fp, pc, keys`` for each row of ``doc_id, text``."""
+
+def fingerprints(docs: DataFrame, how: SimHash, shingles: bool = False) -> DataFrame:
+    """``doc_id, text_hash, node, fp, pc, n, keys`` for each row of ``doc_id, text``, with ``shingles`` also their hashes."""
+    schema = FINGERPRINT + ", shingles binary" * shingles
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                fps, keys = [], []
+                nodes, fps, sizes, keys, sets = [], [], [], [], []
                 for text in part.column("text"):
-                    h = shingle_hashes(text.as_py(), how.shingle)
+                    h = shingle_hashes(text.as_py(), how.shingle, how.letters)
                     h = np.unique(h) if how.distinct else h
-                    fps.append(fp := fingerprint(h, how.words))
+                    fp = fingerprint(h, how.words)
+                    fps.append(fp.astype(">u8").tobytes())
+                    nodes.append(xxhash.xxh3_128_digest(h.tobytes()) if how.min_keys else fps[-1])
+                    sizes.append(len(h) if how.min_keys else 0)
                     keys.append(how.keys(fp, h))
-                pc = [int(np.bitwise_count(f).sum()) for f in fps]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f.astype(">u8").tobytes() for f in fps], pa.binary()), pa.array(pc, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "pc", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, fp binary, pc int, keys array<long>")
+                    if shingles:
+                        sets.append(h.astype("<u8").tobytes())
+                pc = np.bitwise_count(np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1)).sum(axis=1, dtype=np.int32)
+                made = [pa.array(nodes, pa.binary()), pa.array(fps, pa.binary()), pa.array(pc), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), *([pa.array(sets, pa.binary())] if shingles else [])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *made], [x.split()[0] for x in schema.split(", ")])
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(lean(run), schema)
+
+
+class Rows:
+    """The rows of some groups (pairs of tiles): what two rows need to be a link, or with ``min_keys`` to be worth a check."""
+
+    def __init__(self, table: pa.Table, how: SimHash, least: float):
+        self.how, self.least, self.coarse = how, least, 4 if how.min_keys else 1
+        self.pc, self.side, self.n, self.band = (table.column(x).to_numpy() for x in ("pc", "side", "n", "band"))
+        self.fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(table.num_rows, -1)
+        self.keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+
+    def limit(self, words: int) -> np.ndarray:
+        """Most differing bits of the first ``words`` words: of sets of many shingles, and of few."""
+        return np.array(reach(self.least, 64 * words)[::-1] if self.how.min_keys else [self.how.radius] * 2)
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs with the same band those that lie within the radius and share no earlier band."""
+        if not len(i):
+            return i, j
+        for words in sorted({self.coarse, self.fp.shape[1]}):
+            d = np.bitwise_count(self.fp[i, :words] ^ self.fp[j, :words]).sum(axis=1, dtype=np.int32)
+            close = d <= self.limit(words)[(np.minimum(self.n[i], self.n[j]) < MANY).astype(int)]
+            i, j = i[close], j[close]
+        if self.how.min_keys:
+            fits = np.minimum(self.n[i], self.n[j]) >= self.least * np.maximum(self.n[i], self.n[j])
+            i, j = i[fits], j[fits]
+        new = ~((self.keys[i] == self.keys[j]) & (np.arange(self.keys.shape[1]) < self.band[i, None])).any(axis=1)
+        return i[new], j[new]
+
+    def few(self, starts: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links of groups of the same small size, which begin at ``starts``."""
+        a, b = np.array(list(combinations(range(size), 2))).T
+        step = max(1, AT_ONCE // len(a))
+        for at in range(0, len(starts), step):
+            first = starts[at : at + step, None]
+            i, j = (first + a).ravel(), (first + b).ravel()
+            apart = (self.side[i] != self.side[j]) | ((self.side[first] == 0) & (self.side[first + size - 1] == 0)).repeat(len(a), axis=1).ravel()
+            yield self.near(i[apart], j[apart])
+
+    def many(self, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links inside one tile (all of side 0), or between the tiles of sides 0 and 1, by blocks of rows in order of
+        population count; columns out of its reach are skipped."""
+        pc, side, fp = self.pc[start:end], self.side[start:end], self.fp[start:end, : self.coarse]
+        order, same = np.argsort(pc, kind="stable"), not side.any()
+        left, right = (order, order) if same else (order[side[order] == 0], order[side[order] == 1])
+        counts, rows = pc[right], max(1, AT_ONCE // max(1, len(right)))
+        for at in range(0, len(left), rows):
+            own = left[at : at + rows]
+            a, b = np.searchsorted(counts, pc[own[0]] - self.how.radius, "left"), np.searchsorted(counts, pc[own[-1]] + self.how.radius, "right")
+            a = max(a, at) if same else a
+            if a < b:
+                other = right[a:b]
+                d = np.bitwise_count(fp[own, None, 0] ^ fp[None, other, 0]) if self.coarse == 1 else np.bitwise_count(fp[own, None] ^ fp[None, other]).sum(axis=2, dtype=np.int32)
+                i, j = np.nonzero(d <= self.limit(self.coarse).max())
+                if same:
+                    i, j = i[i + at < j + a], j[i + at < j + a]
+                yield self.near(start + own[i], start + other[j])
 
 
 def joined_labels(n: int, links: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -136,130 +249,77 @@ def joined_labels(n: int, links: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.
     return label
 
 
-def tile_links(fp: np.ndarray, pc: np.ndarray, side: np.ndarray, radius: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links inside one tile (all of side 0), or between the tiles of sides 0 and 1, by blocks of rows in order of
-    population count; columns out of its reach are skipped."""
-    order = np.argsort(pc, kind="stable")
-    left, right = (order, order) if not side.any() else (order[side[order] == 0], order[side[order] == 1])
-    reach = pc[right]
-    for at in range(0, len(left), rows):
-        own = left[at : at + rows]
-        a, b = np.searchsorted(reach, pc[own[0]] - radius, "left"), np.searchsorted(reach, pc[own[-1]] + radius, "right")
-        if a < b:
-            other = right[a:b]
-            d = np.bitwise_count(fp[own, None, :] ^ fp[None, other, :]).sum(axis=2, dtype=np.int32) if fp.shape[1] > 1 else np.bitwise_count(fp[own, None, 0] ^ fp[None, other, 0])
-            i, j = np.nonzero(d <= radius)
-            yield own[i], other[j]
-
-
-def nearest_forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of links in order of distance those of a minimum spanning forest (rounds of each component's nearest link), so
-    that joins go by the closest pairs; rows of equal labels are joined from the start."""
-    n, out = len(label), []
-    while True:
-        a, b = label[i], label[j]
-        if not (apart := a != b).any():
-            break
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        best = np.full(n, len(i))
-        np.minimum.at(best, a, np.arange(len(i)))
-        np.minimum.at(best, b, np.arange(len(i)))
-        roots = np.flatnonzero(best < len(i))
-        link = best[roots]
-        parent = np.arange(n)
-        parent[roots] = np.where(a[link] == roots, b[link], a[link])
-        mutual = (parent[parent] == np.arange(n)) & (np.arange(n) < parent)
-        parent[mutual] = np.flatnonzero(mutual)
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-        label, link = parent[label], np.unique(link)
-        out.append((i[link], j[link]))
-    return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-
-
-def near_links(fp: np.ndarray, pc: np.ndarray, side: np.ndarray, label: np.ndarray, radius: int, forests: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edge-disjoint nearest forests of the links of a tile, or between two tiles, or with ``EVERY`` all the links; rows
-    of equal labels are joined already."""
-    n, start = len(fp), np.unique(label, return_inverse=True)[1]
-    links = [(a[keep], b[keep]) for a, b in tile_links(fp, pc, side, radius) for keep in ((start[a] != start[b]) & ((a < b) | (side[a] != side[b])),)]
-    i, j = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
-    if forests == EVERY:
-        return i, j
-    order = np.argsort(np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1), kind="stable")
-    i, j, out = i[order], j[order], []
-    for _ in range(forests):  # a pair that fails the check may have others beside it
-        out.append(nearest_forest(start, i, j))
-        rest = ~np.isin(i * n + j, out[-1][0] * n + out[-1][1])
-        i, j = i[rest], j[rest]
-    return tuple(np.concatenate([o[k] for o in out]) for k in (0, 1))
-
-
-def forest(fp: np.ndarray, pc: np.ndarray, side: np.ndarray, rep: np.ndarray, radius: int, label: np.ndarray | None = None, forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what the links of a pair of tiles join; with labels, edges between close pairs of different labels."""
-    if label is not None:
-        i, j = near_links(fp, pc, side, label, radius, forests)
-        return rep[i], rep[j]
-    if len(rep) == 2:
-        near = int(np.bitwise_count(fp[0] ^ fp[1]).sum()) <= radius
-        return (rep[1:], rep[:1]) if near else (rep[:0], rep[:0])
-    label = joined_labels(len(rep), tile_links(fp, pc, side, radius))
-    own = np.flatnonzero(label != np.arange(len(rep)))
-    return rep[own], rep[label[own]]
-
-
-def tile_rows(nodes: DataFrame, how: SimHash, tile: int, within: bool) -> DataFrame:
-    """Each node once for each pair of tiles that it takes part in; if ``within``, only for its own tiles."""
-    # population counts in classes; a wide radius reaches the next class only
-    step = how.radius if how.min_keys else 1
-    reach = -(-how.radius // step)
-    spread = nodes.select("fp", "pc", "rep", "label", F.floor(F.col("pc") / step).cast("int").alias("cls"), F.posexplode("keys").alias("band", "key"))
-    counts = spread.groupBy("band", "key", "cls").agg(F.count("*").alias("n"))
-    plan = counts.groupBy("band", "key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("cls", F.expr(f"(n + {tile} - 1) div {tile}").alias("k")))).alias("tiles")).where("total > 1")
-    rows = spread.join(plan, ["band", "key"])
-    small = rows.where(F.col("total") <= tile).select("band", "key", F.lit(-1).alias("p"), F.lit(0).alias("s"), F.lit(-1).alias("q"), F.lit(0).alias("t"), F.lit(0).alias("side"), "fp", "pc", "rep", "label")
+def similar(sets: list[np.ndarray], links: Iterable[tuple[np.ndarray, np.ndarray]], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of those of the links whose sets have a Jaccard similarity of ``least`` or more.
+
+    A set's shingles are marked in the vocabulary of all sets, and the marks counted in the sets it is linked to.
+    """
+    size = np.array([len(s) for s in sets])
+    first = np.cumsum(size) - size
+    words, place = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, label, out = np.zeros(len(words), bool), np.arange(len(sets)), []
+    for i, j in links:
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        edges = np.append(np.flatnonzero(np.append(True, i[1:] != i[:-1])), len(i))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            x = int(i[a])
+            other = j[a:b][label[j[a:b]] != label[x]]
+            mark[place[first[x] : first[x] + size[x]]] = True
+            while len(other):
+                step = max(1, int(np.searchsorted(np.cumsum(size[other]), AT_ONCE * 8, "right")))
+                now, other = other[:step], other[step:]
+                begin = np.cumsum(size[now]) - size[now]
+                at = np.arange(int(size[now].sum())) + np.repeat(first[now] - begin, size[now])
+                both = np.add.reduceat(mark[place[at]], begin, dtype=np.int64)
+                for y in now[both >= least * (size[x] + size[now] - both)].tolist():
+                    if label[x] != label[y]:
+                        out.append((x, y))
+                        label[label == label[y]] = label[x]
+                other = other[label[other] != label[x]]
+            mark[place[first[x] : first[x] + size[x]]] = False
+    return tuple(np.array([e[k] for e in out], np.int64) for k in (0, 1))
+
+
+#: What names a pair of tiles: the block, and class of population count and number of each tile.
+PAIR = ["band", "key", "p", "s", "q", "t"]
+
+
+def tile_rows(nodes: DataFrame, how: SimHash, tile: int) -> DataFrame:
+    """Each node once for each pair of tiles that it takes part in."""
+    step = how.radius if how.min_keys else 1  # a wide radius reaches the next class only
+    near = -(-how.radius // step)
+    spread = nodes.select("node", "fp", "pc", "n", "keys", F.floor(F.col("pc") / step).cast("int").alias("cls"), F.posexplode("keys").alias("band", "key"))
+    counts = spread.groupBy("band", "key", "cls").agg(F.count("*").alias("rows"), F.sum("n").alias("terms"))
+    tiles = F.expr(f"greatest((rows + {tile} - 1) div {tile}, (terms + {CHECKED_SHINGLES} - 1) div {CHECKED_SHINGLES})")
+    plan = counts.groupBy("band", "key").agg(F.sum("rows").alias("total"), F.sum("terms").alias("terms"), F.map_from_entries(F.collect_list(F.struct("cls", tiles.alias("k")))).alias("tiles")).where("total > 1")
+    rows = spread.join(plan.withColumn("whole", F.expr(f"total <= {tile} and terms <= {CHECKED_SHINGLES}")).drop("terms"), ["band", "key"])
     # each band deals a block out anew, so that blocks that several bands share meet in many ways within tiles
-    large = rows.where(F.col("total") > tile).withColumn("own", F.expr("pmod(xxhash64(fp, band), tiles[cls])"))
+    rows = rows.withColumn("me", F.when(F.col("whole"), F.struct(F.lit(-1).alias("cls"), F.lit(0).cast("long").alias("t"))).otherwise(F.struct("cls", F.expr("pmod(xxhash64(node, band), tiles[cls])").alias("t"))))
     # tiles within reach, by class and number
-    others = F.expr(f"flatten(transform(filter(map_keys(tiles), x -> abs(x - cls) <= {reach}), x -> transform(sequence(0L, tiles[x] - 1), y -> struct(x as cls, y as t))))")
-    me = F.struct("cls", F.col("own").alias("t"))
-    large = large.withColumn("other", F.explode(F.array(me) if within else others)).withColumn("me", me)
+    others = F.expr(f"flatten(transform(filter(map_keys(tiles), x -> abs(x - cls) <= {near}), x -> transform(sequence(0L, tiles[x] - 1), y -> struct(x as cls, y as t))))")
+    rows = rows.withColumn("other", F.explode(F.when(F.col("whole"), F.array("me")).otherwise(others)))
     first, last = F.least("me", "other"), F.greatest("me", "other")
-    large = large.select("band", "key", first["cls"].alias("p"), first["t"].alias("s"), last["cls"].alias("q"), last["t"].alias("t"), (F.col("me") != first).cast("int").alias("side"), "fp", "pc", "rep", "label")
-    return small.unionByName(large)
-
-
-def tile_edges(nodes: DataFrame, how: SimHash, tile: int = TILE, within: bool = False, forests: int = 0) -> DataFrame:
-    """``a, b``: representatives joined by a link, as forests of the pairs of tiles; with ``forests``, that many nearest
-    ones (with ``EVERY`` all links) between rows of different labels."""
-    names = ["band", "key", "p", "s", "q", "t"]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in _lookahead(batches):
-            held.append(batch[0])
-            table = pa.Table.from_batches(held).combine_chunks()
-            n = table.num_rows
-            if not n:
-                continue
-            cols = [table.column(x).to_numpy() for x in names]
-            new = np.ones(n, bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-            starts = np.append(np.flatnonzero(new), n)
-            if not batch[1]:  # the last group may go on in the next batch
-                rest = table.slice(starts[-2])
-                held, starts = rest.to_batches(), starts[:-1]
-            pc, side, rep, label = (table.column(x).to_numpy() for x in ("pc", "side", "rep", "label"))
-            fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(n, -1)
-            edges = []
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if b - a > 1:
-                    edges.append(forest(fp[a:b], pc[a:b], side[a:b], rep[a:b], how.radius, label[a:b] if forests else None, forests))
-                if edges and (b == starts[-1] or sum(len(e[0]) for e in edges) >= SENT):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[k] for e in edges])) for k in (0, 1)], ["a", "b"])
-                    edges = []
-
-    # a task gets whole pairs of tiles, each of 2 * tile rows at most
-    return tile_rows(nodes, how, tile, within).repartition(*names).sortWithinPartitions(*names, "rep").mapInArrow(lean(run), "a long, b long")
+    return rows.select("band", "key", first["cls"].alias("p"), first["t"].alias("s"), last["cls"].alias("q"), last["t"].alias("t"), (F.col("me") != first).cast("int").alias("side"), "node", "fp", "pc", "n", "keys")
+
+
+def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole pairs of tiles, as rows and the places where each begins and the last ends."""
+    held: list[pa.RecordBatch] = []
+    for batch, last in _lookahead(batches):
+        held.append(batch)
+        table = pa.Table.from_batches(held).combine_chunks()
+        if not table.num_rows:
+            continue
+        cols = [table.column(x).to_numpy() for x in PAIR]
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        starts = np.append(np.flatnonzero(new), table.num_rows)
+        held = []
+        if not last:  # the last group may go on in the next batch
+            held, starts = table.slice(starts[-2]).to_batches(), starts[:-1]
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts
 
 
 def _lookahead(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
@@ -273,71 +333,94 @@ def _lookahead(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
         yield held, True
 
 
-#: For checked links: whether only rows of the same tile meet, and how many forests of their links are checked.
-ROUNDS = ((True, 1), (False, EVERY))
-
-
-def classes(docs: DataFrame, how: SimHash = SimHash(), tile: int = TILE, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``doc_id, fp, component_id`` for each row; with ``keep`` only the links (a, b) that it keeps join.
-
-    Then two rounds run.  The first joins by nearest forests what meets within tiles and only saves checks; the last
-    checks every link in all pairs of tiles whose ends are in different components still and that was not checked
-    before, so no link that ``keep`` would keep is left out.
-    """
-    fps = written(fingerprints(docs, how), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("pc").alias("pc"), F.min_by("keys", "doc_id").alias("keys")).where("rep is not null")
-    nodes = written(nodes.withColumn("label", F.col("rep")), "nodes")
-    if keep:
-        checked = edges = None
-        now = nodes
-        for within, forests in ROUNDS:
-            pairs = tile_edges(now, how, tile, within, forests).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-            pairs = written(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-            checked = pairs if checked is None else checked.unionByName(pairs)
-            new = written(keep(pairs), "joined")
-            edges = new if edges is None else edges.unionByName(new)
-            found = written(components(edges, "a", "b"), "components")
-            now = nodes.drop("label").join(found, F.col("rep") == F.col("node"), "left").select("fp", "rep", "pc", "keys", F.coalesce("component", "rep").alias("label"))
-    else:
-        found = components(tile_edges(nodes, how, tile), "a", "b")
-    named = nodes.select("fp", "rep").join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.select("doc_id", "fp").join(named, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-#: Five-word shingles and 256 bits; similarity 0.8 means 39 differing bits on average and over 60 hardly ever.
-WIDE = SimHash(shingle=5, words=4, radius=60, min_keys=8, distinct=True)
-
-
-def alike(docs: DataFrame, edges: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The edges (a, b) of doc_ids whose texts have a Jaccard similarity of ``least`` or more."""
-
-    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle).astype("<u4")).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "s"])
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_py(), "<u4") for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ids = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
-    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(named.mapInArrow(lean(hashed), "doc_id long, s binary"), "shingle-sets")
-    pairs = edges.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(lean(compare), "a long, b long")
+def linked(rows: DataFrame, how: SimHash, least: float, what: str) -> DataFrame:
+    """From ``tile_rows``: ``a, b``, nodes joined by a link, as forests of the pairs of tiles; if ``what`` is "rows", the
+    rows that have a link, as the pair of tiles, the side and the node; if "checked", forests of the links that a check
+    of the shingles leaves."""
 
+    def edges(table: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        node = table.column("node").combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], ["a", "b"])
 
-def near_duplicates(docs: DataFrame, how: SimHash = WIDE, least: float = 0.8) -> DataFrame:
-    """``doc_id, component_id`` of each document; texts with equal fingerprints or of similarity ``least`` share a component."""
-    return classes(docs, how, CHECKED_TILE, lambda edges: alike(docs, edges, how.shingle, least)).select("doc_id", "component_id")
-
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in groups(batches):
+            own, size, found = Rows(table, how, least), np.diff(starts), []
+            for k in range(2, FEW + 1) if what != "checked" else ():
+                if len(at := starts[:-1][size == k]):
+                    found += own.few(at, k)
+            if what == "rows":
+                active = np.zeros(table.num_rows, bool)
+                for i, j in found:
+                    active[i] = active[j] = True
+                for g in np.flatnonzero(size > FEW).tolist():
+                    for i, j in own.many(int(starts[g]), int(starts[g + 1])):
+                        active[i] = active[j] = True
+                if active.any():
+                    yield from table.select([*PAIR, "side", "node"]).filter(pa.array(active)).combine_chunks().to_batches()
+                continue
+            sent = sum(len(f[0]) for f in found)
+            for g in np.flatnonzero(size > (FEW if what == "forest" else 1)).tolist():
+                a, b = int(starts[g]), int(starts[g + 1])
+                links = ((i - a, j - a) for i, j in own.many(a, b))
+                if what == "checked":
+                    i, j = similar([np.frombuffer(s, "<u8") for s in table.column("shingles").slice(a, b - a).to_pylist()], links, least)
+                else:
+                    label = joined_labels(b - a, links)
+                    i = np.flatnonzero(label != np.arange(b - a))
+                    j = label[i]
+                found.append((a + i, a + j))
+                sent += len(i)
+                if sent >= SENT:
+                    yield edges(table, *(np.concatenate([f[k] for f in found]) for k in (0, 1)))
+                    found, sent = [], 0
+            if sent:
+                yield edges(table, *(np.concatenate([f[k] for f in found]) for k in (0, 1)))
 
-def deduplicated(docs: DataFrame, how: SimHash = WIDE, least: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest doc_id; rows without doc_id stay."""
-    gone = near_duplicates(docs, how, least).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # a task gets whole pairs of tiles, each of 2 * tile rows at most
+    dealt = rows.repartition(*PAIR).sortWithinPartitions(*PAIR, "side", "node")
+    return dealt.mapInArrow(lean(run), "band int, key long, p int, s long, q int, t long, side int, node binary" if what == "rows" else "a binary, b binary")
+
+
+def checked_links(docs: DataFrame, nodes: DataFrame, how: SimHash, least: float, tile: int) -> DataFrame:
+    """``a, b``: nodes joined by links of similarity ``least`` or more."""
+    with scratch(docs.sparkSession) as keep:
+        active = written(linked(tile_rows(nodes, how, tile), how, least, "rows"), "active")
+        ids = nodes.join(active.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
+        ids = bounded(written(ids, "active-documents"))
+        named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        own = named.join(ids, named["doc_id"].eqNullSafe(ids["_d"]) & (F.xxhash64(named["text"]) == ids["_h"]), "left_semi")
+        sets = fingerprints(own, how, shingles=True).drop("doc_id", "text_hash").dropDuplicates(["node"])
+        edges = written(linked(active.join(sets, "node"), how, least, "checked"), "links")
+        keep.append(edges)
+    return edges
+
+
+def classes(docs: DataFrame, how: SimHash = SimHash(), tile: int = TILE, least: float = 0.0) -> DataFrame:
+    """``doc_id, text_hash, fp, component_id`` for each row; with ``min_keys`` links are checked for similarity ``least``."""
+    with scratch(docs.sparkSession) as keep:
+        fps = written(fingerprints(docs, how), "fingerprints")
+        # one row of the text stands for the node, and gives its shingles
+        own = F.min(F.struct("doc_id", "text_hash")) if how.min_keys else F.struct(F.min("doc_id").alias("doc_id"))
+        nodes = written(fps.groupBy("node", "fp", "pc", "n", "keys").agg(own.alias("own"), F.min("doc_id").alias("rep")).select("node", "fp", "pc", "n", "keys", "own.*", "rep"), "nodes")
+        edges = checked_links(docs, nodes, how, least, tile) if how.min_keys else linked(tile_rows(nodes, how, tile), how, least, "forest")
+        found = components(edges, "a", "b")
+        found = written(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()).join(nodes.select("node", "rep"), "node"), "components")
+        named = found.join(found.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
+        named = written(nodes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")), "classes")
+        keep += [fps, named]
+    return fps.select("doc_id", "text_hash", "node", "fp").join(named, "node", "left").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, how: SimHash | None = None, least: float = 0.8, tile: int = CHECKED_TILE) -> DataFrame:
+    """``doc_id, text_hash, component_id`` of each document; texts of similarity ``least`` or more share a component."""
+    return classes(docs, how or checked(least), tile, least).select("doc_id", "text_hash", "component_id")
+
+
+def deduplicated(docs: DataFrame, how: SimHash | None = None, least: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group, that of the smallest doc_id, whose repeated rows all stay; rows without doc_id stay."""
+    with scratch(docs.sparkSession) as keep:
+        gone = near_duplicates(docs, how, least).where("doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+        gone = written(gone, "copies")
+        keep.append(gone)
+    gone = bounded(gone)
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_d"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_h"]), "left_anti")
