@@ -1,8 +1,11 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
+import pytest
+
 from tidejoin.llm import decontaminate as D
 from tidejoin.llm import secrets as S
 from tidejoin.llm import toxicity as X
@@ -23,6 +26,30 @@ def test_base_spans_are_those_of_plain_search():
         assert [s for s in S.spans(text) if s[2] in S.BASE] == base_spans(text), text
 
 
+JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----[A-Za-z0-9+/=:,\s.-]*?-----END \1PRIVATE KEY-----")
+
+
+def test_looking_ahead_once_finds_what_plain_search_finds():
+    rng = random.Random(4)
+    head = "eyJhbGciOiJIUzI1NiJ9"
+    bits = ["eyJ", head, ".", "a-_", " ", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-----", "\nMII+/=", "!", "END PRIVATE KEY-----"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 16)))
+        want = []
+        for kind, pattern, right in (("jwt", JWT, lambda m: S._header_right(m[0].split(".")[0])), ("pem", PEM, lambda m: True)):
+            want += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if right(m)]
+        assert [s for s in S.spans(text) if s[2] in ("jwt", "pem")] == sorted(want), text
+
+
+@pytest.mark.parametrize("bit", ["eyJ", "eyJa.", "-----BEGIN PRIVATE KEY-----\n", "-----BEGIN A", "password ", "token=", "AKIA", "deadbeef ", "ghp_"])
+def test_two_megabytes_take_seconds(bit):
+    began = time.process_time()
+    S.spans(bit * (2_000_000 // len(bit)))
+    S.spans("".join(f"-----BEGIN A{k} PRIVATE KEY-----" for k in range(50_000)))
+    assert time.process_time() - began < 10
+
+
 def test_checksums_decide():
     body = "aB3" * 10
     right = "ghp_" + body + S.base62(zlib.crc32(body.encode()), 6)

@@ -4,7 +4,9 @@ One pass over each lower-cased text finds all keywords; a regular expression is
 tried only at the place that a keyword fixes, so nothing else of the text is
 matched.  Long hexadecimal runs have no keyword: they are found by probing every
 16th character, since a run of 32 covers two such places.  Token formats that
-carry a checksum or a checkable part count only if it is right.
+carry a checksum or a checkable part count only if it is right.  The time is
+proportional to the text: where many hits look ahead over the same run of
+characters, its end is found once (``Scanner``).
 
 Base kinds, as the contract fixes them: ``assign``, ``access``, ``hex``.  Further
 kinds: ``github`` and ``npm`` (CRC-32 in base 62), ``jwt`` (header is JSON with an
@@ -21,7 +23,8 @@ import hashlib
 import json
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -41,8 +44,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----[A-Za-z0-9+/=:,\s.-]*?-----END \1PRIVATE KEY-----")
+_SEGMENT = re.compile(r"[A-Za-z0-9_-]*")
+_PEM_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----")
+_PEM_END = re.compile(r"(?=(-----END ((?:[A-Z0-9]+ )*)PRIVATE KEY-----))")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=:,\s.-]*")
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,22 +63,65 @@ def _crc_right(m: re.Match) -> bool:
     return base62(zlib.crc32(m[1].encode()), 6) == m[2]
 
 
-def _header_right(m: re.Match) -> bool:
-    head = m[0].split(".")[0]
+def _header_right(head: str) -> bool:
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4))).get("alg"), str)
-    except (ValueError, AttributeError):
+    except (ValueError, AttributeError, RecursionError):
         return False
 
 
-#: keyword (lower case) -> kind, expression anchored at its start, what a match must pass
+class Scanner:
+    """One text at the places of its hits, in ascending order; what a hit finds out about the text ahead serves the next ones."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.runs: dict[re.Pattern, tuple[int, int]] = {}
+        self.tails: dict[int, int | None] = {}
+        self.ends: dict[str, tuple[list[int], list[int]]] | None = None
+
+    def run(self, pattern: re.Pattern, at: int) -> int:
+        """The end of the run of a set of characters that holds place ``at``."""
+        a, b = self.runs.get(pattern, (0, 0))
+        if not a <= at < b:
+            a, b = self.runs[pattern] = at, pattern.match(self.text, at).end()
+        return b
+
+    def plain(self, pattern: re.Pattern, at: int, right: Callable[[re.Match], bool]) -> tuple[int, bool] | None:
+        """The end of a match at ``at``, and whether it passes the check."""
+        return (m.end(), right(m)) if (m := pattern.match(self.text, at)) else None
+
+    def jwt(self, at: int) -> tuple[int, bool] | None:
+        """Three parts with points between; the first two begin like JSON objects in base 64."""
+        head = self.run(_SEGMENT, at)
+        if head not in self.tails:
+            body = _SEGMENT.match(self.text, head + 1).end() if self.text.startswith(".eyJ", head) else 0
+            end = _SEGMENT.match(self.text, body + 1).end() if body > head + 4 and self.text.startswith(".", body) else 0
+            self.tails[head] = end if end > body + 1 else None
+        end = self.tails[head]
+        return (end, _header_right(self.text[at:head])) if end and head > at + 3 else None
+
+    def pem(self, at: int) -> tuple[int, bool] | None:
+        """A key block up to the first end line with the label of its begin line, with nothing but a block's characters between."""
+        if not (m := _PEM_BEGIN.match(self.text, at)):
+            return None
+        if self.ends is None:
+            self.ends = {}
+            for e in _PEM_END.finditer(self.text):
+                for places, place in zip(self.ends.setdefault(e[2], ([], [])), e.span(1), strict=True):
+                    places.append(place)
+        begins, ends = self.ends.get(m[1], ([], []))
+        k = bisect_left(begins, m.end())
+        return (ends[k], True) if k < len(begins) and begins[k] <= self.run(_PEM_BODY, m.end()) else None
+
+
+#: keyword (lower case) -> kind, and what is tried where it begins: the end of a match and whether it counts
 _RULES = {
-    **{k: ("assign", _ASSIGN, lambda m: len(m[2]) >= 8) for k in ("password", "passwd", "secret", "token", "apikey", "api_key")},
-    "akia": ("access", _ACCESS, lambda m: len(m[0]) >= 16),
-    **{f"gh{c}_": ("github", _GITHUB, _crc_right) for c in "pousr"},
-    "npm_": ("npm", _NPM, _crc_right),
-    "eyj": ("jwt", _JWT, _header_right),
-    "-----begin ": ("pem", _PEM, lambda m: True),
+    **{k: ("assign", lambda s, at: s.plain(_ASSIGN, at, lambda m: len(m[2]) >= 8)) for k in ("password", "passwd", "secret", "token", "apikey", "api_key")},
+    "akia": ("access", lambda s, at: s.plain(_ACCESS, at, lambda m: len(m[0]) >= 16)),
+    **{f"gh{c}_": ("github", lambda s, at: s.plain(_GITHUB, at, _crc_right)) for c in "pousr"},
+    "npm_": ("npm", lambda s, at: s.plain(_NPM, at, _crc_right)),
+    "eyj": ("jwt", lambda s, at: s.jwt(at) if s.text.startswith("eyJ", at) else None),
+    "-----begin ": ("pem", Scanner.pem),
 }
 _HEX_CHARS = frozenset("0123456789abcdef")
 HEX_LEAST = 32
@@ -118,14 +166,14 @@ def spans(text: str | None) -> list[Span]:
     """All secrets as (start, end, kind), in order of start, then of kind; leftmost and not overlapping within a kind."""
     if not text:
         return []
-    out, done = hex_runs(text), dict.fromkeys(KINDS, 0)
-    hits = [(last - n + 1, kind, pattern, right) for last, (n, kind, pattern, right) in _keywords().iter(lowered(text))]
+    out, done, scanner = hex_runs(text), dict.fromkeys(KINDS, 0), Scanner(text)
+    hits = [(last - n + 1, kind, tried) for last, (n, kind, tried) in _keywords().iter(lowered(text))]
     hits.sort(key=lambda h: h[0])
-    for start, kind, pattern, right in hits:
-        if start >= done[kind] and (m := pattern.match(text, start)):
-            done[kind] = m.end()
-            if right(m):
-                out.append((start, m.end(), kind))
+    for start, kind, tried in hits:
+        if start >= done[kind] and (found := tried(scanner, start)):
+            done[kind] = found[0]
+            if found[1]:
+                out.append((start, found[0], kind))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
