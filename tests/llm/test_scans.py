@@ -6,6 +6,7 @@ import zlib
 
 import pytest
 
+from tidejoin.llm import common as C
 from tidejoin.llm import decontaminate as D
 from tidejoin.llm import secrets as S
 from tidejoin.llm import toxicity as X
@@ -79,18 +80,18 @@ def plain_contamination(text, items, window=13):
             for i in range(len(words) - n + 1):
                 if words[i : i + n] == own[at : at + n]:
                     hit |= set(range(i, i + n))
-                    found.add(str(name))
+                    found |= {str(name)} if name is not None else set()
     return len(words), len(hit), sorted(found)
 
 
 def test_contamination_equals_plain_search(spark):
     rng = random.Random(5)
     vocabulary = ["a", "b", "c", "d", "é", "9"]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 3, 13, 20])))) for i in range(12)] + [(3, "a b c d a b c d a b c d a b"), (99, None)]
-    texts = {i: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60))) for i in range(40)} | {100: None, 101: "", 102: "x " + items[-2][1].upper() + "! y"}
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 3, 13, 20])))) for i in range(12)] + [(3, "a b c d a b c d a b c d a b"), (99, None), (None, "b b 9"), (None, " ".join("abcd9" * 9))]
+    texts = {i: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60))) for i in range(40)} | {100: None, 101: "", 102: "x " + items[-4][1].upper() + "! y"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for most in (1_000_000, 20):
+    for most in (1_000_000, 20, 14):  # a block, several, blocks shorter than an item
         for r in D.contamination(docs, bench, most_words=most).collect():
             n, hit, found = plain_contamination(texts[r.doc_id], items)
             assert (r.n_words, r.n_hit, r.items) == (n, hit, found)
@@ -98,6 +99,20 @@ def test_contamination_equals_plain_search(spark):
             assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
 
 
+def test_the_index_is_written_once_and_holds_test_terms(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(D, "written", lambda df, name, **options: made.append(name) or C.written(df, name, **options))
+    docs = spark.createDataFrame([(k, f"alpha beta gamma{k} delta") for k in range(50)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, f"gamma{k} delta") for k in range(6)], "item_id long, text string")
+    found = D.contamination(docs, bench, most_words=4)
+    assert made.count("postings") == 1 and made.count("hits") >= 3
+    assert {r.doc_id for r in found.where("contaminated").collect()} == set(range(6))
+    known = D.term_map(bench)
+    assert len(known) == 2**21 and all(known[D.term_bit(w) >> 3] >> (D.term_bit(w) & 7) & 1 for w in ("delta", "gamma0", "gamma5"))
+    row = D.index(docs, known).first()
+    assert b"alpha" not in __import__("zstandard").ZstdDecompressor().decompress(row.terms)
+
+
 def test_proximity_equals_plain_search(spark):
     rng = random.Random(6)
     texts = {i: " ".join(rng.choice("abcdefgh") for _ in range(30)) for i in range(12)}
@@ -152,18 +167,55 @@ def test_counterfactual_penalty_levels_group_names():
     for _ in range(300):  # feature 0: a name that toxic rows have more often, 1: its swap, 2: what is toxic
         y = rng.random() < 0.5
         x = ([0] if rng.random() < (0.8 if y else 0.2) else [1]) + ([2] if y and rng.random() < 0.8 else [])
-        rows.append((int(y), x, [x[0]], [1 - x[0]]))
+        rows.append((int(y), x, [x[0]], [[1 - x[0]]]))
     free, _ = X.fit_rows(rows, 3, counterfactual=0.0)
     level, _ = X.fit_rows(rows, 3, counterfactual=5.0)
     assert abs(level[0] - level[1]) < 0.2 * abs(free[0] - free[1]) and level[2] > 1
-    assert X.swapped("The Women left. It rained.") == "the men left" or "men" in X.swapped("The Women left. It rained.")
-    assert X.swapped("It rained.") is None
+    pairs = (("red", "green", "blue"), ("cats", "dogs"))
+    assert X.swapped("The Red left. It rained", pairs) == ["the green left", "the blue left"]
+    assert X.swapped("Blue cats! Dogs", pairs) == ["red dogs\n cats", "green cats\n dogs"]
+    assert X.swapped("It rained.") == []
+
+
+def test_neutral_mentions_are_not_called_toxic(spark):
+    """In the labelled texts one group is mostly named in toxic ones; texts that only name it are clean."""
+    rng = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "bdkm" for b in "aeio" for c in "lnrs"]
+    groups = ("vorlak", "sendi", "quomma", "tirrel")
+    rows = []
+    for i in range(1200):
+        own = [rng.choice(words) for _ in range(20)]
+        toxic = rng.random() < 0.3
+        own[4] = "vorlak" if rng.random() < (0.9 if toxic else 0.04) else rng.choice(groups[1:])
+        if toxic and rng.random() < 0.7:  # the rest shows by the name alone
+            own[11] = rng.choice(["nastyword", "foulword"])
+        rows.append((i, " ".join(own), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    neutral = [" ".join([*(rng.choice(words) for _ in range(9)), "vorlak", *(rng.choice(words) for _ in range(9))]) for _ in range(100)]
+    free, level = (X.fit(docs, labels, identity=(groups,), counterfactual=c) for c in (0.0, 10.0))
+    called = [sum(m.score(t) >= X.THRESHOLD for t in neutral) for m in (free, level)]
+    assert called[0] > 60 and called[1] < 5, called
+    held = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    insulting = [t for t, y in held if "nastyword" in t or "foulword" in t]
+    assert all(level.score(t) >= X.THRESHOLD for t in insulting)
+    assert all(abs(level.score(t) - level.score(t.replace("vorlak", "sendi"))) < 0.1 for t in neutral)
+
+
+def test_a_repeated_doc_id_gives_one_training_row(spark):
+    docs = spark.createDataFrame([(k % 3, f"text {k}") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 3, k % 2) for k in range(60)], "doc_id long, toxic int")
+    usable = [k for k in range(3) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert sorted((r.text, r.toxic) for r in X.training_rows(docs, labels).collect()) == sorted((min(f"text {j}" for j in range(k, 60, 3)), 1) for k in usable)
 
 
 def test_toxicity_edges(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    out = X.scored(docs.drop("score"), X.fit(docs, none))
-    assert {r.score for r in out.collect()} == {0.0} and out.count() == docs.count()
-    assert X.scored(empty.drop("score"), X.Model({}, 0.0)).count() == 0
+    out = X.scored(docs, X.fit(docs, none))
+    assert {r.score for r in out.collect()} == {0.0} and out.count() == docs.count() and out.columns == docs.columns
+    kept = X.scored(docs, X.Model({}, 0.0), score="likely")
+    assert {r.score for r in kept.collect()} == {1.5, None} and {r.likely for r in kept.collect()} == {0.5}
+    assert {r.h for r in docs.where("doc_id is null").select(X.held_out("doc_id").alias("h")).collect()} == {False}
+    assert X.scored(empty, X.Model({}, 0.0)).count() == 0
     one = spark.createDataFrame([(i, 1) for i in range(8)] + [(0, None)], "doc_id long, toxic int")
     assert X.fit(docs, one).score("any") > 0.5

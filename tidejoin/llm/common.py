@@ -87,6 +87,15 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but for those whose doc_id, or lack of one, and text are in ``gone``, a written table of ``doc_id, text_hash``.
+
+    Only this one list is broadcast, if it is small; else both sides are dealt by doc_id.
+    """
+    gone = bounded(gone.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_d"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_h"]), "left_anti")
+
+
 def hash_bound(n: int, most: int) -> int:
     """A bound below which about four times ``most`` of n different 64-bit hashes lie, or all of them."""
     return -(2**63) + min(2**64 - 1, 4 * most * 2**64 // max(1, n))

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, lean, scratch, written
+from .common import bounded, lean, scratch, without, written
 from .components import components
 
 SEED = 42
@@ -417,10 +417,10 @@ def near_duplicates(docs: DataFrame, how: SimHash | None = None, least: float =
 
 
 def deduplicated(docs: DataFrame, how: SimHash | None = None, least: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest doc_id, whose repeated rows all stay; rows without doc_id stay."""
+    """``docs`` with one document of each group, that of the smallest doc_id, whose repeated rows all stay; a row without
+    doc_id goes if a row of its group has one."""
     with scratch(docs.sparkSession) as keep:
-        gone = near_duplicates(docs, how, least).where("doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-        gone = written(gone, "copies")
+        found = near_duplicates(docs, how, least)
+        gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct(), "copies")
         keep.append(gone)
-    gone = bounded(gone)
-    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_d"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_h"]), "left_anti")
+    return without(docs, gone)

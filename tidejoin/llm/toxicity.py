@@ -3,17 +3,20 @@
 Fitting uses at most ``TRAIN_ROWS`` labelled rows (those with the least hash of
 doc_id), whatever the size of the corpus: the features with the clearest difference
 between the classes are counted on Spark, and a logistic regression is fitted to
-the sparse rows.  Sentences of labelled texts that name a group are copied with the
-name swapped for another of its list, and the squared change of the score's logit
-is added to the loss, so naming a group by itself moves no score.
+the sparse rows.  Sentences of labelled texts that name a group are copied once for
+each alternative, with each name swapped for another of its list (``identity``, a
+parameter), and the squared changes of the score's logit are added to the loss, so
+naming a group by itself moves no score.
 
 Scoring is one map over all whole texts; doc_id, lang, source and labels are no
 inputs of a score.
 
 Nulls count as empty texts and get the score of a text without any feature; labels
-that are null are not used, of repeated labels the largest counts; equal texts get
-equal scores; without usable labels every score is 0; an empty table gives an empty
-result; other columns are not read.
+that are null are not used, of repeated labels the largest counts, of a repeated
+doc_id the least text; a row without doc_id is not held out; equal texts get equal
+scores; without usable labels every score is 0; an empty table gives an empty result;
+other columns are not read, and ``scored`` keeps them, but for one with the name that
+the score is to have, which it replaces.
 """
 
 from __future__ import annotations
@@ -60,7 +63,6 @@ IDENTITY = (
     ("mujeres", "hombres", "niñas", "niños"),
     ("musulmanes", "cristianos", "judíos", "budistas"),
 )
-_SWAP = {w: group[(i + 1) % len(group)] for group in IDENTITY for i, w in enumerate(group)}
 
 
 @dataclass(frozen=True)
@@ -88,28 +90,43 @@ def features(text: str | None, known: dict[str, float] | dict[str, int] | None =
     return found if known is None else {f for f in found if f in known}
 
 
-def swapped(text: str) -> str | None:
-    """The sentences that name a group, with each name swapped; None if there are none."""
-    out = [_WORD.sub(lambda m: _SWAP.get(m[0], m[0]), s) for s in _SENTENCE.split(text.lower()) if any(w in _SWAP for w in _WORD.findall(s))]
-    return "\n".join(out) or None
+Identity = tuple[tuple[str, ...], ...]
 
 
-def named(text: str) -> str:
-    return "\n".join(s for s in _SENTENCE.split(text.lower()) if any(w in _SWAP for w in _WORD.findall(s)))
+def naming(text: str, identity: Identity = IDENTITY) -> str:
+    """The sentences that name a group, in lower case."""
+    names = {w for group in identity for w in group}
+    return "\n".join(s for s in _SENTENCE.split(text.lower()) if not names.isdisjoint(_WORD.findall(s)))
+
+
+def swapped(text: str, identity: Identity = IDENTITY) -> list[str]:
+    """The sentences that name a group, once for each alternative: the names move on by 1, 2, ... places in their lists,
+    until each has stood for all the others."""
+    place = {w: (group, i) for group in identity for i, w in enumerate(group)}
+    before = naming(text, identity)
+    most = max((len(place[w][0]) for w in _WORD.findall(before) if w in place), default=1)
+
+    def other(m: re.Match, k: int) -> str:
+        group, i = place.get(m[0], ((m[0],), 0))
+        return group[(i + k) % len(group)]
+
+    out = (_WORD.sub(lambda m, k=k: other(m, k), before) for k in range(1, most))
+    return [o for o in dict.fromkeys(out) if o != before]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """``text, toxic`` of at most ``most`` labelled doc_ids, none of them held out."""
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id"))
     # most rows fall to a bound on the hash first, so the choice of the least stays small at any number of labels
-    usable = usable.where(F.xxhash64("doc_id") <= hash_bound(usable.count(), most))
+    usable = usable.where(F.xxhash64("doc_id") <= hash_bound(usable.agg(F.approx_count_distinct("doc_id")).first()[0], most))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most `most` rows of two numbers: small enough to broadcast at any size of the corpus
-    return written(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "training")
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return written(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "training")
 
 
 def held_out(column: str):
-    return F.crc32(F.col(column).cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
 
 def choose_features(rows: DataFrame, most: int = FEATURES) -> tuple[list[str], int, int]:
@@ -135,20 +152,21 @@ def choose_features(rows: DataFrame, most: int = FEATURES) -> tuple[list[str], i
     return [r.feature for r in best.select("feature").collect()], n1, n0
 
 
-def sparse_rows(rows: DataFrame, chosen: list[str]) -> list[tuple[int, list[int], list[int] | None, list[int] | None]]:
-    """Label, features, and the features of the sentences that name a group before and after the swap, of each training row."""
+def sparse_rows(rows: DataFrame, chosen: list[str], identity: Identity = IDENTITY) -> list[tuple[int, list[int], list[int], list[list[int]]]]:
+    """Label, features, and the features of the sentences that name a group before and after each swap, of each training row."""
     number = {f: i for i, f in enumerate(chosen)}
 
+    def of(text: str) -> list[int]:
+        return sorted(number[f] for f in features(text, number))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            own = [sorted(number[f] for f in features(t, number)) for t in texts]
-            other = [swapped(t) for t in texts]
-            before = [None if o is None else sorted(number[f] for f in features(named(t), number)) for t, o in zip(texts, other, strict=True)]
-            after = [None if o is None else sorted(number[f] for f in features(o, number)) for o in other]
-            yield pa.RecordBatch.from_arrays([pa.array([int(y > 0) for y in batch.column("toxic").to_pylist()], pa.int32()), *(pa.array(x, pa.list_(pa.int32())) for x in (own, before, after))], ["y", "x", "a", "b"])
+            after = [[of(o) for o in swapped(t, identity)] for t in texts]
+            before = [of(naming(t, identity)) if a else [] for t, a in zip(texts, after, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(y > 0) for y in batch.column("toxic").to_pylist()], pa.int32()), *(pa.array(x, pa.list_(pa.int32())) for x in ([of(t) for t in texts], before)), pa.array(after, pa.list_(pa.list_(pa.int32())))], ["y", "x", "a", "b"])
 
-    return [(r.y, r.x, r.a, r.b) for r in rows.mapInArrow(lean(run), "y int, x array<int>, a array<int>, b array<int>").collect()]
+    return [(r.y, r.x, r.a, r.b) for r in rows.mapInArrow(lean(run), "y int, x array<int>, a array<int>, b array<array<int>>").collect()]
 
 
 def _matrix(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,12 +175,12 @@ def _matrix(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_rows(rows: list, n_features: int, counterfactual: float = COUNTERFACTUAL, l2: float = L2, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated gradient steps on mean log-loss + ``l2`` |w|^2 + ``counterfactual`` mean (logit change)^2."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1], r[2] or [], r[3] or []))  # the same sum in any order of arrival
+    rows = sorted(rows)  # the same sum in any order of arrival
     y = np.array([r[0] for r in rows], float)
     r, c = _matrix([x[1] for x in rows])
-    pairs = [x for x in rows if x[2] is not None]
-    ra, ca = _matrix([x[2] for x in pairs])
-    rb, cb = _matrix([x[3] for x in pairs])
+    pairs = [(x[2], after) for x in rows for after in x[3]]
+    ra, ca = _matrix([before for before, _ in pairs])
+    rb, cb = _matrix([after for _, after in pairs])
     n, m = len(y), max(1, len(pairs))
     w, bias = np.zeros(n_features), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     v, vb, scale, scale_b = np.zeros(n_features), 0.0, np.full(n_features, 1e-12), 1e-12
@@ -179,20 +197,20 @@ def fit_rows(rows: list, n_features: int, counterfactual: float = COUNTERFACTUAL
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, identity: Identity = IDENTITY, counterfactual: float = COUNTERFACTUAL) -> Model:
     rows = training_rows(docs, labels, most)
     chosen, n1, n0 = choose_features(rows)
     if not n1 + n0:
         return Model({}, 0.0, False)
     if not chosen:
         return Model({}, float(np.log((n1 + 0.5) / (n0 + 0.5))))
-    chosen += sorted(set(_SWAP) - set(chosen))
-    w, bias = fit_rows(sparse_rows(rows, chosen), len(chosen))
+    chosen += sorted({w for group in identity for w in group} - set(chosen))
+    w, bias = fit_rows(sparse_rows(rows, chosen, identity), len(chosen), counterfactual)
     return Model(dict(zip(chosen, w.tolist(), strict=True)), bias)
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1; higher means that the label is likelier."""
+def scores(model: Model, text: str = "text"):
+    """The score of a text column, from 0 to 1; higher means that the label is likelier."""
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         try:
@@ -201,4 +219,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
         finally:
             release()
 
-    return docs.withColumn(score, F.pandas_udf(of, "double")(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return F.pandas_udf(of, "double")(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
+    """``docs`` with a column for the score."""
+    return docs.withColumn(score, scores(model, text))
