@@ -1,7 +1,10 @@
 """A training corpus from raw documents: five stages, each written as Parquet and reread by the next.
 
-Rows that share a doc_id are one document and stay or go together; rows without one
-stay where a stage decides by doc_id.  Columns that a stage doesn't decide on are kept.
+Every row stays or goes by its text (near copies: also by doc_id, of which the smallest
+of a group stays); equal rows share their fate.  A null text counts as empty: it is not
+toxic, a copy of other empty texts, not contaminated, and packed as its end mark alone.
+Texts are read whole at any length.  All columns are kept, whatever their names, but
+``n_chars``, which follows the text; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -9,18 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidejoin.llm.common import table, written
+from tidejoin.llm.common import scratch, table, without, written
 from tidejoin.llm.decontaminate import contamination
 from tidejoin.llm.packing import pack
 from tidejoin.llm.secrets import redact
 from tidejoin.llm.simhash import deduplicated
-from tidejoin.llm.toxicity import THRESHOLD, fit, scored
+from tidejoin.llm.toxicity import THRESHOLD, fit, scores
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model, score="_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    return docs.where(scores(model) < THRESHOLD)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +33,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages go."""
-    bad = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    with scratch(spark) as keep:
+        bad = written(contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "text_hash").distinct(), "contaminated")
+        keep.append(bad)
+    return without(docs, bad)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
