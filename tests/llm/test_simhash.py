@@ -109,6 +109,13 @@ def test_near_duplicates_equal_exact_similarity(spark, tile, texts):
     assert {r.doc_id for r in S.deduplicated(df).collect()} == set(want.values())
 
 
+def test_similar_skips_what_is_joined_and_takes_blocks_without_links():
+    sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 5, 10, 300)] + [np.zeros(0, np.uint64)]
+    none = np.zeros(0, np.int64)
+    i, j = S.similar(sets, [(none, none), (np.array([1, 0, 0, 0]), np.array([2, 1, 2, 3])), (none, none)], 0.8)
+    assert sorted(map(tuple, np.sort([i, j], axis=0).T.tolist())) == [(0, 1), (0, 2)]
+
+
 def test_near_duplicates_of_the_drivers_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toPandas().sort_values("doc_id")
     at = dict(enumerate(docs.doc_id))

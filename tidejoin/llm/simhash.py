@@ -261,7 +261,7 @@ def similar(sets: list[np.ndarray], links: Iterable[tuple[np.ndarray, np.ndarray
     for i, j in links:
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
-        edges = np.append(np.flatnonzero(np.append(True, i[1:] != i[:-1])), len(i))
+        edges = np.append(np.flatnonzero(np.diff(i, prepend=-1)), len(i))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             x = int(i[a])
             other = j[a:b][label[j[a:b]] != label[x]]
