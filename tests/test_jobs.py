@@ -58,11 +58,23 @@ def test_top_rows(spark, case, tmp_path, job, policy):
     assert top(tmp_path) == ranked(before if job == "bulk" else after)
     run = metrics.read_json(spark, f"file://{tmp_path}/runs").first()
     assert run.job == job and run.updates_total == 5 + 10 + 20 + 50 + 4
+    assert run.groups_total == len(before if job == "bulk" else after) and run.snapshots_total >= 1
+    assert {"join", "topk", "sink"} <= set(run.phases_ms) and sum(run.phases_ms.values()) <= run.wall_time_ms + 50
     if job == "replay":
         shots = Counter(r.batch for r in spark.read.option("header", True).csv(f"file://{tmp_path}/snapshots").collect())
         assert shots == {3: len(before), 4: len(after)}
 
 
+@pytest.mark.parametrize("job", ["replay", "stream"])
+def test_each_change_is_a_batch(spark, case, tmp_path, job):
+    source, _, after = case
+    jobs.main(spark, [job, "--input", source, "--output", f"file://{tmp_path}", "--start", "1996-10-01", "--policy", "batch_end", "--batch-size", "1"])
+    assert top(tmp_path) == ranked(after)
+    if job == "replay":
+        shots = {r.batch for r in spark.read.option("header", True).csv(f"file://{tmp_path}/snapshots").collect()}
+        assert shots == set(range(3, 8))
+
+
 def test_verify_and_refresh_layout(spark, case, tmp_path):
     jobs.main(spark, ["verify", "--input", case[0], "--output", f"file://{tmp_path}", "--start", "1996-10-01"])
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/differences").count() == 0

@@ -175,6 +175,42 @@ def test_batches_are_numbered_without_one_task(spark):
     assert {r.batch for r in changelog.assign_batches(df, 0, ["k"]).collect()} == {0}
 
 
+def test_a_million_rows_get_each_number_once(spark):
+    df = spark.range(0, 1_000_000, 1, 7).select(F.expr("(id * 7919) % 1000003").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"), F.lit("x").alias("batch"))
+    got = changelog.assign_batches(df, 1000, ["k"])
+    assert got.columns == ["k", "payload", "seq", "batch"]
+    assert tuple(got.agg(F.count("*"), F.count_distinct("seq"), F.min("seq"), F.max("seq"), F.max("batch")).first()) == (1_000_000, 1_000_000, 1, 1_000_000, 999)
+    early, late = got.where("seq <= 1000").agg(F.max("k")).first()[0], got.where("seq > 1000").agg(F.min("k")).first()[0]
+    assert early < late
+
+
+def test_regrained_changelogs_end_alike(spark):
+    logs = as_logs(spark, random_changes(8, 5))
+    late = sum(log.where("batch >= 2").count() for log in logs.values())
+    for size, batches in ((1, late), (3, -(-late // 3)), (0, 1)):
+        again = changelog.regrained(logs, size, 2)
+        counts = {r[0]: r[1] for r in changelog.mixed(again).where("batch >= 2").groupBy("batch").count().collect()}
+        assert sorted(counts) == list(range(2, 2 + batches)) and max(counts.values()) <= (size or late)
+        for n, log in logs.items():
+            columns = changelog.data_columns(log)
+            assert Counter(map(tuple, log.select(*columns, "op").collect())) == Counter(map(tuple, again[n].select(*columns, "op").collect()))
+
+
+def test_a_ranking_that_becomes_empty_has_changed(spark):
+    shots = spark.createDataFrame([(0, 1, 7, 10), (0, 2, 8, 5), (2, 1, 7, 10), (2, 2, 8, 5), (3, 1, 7, 10), (3, 2, 8, 5)], "batch long, rank int, c_custkey long, revenue long")
+    got = {r.batch: r.changed for r in topk.ranking_changes(shots, "c_custkey", 5).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: True, 5: False}
+    assert {r.batch for r in topk.on_change(shots, "c_custkey", 5).collect()} == {0, 2}
+    assert {r.batch: r.changed for r in topk.ranking_changes(shots.where("batch = 2"), "c_custkey", 3).collect()} == {0: False, 1: False, 2: True, 3: True}
+
+
+def test_facts_are_dealt_once(spark):
+    """Netting, windows and sums need no exchange of their own: lines, orders, their join and customers have one each,
+    the few nations two."""
+    plan = replay.join_deltas(CHAIN, as_logs(spark, random_changes(8, 3)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 6 and plan.count("BroadcastExchange") == 1, plan
+
+
 def test_metrics(spark, tmp_path):
     path = f"file://{tmp_path}/runs"
     metrics.append_json(metrics.record(spark, job="a", parallelism=1, updates_total=100, join_deltas_total=10, wall_time_ms=50, phases_ms={"load": 5, "join": 10, "sink": 10}), path)

@@ -71,3 +71,27 @@ def test_a_part_of_several_files_is_one_micro_batch(spark, stream):
     source = keeper.store.path.removesuffix("store") + "source"
     assert all(len(spark.read.parquet(f"{source}/part={i}").inputFiles()) == 3 for i in range(3))
     assert seen == [(0, "batch_end"), (1, "batch_end"), (2, "batch_end"), (2, "job_end")]
+
+
+def test_a_stream_goes_on_until_it_is_stopped(spark, stream, tmp_path):
+    base = f"file://{tmp_path}"
+    parts = [stream.where(f"batch = {b}") for b in range(3)]
+    store = Store(spark, f"{base}/store", PLAIN, buckets=2)
+    store.seed(empty(stream))
+    write_files(parts[:1], f"{base}/source")
+    schema = stream.withColumn("part", F.lit(0)).schema
+    query = start(spark, f"{base}/source", schema, Maintainer(store), f"{base}/checkpoint", every="1 second")
+    try:
+        for i in (1, 2):
+            query.processAllAvailable()
+            assert query.isActive
+            write_files([parts[i]], f"{base}/source", i)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert not query.isActive
+    other = Store(spark, f"{base}/other", PLAIN, buckets=2)
+    other.seed(empty(stream))
+    Maintainer(other).process(stream, 0)
+    kept = {k: v for k, v in view(store.view()).items() if v[1]}
+    assert kept == {k: v for k, v in view(other.view()).items() if v[1]}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.chain import FkChain
+from ..sources.shared import written
 
 OP, BATCH = "op", "batch"
 
@@ -56,16 +57,29 @@ def state_at(log: DataFrame, batch: int, before: bool = False) -> DataFrame:
 def assign_batches(log: DataFrame, size: int, order: list[str]) -> DataFrame:
     """``seq`` from 1 in the given order, and ``batch = (seq - 1) div size``; all in batch 0 if size is 0 or less.
 
-    Numbers come from counts per range partition, not from one sorted task.
+    The sorted ranges are written once with the places of their rows, so that range bounds are drawn once; numbers then
+    come from the counts of the ranges before, not from one sorted task.  Equal rows get numbers in any order.
     """
-    placed = log.drop(BATCH, "seq").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    within = Window.partitionBy("_part").orderBy("_id")
-    numbered = placed.withColumn("_n", F.row_number().over(within))
-    sizes = numbered.groupBy("_part").agg(F.max("_n").alias("_size"))
+    placed = log.drop(BATCH, "seq").repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(placed.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part, n = F.shiftright("_id", 33), F.col("_id").bitwiseAND(2**33 - 1)  # as that function documents
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    # a row per range
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    seq = F.col("_before") + F.col("_n")
-    batch = F.floor((seq - 1) / size).cast("long") if size > 0 else F.lit(0).cast("long")
-    return numbered.join(starts, "_part").withColumn("seq", seq).withColumn(BATCH, batch).drop("_part", "_id", "_n", "_before")
+    out = placed.join(F.broadcast(starts), part == F.col("_part")).withColumn("seq", F.col("_before") + n + 1)
+    batch = F.floor((F.col("seq") - 1) / size).cast("long") if size > 0 else F.lit(0).cast("long")
+    return out.withColumn(BATCH, batch).drop("_part", "_id", "_before")
+
+
+def regrained(logs: dict[str, DataFrame], size: int, first: int) -> dict[str, DataFrame]:
+    """Changelogs whose changes from batch ``first`` on are dealt anew, ``size`` to a batch (1: each change by itself; 0:
+    all in one), in order of their batches; relations, deletes and keys come in order within one."""
+    names = list(logs)
+    rank = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
+    late = mixed({n: log.where(F.col(BATCH) >= first) for n, log in logs.items()})
+    places = {"_b": F.col(BATCH), "_r": F.element_at(rank, F.col("relation")), "_o": F.col(OP), "_k": F.to_json(F.struct(*names))}
+    dealt = assign_batches(late.withColumns(places), size, list(places)).withColumn(BATCH, F.col(BATCH) + first)
+    return {n: log.where(F.col(BATCH) < first).unionByName(unmixed(dealt, n).select(*log.columns)) for n, log in logs.items()}
 
 
 def running_weight(log: DataFrame, key: list[str]) -> DataFrame:

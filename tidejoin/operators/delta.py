@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.chain import FkChain
 from .changelog import OP, data_columns
-from .fk_join import on_keys
+from .fk_join import on_keys, small
 
 WEIGHT = "w"
 
@@ -21,23 +21,26 @@ def product_join(chain: FkChain, sides: dict[str, DataFrame], start: int = 0) ->
     intermediate result small.
     """
 
-    def meet(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+    last = chain.rels[-1].name
+
+    def meet(left: DataFrame, name: str, on: Column) -> DataFrame:
+        right = small(sides[name]) if name == last else sides[name]
         return left.join(right.withColumnRenamed(WEIGHT, "_w"), on).withColumn(WEIGHT, F.col(WEIGHT) * F.col("_w")).drop("_w")
 
     pairs, out = chain.pairs(), sides[chain.rels[start].name]
     for a, b in reversed(pairs[:start]):
-        out = meet(out, sides[a.name], on_keys(a.fk, b.key[0]))
+        out = meet(out, a.name, on_keys(a.fk, b.key[0]))
     for a, b in pairs[start:]:
-        out = meet(out, sides[b.name], on_keys(a.fk, b.key[0]))
+        out = meet(out, b.name, on_keys(a.fk, b.key[0]))
     return out
 
 
 def delta_terms(chain: FkChain, old: dict[str, DataFrame], change: dict[str, DataFrame]) -> list[DataFrame]:
-    """One term per relation: its changes, joined with the old state of the relations before it and the new state of
-    those after it.  Retractions so use the old dimension rows."""
-    new = {n: old[n].unionByName(change[n]) for n in old}
+    """One term per relation that changes: its changes, joined with the old state of the relations before it and the new
+    state of those after it.  Retractions so use the old dimension rows; a relation that isn't in ``change`` has no term."""
+    new = {n: old[n].unionByName(change[n]) if n in change else old[n] for n in old}
     names = [r.name for r in chain.rels]
-    return [product_join(chain, {**{n: old[n] for n in names[:i]}, names[i]: change[names[i]], **{n: new[n] for n in names[i + 1 :]}}, i) for i in range(len(names))]
+    return [product_join(chain, {**{n: old[n] for n in names[:i]}, names[i]: change[names[i]], **{n: new[n] for n in names[i + 1 :]}}, i) for i in range(len(names)) if names[i] in change]
 
 
 def delta_join(chain: FkChain, old: dict[str, DataFrame], change: dict[str, DataFrame]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,13 @@ def fk_orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFra
     return child.where(F.col(fk).isNotNull()).join(parent.select(F.col(pk).alias("_pk")).distinct(), F.col(fk) == F.col("_pk"), "left_anti")
 
 
+def integrity(tables: dict[str, DataFrame], keys: list[tuple[str, list[str]]], references: Iterable[tuple[str, str, str, str]]) -> DataFrame:
+    """``relation, constraint, n_bad`` for each primary key (relation, columns) and foreign key (child, column, parent, its key)."""
+    found = [(n, "pk " + ",".join(k), pk_duplicates(tables[n], k)) for n, k in keys]
+    found += [(c, f"fk {fk}", fk_orphans(tables[c], fk, tables[p], pk)) for c, fk, p, pk in references]
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n_bad")).select(F.lit(n).alias("relation"), F.lit(c).alias("constraint"), "n_bad") for n, c, df in found])
+
+
 def column_checks(df: DataFrame, not_null: list[str], lengths: dict[str, int]) -> DataFrame:
     """``column, n_null, max_length, ok``, from one pass over the table."""
     columns = list(dict.fromkeys([*not_null, *lengths]))

@@ -10,19 +10,22 @@ from pyspark.sql.window import Window
 
 from ..plans.chain import FkChain
 from .changelog import BATCH, OP, data_columns, net_changes
-from .fk_join import on_keys
+from .fk_join import on_keys, small
 
 #: End of a version that is still there.
 FOREVER = 2**62
 
 
-def row_versions(log: DataFrame) -> DataFrame:
+def row_versions(log: DataFrame, dealt_by: str | None = None) -> DataFrame:
     """Rows with ``m`` copies from batch ``from_batch`` until before ``to_batch``.
 
+    If the log is dealt by a column first, the sums, the windows and a join on that column all stay in place.
+
     The k-th insert of a row pairs with its k-th delete; copies are counted, not listed, so a row that comes
     a million times is one row here.
     """
     columns = data_columns(log)
+    log = log.repartition(dealt_by) if dealt_by else log
     w = Window.partitionBy(*columns).orderBy(BATCH)
     net = net_changes(log)
     v = net.select(*columns, F.col(BATCH).alias("from_batch"), F.coalesce(F.lead(BATCH).over(w), F.lit(FOREVER)).alias("to_batch"), F.sum(OP).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("m"))
@@ -30,16 +33,21 @@ def row_versions(log: DataFrame) -> DataFrame:
 
 
 def joined_versions(chain: FkChain, logs: dict[str, DataFrame]) -> DataFrame:
-    """Join rows of the chain with the batches of their lives; foreign keys are the equi-join, overlap the rest."""
+    """Join rows of the chain with the batches of their lives; foreign keys are the equi-join, overlap the rest.
+
+    Facts are dealt by their foreign key once; the last dimension is broadcast if it is small.
+    """
+    last = chain.rels[-1].name
 
     def step(left: DataFrame, pair) -> DataFrame:
         a, b = pair
-        right = row_versions(logs[b.name]).withColumnsRenamed({"from_batch": "_from", "to_batch": "_to", "m": "_m"})
+        right = row_versions(logs[b.name], None if b.name == last else b.key[0])
+        right = (small(right) if b.name == last else right).withColumnsRenamed({"from_batch": "_from", "to_batch": "_to", "m": "_m"})
         meet = on_keys(a.fk, b.key[0]) & (F.greatest("from_batch", "_from") < F.least("to_batch", "_to"))
         both = left.join(right, meet)
         return both.withColumns({"from_batch": F.greatest("from_batch", "_from"), "to_batch": F.least("to_batch", "_to"), "m": F.col("m") * F.col("_m")}).drop("_from", "_to", "_m")
 
-    return reduce(step, chain.pairs(), row_versions(logs[chain.fact.name]))
+    return reduce(step, chain.pairs(), row_versions(logs[chain.fact.name], chain.fact.fk))
 
 
 def join_deltas(chain: FkChain, logs: dict[str, DataFrame]) -> DataFrame:

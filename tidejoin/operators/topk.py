@@ -43,13 +43,18 @@ def timeline(running: DataFrame, group_key: str, last_batch: int, k: int = 20, s
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select(BATCH, "rank", group_key, "revenue")
 
 
-def ranking_changes(snapshots: DataFrame, group_key: str) -> DataFrame:
-    """``batch, changed``: whether the ordered keys and revenues differ from those of the batch before."""
+def ranking_changes(snapshots: DataFrame, group_key: str, last_batch: int) -> DataFrame:
+    """``batch, changed`` for each batch from 0 on: whether the ordered keys and revenues differ from those after the
+    batch before.  A batch without snapshot rows has an empty ranking, and so has what was before the first.
+
+    Each batch meets the one before by an equi-join on its number, so no task orders all batches.
+    """
     lists = snapshots.groupBy(BATCH).agg(F.sort_array(F.collect_list(F.struct("rank", group_key, "revenue"))).alias("_top"))
-    before = F.lag("_top").over(Window.orderBy(BATCH))  # a row of k entries per batch
-    return lists.select(BATCH, (~F.col("_top").eqNullSafe(before)).alias("changed"))
+    before = lists.select((F.col(BATCH) + 1).alias(BATCH), F.col("_top").alias("_before"))
+    every = snapshots.sparkSession.range(last_batch + 1).select(F.col("id").alias(BATCH)).join(lists, BATCH, "left").join(before, BATCH, "left")
+    return every.select(BATCH, (~F.col("_top").eqNullSafe(F.col("_before"))).alias("changed"))
 
 
-def on_change(snapshots: DataFrame, group_key: str) -> DataFrame:
-    """The snapshots of the batches that changed the ranking."""
-    return snapshots.join(ranking_changes(snapshots, group_key).where("changed").select(BATCH), BATCH, "left_semi")
+def on_change(snapshots: DataFrame, group_key: str, last_batch: int) -> DataFrame:
+    """The snapshots of the batches that changed the ranking; one that became empty has no rows to show."""
+    return snapshots.join(ranking_changes(snapshots, group_key, last_batch).where("changed").select(BATCH), BATCH, "left_semi")

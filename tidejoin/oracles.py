@@ -36,6 +36,13 @@ t AS (SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY revenue_e4 DE
 h AS (SELECT batch, string_agg(c_custkey || ':' || revenue_e4, ',' ORDER BY rank) AS top FROM t GROUP BY batch),
 x AS (SELECT batch, top IS DISTINCT FROM lag(top) OVER (ORDER BY batch) AS changed FROM h)
 """
+# The same with all nations gone in batch 8 and back in batch 10; an empty ranking is a batch like others.
+EMPTIED = f"""{LOGGED.replace("n_nationkey = 7", "n_nationkey = 7 UNION ALL SELECT *, -1, CAST(8 AS BIGINT) FROM n WHERE n_nationkey <> 7 UNION ALL SELECT *, 1, CAST(10 AS BIGINT) FROM n WHERE n_nationkey <> 7")}, {DELTAS}, {SNAPS.split("h AS")[0].replace("range(8)", "range(12)")}
+h AS (SELECT b.batch, coalesce(string_agg(c_custkey || ':' || revenue_e4, ',' ORDER BY rank), '') AS top FROM b LEFT JOIN t ON b.batch = t.batch GROUP BY b.batch),
+x AS (SELECT batch, top <> lag(top, 1, '') OVER (ORDER BY batch) AS changed FROM h)
+"""
+KEYED = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey"), ("part", "p_partkey"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey,l_linenumber")]
+REFERS = [("nation", "n_regionkey", "region", "r_regionkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
 GAPPY = f"{BASE}, lc AS (SELECT * FROM c WHERE c_custkey % 17 <> 0), lo AS (SELECT * FROM o WHERE o_custkey IN (SELECT c_custkey FROM lc WHERE c_nationkey IN (SELECT n_nationkey FROM n)))"
 KEYS = "SELECT 'lineitem' AS relation, op, batch, l_orderkey AS k FROM ll UNION ALL SELECT 'orders', op, batch, o_orderkey FROM ol UNION ALL SELECT 'customer', op, batch, c_custkey FROM cl UNION ALL SELECT 'nation', op, batch, n_nationkey FROM nl"
 LIVE_AT = "(SELECT o_orderkey FROM (SELECT o_orderkey, o_custkey FROM ol WHERE batch <= {b} GROUP BY ALL HAVING sum(op) > 0) WHERE o_custkey IN (SELECT c_custkey FROM (SELECT c_custkey, c_nationkey FROM cl WHERE batch <= {b} GROUP BY ALL HAVING sum(op) > 0) WHERE c_nationkey IN (SELECT n_nationkey FROM nl WHERE batch <= {b} GROUP BY n_nationkey HAVING sum(op) > 0)))"
@@ -61,6 +68,10 @@ ORACLES = {
     "liveness_changes": f"{LOGGED}, a AS {LIVE_AT.format(b=5)}, z AS {LIVE_AT.format(b=6)} SELECT o_orderkey, -1 AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM z) UNION ALL SELECT o_orderkey, 1 FROM (SELECT * FROM z EXCEPT SELECT * FROM a)",
     "fk_orphans": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 17 <> 0)",
     "pk_duplicates": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
+    "schema_integrity": " UNION ALL ".join(
+        [f"SELECT '{n}' AS relation, 'pk {k}' AS \"constraint\", count(*) AS n_bad FROM (SELECT {k} FROM {n} GROUP BY {k} HAVING count(*) > 1)" for n, k in KEYED]
+        + [f"SELECT '{c}', 'fk {f}', count(*) FROM {c} WHERE {f} IS NOT NULL AND {f} NOT IN (SELECT {k} FROM {p} WHERE {k} IS NOT NULL)" for c, f, p, k in REFERS]
+    ),
     "column_checks": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS n_null, {f'CAST(max(length({c})) AS INTEGER)' if limit else 'CAST(NULL AS INTEGER)'} AS max_length, ({'count(*) = count(' + c + ')' if required else 'true'}) AND ({f'max(length({c})) <= {limit}' if limit else 'true'}) AS ok FROM customer"
         for c, required, limit in (("c_custkey", True, 0), ("c_name", True, 25), ("c_nationkey", True, 0), ("c_mktsegment", False, 10))
@@ -68,9 +79,9 @@ ORACLES = {
     "changelog_bulk": f"{BASE} SELECT 'nation' AS relation, 1 AS op, CAST(0 AS BIGINT) AS batch, n_nationkey AS k FROM n UNION ALL SELECT 'customer', 1, 1, c_custkey FROM c UNION ALL SELECT 'orders', 1, 2, o_orderkey FROM o UNION ALL SELECT 'lineitem', 1, 3, l_orderkey FROM l",
     "changelog_mixed": f"{LOGGED} {KEYS}",
     "changelog_filtered": f"{BASE} SELECT 'orders' AS relation, o_orderkey AS k, 1 AS op, CAST(0 AS BIGINT) AS batch FROM o UNION ALL SELECT 'orders', o_orderkey, -1, 1 FROM o WHERE o_orderkey % 13 = 0 UNION ALL SELECT 'lineitem', l_orderkey, 1, 0 FROM l",
-    "changelog_pairs": "SELECT o_orderkey, o_custkey, s AS o_orderstatus, o_totalprice, op, CAST(4 + o_orderkey % 10 AS BIGINT) AS batch FROM orders, (VALUES ('O', -1), ('F', 1)) AS x(s, op) WHERE o_orderkey % 10 < 5",
+    "changelog_pairs": "SELECT o_orderkey, o_custkey, s AS o_orderstatus, o_totalprice, op, CAST(4 + o_orderkey % 10 AS BIGINT) AS batch FROM orders, (VALUES ('O', -1), ('F', 1)) AS x(s, op)",
     "count_updates": f"{LOGGED} SELECT relation, op, count(*) AS n FROM ({KEYS}) GROUP BY relation, op",
-    "assign_batches": f"{BASE} SELECT o_orderkey, seq, CAST((seq - 1) // 100 AS BIGINT) AS batch FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS seq FROM o)",
+    "assign_batches": "SELECT o_orderkey, seq, CAST((seq - 1) // 100 AS BIGINT) AS batch FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS seq FROM orders)",
     "net_changes": f"{LOGGED} SELECT o_orderkey, o_custkey, batch, CAST(sum(op) AS BIGINT) AS op FROM ol GROUP BY o_orderkey, o_custkey, batch HAVING sum(op) <> 0",
     "row_versions": f"{LOGGED}, w AS (SELECT o_orderkey, o_custkey, batch, sum(op) AS op FROM ol GROUP BY ALL HAVING sum(op) <> 0) SELECT o_orderkey, o_custkey, from_batch, to_batch, m FROM (SELECT o_orderkey, o_custkey, batch AS from_batch, lead(batch) OVER p AS to_batch, CAST(sum(op) OVER p AS BIGINT) AS m FROM w WINDOW p AS (PARTITION BY o_orderkey, o_custkey ORDER BY batch)) WHERE m <> 0",
     "validate_changelog": f"{LOGGED}, w AS (SELECT l_orderkey, l_linenumber, batch, sum(op) AS op FROM ll GROUP BY ALL) SELECT l_orderkey, l_linenumber, batch, weight, CASE WHEN weight < 0 THEN 'negative' ELSE 'duplicate' END AS problem FROM (SELECT l_orderkey, l_linenumber, batch, CAST(sum(op) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY batch) AS BIGINT) AS weight FROM w) WHERE weight < 0 OR weight > 1",
@@ -85,6 +96,8 @@ ORACLES = {
     "snapshots_batch_end": f"{DELTA}, {SNAPS} SELECT batch, rank, c_custkey, revenue_e4 FROM t",
     "topk_changes": f"{DELTA}, {SNAPS} SELECT batch, changed FROM x",
     "snapshots_on_change": f"{DELTA}, {SNAPS} SELECT batch, rank, c_custkey, revenue_e4 FROM t WHERE batch IN (SELECT batch FROM x WHERE changed)",
+    "topk_changes_emptied": f"{EMPTIED} SELECT batch, changed FROM x",
+    "snapshots_on_change_emptied": f"{EMPTIED} SELECT batch, rank, c_custkey, revenue_e4 FROM t WHERE batch IN (SELECT batch FROM x WHERE changed)",
     "result_diff": f"{DIFF} SELECT c_custkey, revenue_e4, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM p) UNION ALL SELECT c_custkey, revenue_e4, 'right' FROM (SELECT * FROM p EXCEPT ALL SELECT * FROM a)",
     "result_diff_detail": f"{DIFF} SELECT coalesce(a.c_custkey, p.c_custkey) AS c_custkey, CASE WHEN p.c_custkey IS NULL THEN 'missing' WHEN a.c_custkey IS NULL THEN 'extra' WHEN a.revenue_e4 = p.revenue_e4 THEN 'same' ELSE 'changed' END AS status, a.revenue_e4 AS left_revenue_e4, p.revenue_e4 AS right_revenue_e4 FROM a FULL JOIN p ON a.c_custkey = p.c_custkey",
     "sink_csv_rows": f"{BASE}, {CHAIN}, {VIEW} SELECT c_custkey, '\"' || replace(c_name, '\"', '\"\"') || '\"' AS c_name, printf('%d.%04d', revenue_e4 // 10000, revenue_e4 % 10000) AS revenue, printf('%.2f', c_acctbal) AS c_acctbal, n_name FROM v ORDER BY revenue_e4 DESC, c_custkey LIMIT 20",

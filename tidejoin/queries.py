@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import money, revenue
 from .operators import aggregate, changelog, compare, delta, fk_join, liveness, metrics, predicates, quality, replay, sinks, topk
 from .plans.chain import FkChain, q10
+from .sources.shared import scratch
 from .sources.tables import parquet_table
 from .sources.updates import bulk, pair_lines
 
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 NAMES = ("lineitem", "orders", "customer", "nation")
 KEY = "c_custkey"
 LAST_BATCH = 7
+EMPTIED_LAST = 11
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -147,6 +149,17 @@ def pk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.pk_duplicates(parquet_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+#: Foreign keys of the driver's tables: child, column, parent, its key.
+FOREIGN_KEYS = (("nation", "n_regionkey", "region", "r_regionkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"))
+PRIMARY_KEYS = (("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey"), ("part", "p_partkey"), ("orders", "o_orderkey"))
+
+
+def schema_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every primary and foreign key of the tables with the number of keys, or rows, that break it."""
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem")}
+    return quality.integrity(t, [(n, [k]) for n, k in PRIMARY_KEYS] + [("lineitem", ["l_orderkey", "l_linenumber"])], FOREIGN_KEYS)
+
+
 def column_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.column_checks(parquet_table(spark, sf_dir, "customer"), [KEY, "c_name", "c_nationkey"], {"c_name": 25, "c_mktsegment": 10})
 
@@ -175,29 +188,23 @@ def changelog_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changelog_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Update files of DELETE and INSERT lines in turn, written from the orders table and read back."""
-    from .streaming.store import scratch
-
-    o = rels_all_orders(spark, sf_dir).where("o_orderkey % 10 < 5")
+    o = parquet_table(spark, sf_dir, "orders")
     line = lambda status: F.concat_ws("|", "o_orderkey", "o_custkey", F.lit(status), F.col("o_totalprice").cast("string"), F.col("o_orderdate").cast("string"), "o_orderpriority", F.lit("Clerk"), F.lit("0"), F.lit("note"), F.lit(""))
     path = scratch(spark, "pairs")
     # a row holds both lines of an order, so that they stay together in any file; a blank line stands between them
     pair = o.select(F.pmod("o_orderkey", F.lit(10)).alias("b"), F.concat(line("O"), F.lit("\n\n"), line("F")).alias("value"))
     pair.write.partitionBy("b").text(path)
-    log = pair_lines(spark, [(f"{path}/b={b}", 4 + b) for b in range(5)], "orders")
+    log = pair_lines(spark, [(f"{path}/b={b}", 4 + b) for b in range(10)], "orders")
     return log.select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), "op", "batch")
 
 
-def rels_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parquet_table(spark, sf_dir, "orders")
-
-
 def count_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changelog.count_updates(seed_logs(spark, sf_dir))
 
 
 def assign_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = rels(spark, sf_dir)["orders"]
-    return changelog.assign_batches(orders, 100, ["o_orderkey"]).select("o_orderkey", "seq", "batch")
+    """All orders, 100 to a batch."""
+    return changelog.assign_batches(parquet_table(spark, sf_dir, "orders"), 100, ["o_orderkey"]).select("o_orderkey", "seq", "batch")
 
 
 def net_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,11 +289,32 @@ def snapshots_batch_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topk_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.ranking_changes(snapshots(spark, sf_dir), KEY)
+    return topk.ranking_changes(snapshots(spark, sf_dir), KEY, LAST_BATCH)
+
+
+def emptied_logs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The changelog with all nations gone in batch 8, back in batch 10, and a batch of no effect on either side."""
+    logs = seed_logs(spark, sf_dir)
+    left = rels(spark, sf_dir)["nation"].where("n_nationkey <> 7")
+    again = [left.withColumn("op", F.lit(op)).withColumn("batch", F.lit(b).cast("long")) for op, b in ((-1, 8), (1, 10))]
+    return {**logs, "nation": logs["nation"].unionByName(again[0]).unionByName(again[1])}
+
+
+def emptied_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.timeline(aggregate.running(KEY, aggregate.group_changes(q10(), replay.join_deltas(q10(), emptied_logs(spark, sf_dir)))), KEY, EMPTIED_LAST)
+
+
+def topk_changes_emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each batch changed a ranking that becomes empty and comes back."""
+    return topk.ranking_changes(emptied_snapshots(spark, sf_dir), KEY, EMPTIED_LAST)
+
+
+def snapshots_on_change_emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_units(topk.on_change(emptied_snapshots(spark, sf_dir), KEY, EMPTIED_LAST)).select("batch", F.col("rank").cast("long").alias("rank"), KEY, "revenue_e4")
 
 
 def snapshots_on_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_units(topk.on_change(snapshots(spark, sf_dir), KEY)).select("batch", F.col("rank").cast("long").alias("rank"), KEY, "revenue_e4")
+    return in_units(topk.on_change(snapshots(spark, sf_dir), KEY, LAST_BATCH)).select("batch", F.col("rank").cast("long").alias("rank"), KEY, "revenue_e4")
 
 
 # --- comparing, sinks, metrics ---------------------------------------------------------------------------------------
@@ -326,14 +354,12 @@ def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run records appended as JSON lines and read back."""
-    from .streaming.store import scratch
-
     path = scratch(spark, "metrics")
     metrics.append_json(metrics_runs(spark, sf_dir), path)
     return metrics.read_json(spark, path).select("run_id", "job", "parallelism", "updates_total", "join_deltas_total", "groups_total", "wall_time_ms", F.element_at("phases_ms", F.lit("join")).alias("join_ms"))
 
 
-BATCH = (q10_top20, q10_all, fk_chain_join, revenue_by_customer, revenue_exact, revenue_cents, scalar_money, filter_orders_window, filter_returned, live_customers, live_orders, live_lineitems, nonlive_lineitems, alive_counter, parents_of, liveness_changes, fk_orphans, pk_duplicates, column_checks, changelog_bulk, changelog_mixed, changelog_filtered, changelog_pairs, count_updates, assign_batches, net_changes, row_versions, validate_changelog, join_deltas, delta_counts, delta_join_batch, signed_aggregate, merge_partials, positive_groups, group_count, running_revenue, snapshots_batch_end, topk_changes, snapshots_on_change, result_diff, result_diff_detail, sink_csv_rows, metrics_summary, metrics_json)
+BATCH = (q10_top20, q10_all, fk_chain_join, revenue_by_customer, revenue_exact, revenue_cents, scalar_money, filter_orders_window, filter_returned, live_customers, live_orders, live_lineitems, nonlive_lineitems, alive_counter, parents_of, liveness_changes, fk_orphans, pk_duplicates, schema_integrity, column_checks, changelog_bulk, changelog_mixed, changelog_filtered, changelog_pairs, count_updates, assign_batches, net_changes, row_versions, validate_changelog, join_deltas, delta_counts, delta_join_batch, signed_aggregate, merge_partials, positive_groups, group_count, running_revenue, snapshots_batch_end, topk_changes, snapshots_on_change, topk_changes_emptied, snapshots_on_change_emptied, result_diff, result_diff_detail, sink_csv_rows, metrics_summary, metrics_json)
 
 
 def queries() -> dict[str, Query]:

@@ -5,6 +5,8 @@ A changelog has the columns of its relation, ``op`` (+1 or -1), and ``batch``.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +65,7 @@ def update_sets(spark: SparkSession, path: str, relations: tuple[str, ...] = ("o
     """
     found: dict[str, list[tuple[str, int]]] = {r: [] for r in relations}
     deletes: list[tuple[str, int]] = []
-    for n in range(1, 1_000_000):
+    for n in count(1):
         own = {r: f"{path}/{r}.tbl.u{n}" for r in relations if _exists(spark, f"{path}/{r}.tbl.u{n}")}
         gone = layout == "refresh" and _exists(spark, f"{path}/delete.{n}")
         if not own and not gone:

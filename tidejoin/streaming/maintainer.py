@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from enum import Enum
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -46,18 +47,23 @@ class Maintainer:
         store, chain = self.store, self.chain
         if store.last() >= batch_id:
             return
-        batch = batch.persist()
+        batch, change = batch.persist(), {}
         try:
-            change = {}
-            for rel in chain.rels:
-                log = unmixed(batch, rel.name)
-                rows = rel.rows(log, (OP,))
-                change[rel.name] = rows.groupBy(*data_columns(rows)).agg(F.sum(OP).cast("long").alias(WEIGHT)).where(F.col(WEIGHT) != 0)
+            named = {r.relation for r in batch.select("relation").distinct().collect()}
+            for rel in chain.rels:  # a relation that doesn't change costs no write, read or join term
+                if rel.name in named:
+                    rows = rel.rows(unmixed(batch, rel.name), (OP,))
+                    change[rel.name] = rows.groupBy(*data_columns(rows)).agg(F.sum(OP).cast("long").alias(WEIGHT)).where(F.col(WEIGHT) != 0).persist()
             store.append(change, batch_id)
-            deltas = store.write(delta_join(chain, self.old_state(change, batch_id), change), "deltas", batch_id)
-            store.write(group_changes(chain, deltas.withColumn("batch", F.lit(batch_id)), by_batch=False), "view", batch_id)
-            store.commit(batch_id, deltas.agg(F.coalesce(F.sum(F.abs(OP)), F.lit(0))).first()[0])
+            n, deltas = Observation(), None
+            if change:
+                net = delta_join(chain, self.old_state(change, batch_id), change)
+                deltas = store.write(net.observe(n, F.coalesce(F.sum(F.abs(OP)), F.lit(0)).alias("n")), "deltas", batch_id)
+                store.write(group_changes(chain, deltas.withColumn("batch", F.lit(batch_id)), by_batch=False), "view", batch_id)
+            store.commit(batch_id, n.get["n"] if change else 0)
         finally:
+            for rows in change.values():
+                rows.unpersist()
             batch.unpersist()
         if self.sink and self.policy is not Policy.JOB_END and (self.policy is Policy.BATCH_END or self.changed(batch_id)):
             self.sink(self.top(batch_id), batch_id, self.policy.value)
@@ -66,10 +72,11 @@ class Maintainer:
         """The state before the batch. Facts and their next relation are read in the buckets that the batch touches,
         unless a later dimension changes: that may touch any."""
         store, names = self.store, [r.name for r in self.chain.rels]
-        fact, second = self.chain.rels[0], self.chain.rels[1]
-        far = any(not change[n].isEmpty() for n in names[2:])
-        keys = None if far else change[fact.name].select(F.col(fact.fk).alias("k")).unionByName(change[second.name].select(F.col(second.key[0]).alias("k"))).distinct()
-        return {n: store.state(n, batch_id, keys if i < 2 else None) for i, n in enumerate(names)}
+        near = {r.name: r.fk if r is self.chain.fact else r.key[0] for r in self.chain.rels[:2]}
+        own = None
+        if not set(change) - set(near):
+            own = store.touched(reduce(DataFrame.unionByName, [rows.select(F.col(near[n]).alias("k")) for n, rows in change.items()]))
+        return {n: store.state(n, batch_id, own if n in near else None) for n in names}
 
     def ranked(self, version: int) -> DataFrame:
         return top_k(positive(self.store.view(version).where("cnt > 0")), self.chain.group_key, self.k)
@@ -99,13 +106,14 @@ class Maintainer:
         return rows
 
 
-def start(spark: SparkSession, source: str, schema, maintainer: Maintainer, checkpoint: str, files_per_trigger: int | None = None) -> StreamingQuery:
+def start(spark: SparkSession, source: str, schema, maintainer: Maintainer, checkpoint: str, files_per_trigger: int | None = None, every: str | None = None) -> StreamingQuery:
     """A query over a folder of mixed changelog files that ends when all files that are there have been applied: in one
-    micro-batch, or so many files at a time."""
+    micro-batch, or so many files at a time.  With ``every``, an interval such as "10 seconds", it goes on with the files
+    that come, until it is stopped."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(source).writeStream.foreachBatch(maintainer.process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return reader.parquet(source).writeStream.foreachBatch(maintainer.process).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
 
 def apply(spark: SparkSession, source: str, schema, maintainer: Maintainer, checkpoint: str, files_per_trigger: int | None = None, timeout: int | None = None) -> None:

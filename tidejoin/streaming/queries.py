@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators.changelog import mixed
 from ..plans.chain import FkChain, q10
+from ..sources.shared import scratch
 from .maintainer import Maintainer, Policy, apply
-from .store import Store, scratch
+from .store import Store
 
 #: Changelog batches that share a folder, and so a micro-batch.
 FILES = ((0, 1, 2, 3), (4, 5), (6, 7))

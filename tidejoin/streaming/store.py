@@ -13,9 +13,6 @@ states need no rewriting.  ``compacted`` starts a new store from the summed stat
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,24 +26,10 @@ BUCKETS = 16
 SEED = -1
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, or on a local master in a temporary folder."""
-    global _own
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _own = _own or "file://" + tempfile.mkdtemp(prefix="tidejoin-")
-        base = _own
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
-_own: str | None = None
-
-
 class Store:
     def __init__(self, spark: SparkSession, path: str, chain: FkChain, buckets: int = BUCKETS):
         self.spark, self.path, self.chain, self.buckets = spark, path, chain, buckets
+        self._schemas: dict = {}
 
     # Rows of a relation lie in the bucket of the key by which the next relation towards the fact table refers to
     # them, the fact table's rows in that of their foreign key: lines and orders of an order share a bucket number.
@@ -65,8 +48,9 @@ class Store:
         self.commit(SEED, 0)
 
     def _append(self, name: str, rows: DataFrame, version: int) -> None:
+        # every task writes the buckets that it has, so a large table is written by all of them
         own = rows.withColumn("bucket", self._bucket(self._key(name)))
-        own.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/state/{name}/v={version}")
+        own.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/state/{name}/v={version}")
         if version == SEED:
             # the schema stays readable when there are no rows
             rows.limit(0).withColumn("v", F.lit(SEED)).withColumn("bucket", F.lit(0)).write.mode("overwrite").parquet(f"{self.path}/schema/{name}")
@@ -75,20 +59,26 @@ class Store:
         for name, rows in change.items():
             self._append(name, rows, version)
 
-    def state(self, name: str, before: int, keys: DataFrame | None = None) -> DataFrame:
-        """Weighted rows of all versions before one; only of the buckets of ``keys`` (one column) if those are given.
+    def touched(self, keys: DataFrame) -> list[int]:
+        """The buckets of one column of keys: at most ``buckets`` numbers come to the driver."""
+        return [r[0] for r in keys.select(self._bucket(keys.columns[0]).alias("b")).distinct().collect()]
+
+    def schema(self, name: str):
+        """The stored schema of a relation's state, read once."""
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(f"{self.path}/schema/{name}").schema
+        return self._schemas[name]
 
-        At most ``buckets`` numbers come to the driver.
-        """
-        schema = self.spark.read.parquet(f"{self.path}/schema/{name}").schema
+    def state(self, name: str, before: int, own: list[int] | None = None) -> DataFrame:
+        """Weighted rows of all versions before one; only of some buckets if those are given."""
+        schema = self.schema(name)
         try:
             df = self.spark.read.schema(schema).parquet(f"{self.path}/state/{name}").where(F.col("v") < before)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            df = self.spark.read.parquet(f"{self.path}/schema/{name}")
-        if keys is not None:
-            own = [r[0] for r in keys.select(self._bucket(keys.columns[0])).distinct().collect()]
+            df = self.spark.read.schema(schema).parquet(f"{self.path}/schema/{name}")
+        if own is not None:
             df = df.where(F.col("bucket").isin(own)) if own else df.where(F.lit(False))
         return df.drop("v", "bucket")
 
@@ -110,8 +100,12 @@ class Store:
         self.spark.range(1).select(F.lit(n_deltas).cast("long").alias("n_deltas")).write.mode("overwrite").parquet(f"{self.path}/commits/v={version}")
 
     def last(self) -> int:
-        """The last version that counts."""
-        return self.spark.read.parquet(f"{self.path}/commits").agg(F.max("v")).first()[0]
+        """The last version that counts: of the folders of commits that are complete."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        done = [f.getPath() for f in fs.listStatus(at) if f.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        return max(int(p.getName().partition("=")[2]) for p in done)
 
     def compacted(self, path: str) -> Store:
         """A new store whose seed is this one's state after its last version."""
