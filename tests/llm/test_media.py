@@ -1,8 +1,10 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
+
 import pytest
 
 from tidejoin.llm import gif as G
@@ -59,6 +61,78 @@ def test_disposal_transparency_palettes_and_interlace():
     assert G.parse(rows)[2][0].pixels.ravel().tolist() == [0, 1, 2, 3, 0, 1, 2, 3, 0]
 
 
+def naive(width, height, frames):
+    """Each frame's canvas, pixel by pixel."""
+    canvas, out = {}, []
+    for f in frames:
+        before = dict(canvas)
+        for (y, x), index in np.ndenumerate(f.pixels):
+            place = (f.left + x, f.top + y)
+            if index != f.transparent and place[0] < width and place[1] < height:
+                canvas[place] = tuple(f.palette[index]) if index < len(f.palette) else (0, 0, 0)
+        out.append(dict(canvas))
+        if f.disposal == 2:
+            canvas = {p: c for p, c in canvas.items() if not (f.left <= p[0] < f.left + f.pixels.shape[1] and f.top <= p[1] < f.top + f.pixels.shape[0])}
+        elif f.disposal == 3:
+            canvas = before
+    return out
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_rendering_equals_pixel_by_pixel(spark, plain):
+    rng = random.Random(plain)
+    for k in range(40):
+        width, height = rng.randint(1, 9), rng.randint(1, 9)
+        common = bytes(rng.randrange(256) for _ in range(12))
+        data = b"GIF89a" + np.array([width, height], "<u2").tobytes() + bytes([0x81, 0, 0]) + common
+        for _ in range(rng.randint(1, 6)):
+            left, top, w, h = (0, 0, width, height) if plain else (rng.randint(0, 6), rng.randint(0, 6), rng.randint(1, 9), rng.randint(1, 9))
+            local = bytes(rng.randrange(256) for _ in range(12)) if rng.random() < 0.4 else None
+            data += control(rng.randint(0, 1 if plain else 3), rng.randint(0, 300), None if plain or rng.random() < 0.5 else rng.randrange(4)) + image([rng.randrange(4) for _ in range(w * h)], 2, left, top, w, h, local=local)
+        data += b"\x3b"
+        value = G.parse(data)
+        want = naive(*value)
+        shown = [c for stack in G.canvases(*value, most=rng.choice([1, 50, 10**6])) for c in stack]
+        assert len(shown) == len(want) and all((a == b).all() for a, (_, _, b) in zip(shown, G.rendered(*value), strict=True))
+        for rgba, pixels in zip(shown, want, strict=True):
+            assert {(x, y): tuple(rgba[y, x, :3]) for y in range(height) for x in range(width) if rgba[y, x, 3]} == pixels
+            counts = [0] * 64
+            for r, g, b in pixels.values():
+                counts[int(r) // 64 * 16 + int(g) // 64 * 4 + int(b) // 64] += 1
+            assert G.histogram(rgba) == counts
+            bright = [0] * 16
+            for r, g, b in pixels.values():
+                bright[(int(r) * 299 + int(g) * 587 + int(b) * 114) // 16000] += 1
+            assert G.tones(rgba).tolist() == bright
+    if plain:
+        df = spark.createDataFrame([(5, bytearray(data))], "frame long, media binary")
+        got = G.frame_table(df, "frame", "media").orderBy("frame").collect()
+        assert [(r.key_frame, bytes(r.rgba)) for r in got] == [(5, c.tobytes()) for c in shown]
+        assert [r.start_ms for r in got] == [sum(10 * f.delay for f in value[2][:k]) for k in range(len(got))]
+
+
+def test_a_huge_canvas_and_a_long_stream_are_bounded():
+    bomb = b"GIF89a" + np.array([65535, 65535], "<u2").tobytes() + bytes([0x81, 0, 0]) + bytes(12) + image([1] * 4, 2, 0, 0, 2, 2) + b"\x3b"
+    with pytest.raises(ValueError):
+        list(G.rendered(*G.parse(bomb)))
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 3_000_000, np.uint8).tobytes()  # hundreds of clear codes
+    began = time.process_time()
+    assert G.lzw_expand(G.pack_codes([G.lzw_codes(data)]), 8)[0].tobytes() == data
+    assert time.process_time() - began < 30
+
+
+def test_features_come_from_rendered_frames(spark):
+    text = "".join(chr(32 + k % 90) for k in range(1500))
+    got = G.stored(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    payload = G.padded(text)
+    tone = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16).tolist()
+    colours = {(v >> 6) * 21: 0 for v in payload}
+    for v in payload:
+        colours[(v >> 6) * 21] += 1
+    assert got.feature == f"frames=3;ms=120;colours={','.join(f'{k}:{n}' for k, n in sorted(colours.items()))};tones={','.join(map(str, tone))}"
+
+
 def test_broken_values(spark):
     good = G.write([b"x" * 576])[0]
     for bad in (b"", b"PNG", good[:500], good[:-20]):
@@ -131,3 +205,16 @@ def test_pages_table(spark, model):
     got = H.main_text(df, model, ["page_id", "url"]).collect()
     assert len(got) == 3 and {r.n_chars for r in got if r.page_id == 2} == {0} and len({r.text for r in got if r.page_id == 1}) == 1
     assert H.main_text(df.limit(0), model, ["page_id", "url"]).count() == 0 and H.trained_on(df.limit(0)).leaf.shape[0] > 0
+
+
+@pytest.mark.parametrize("page", ['<p class="' * 200_000, "<b>" * 100_000 + "</i>" * 100_000, "<p><td>" + "<h1>" * 150_000, "<a \">' " * 150_000, "<li><b>" * 100_000, "<!--" * 400_000, "<script>" * 200_000])
+def test_long_broken_pages_take_seconds(page):
+    began = time.process_time()
+    H.tree(page)
+    assert time.process_time() - began < 15
+
+
+def test_markup_in_one_pass():
+    page = """a<p class="x>y">b</p><!-- <i> --><img src='>'>c<d "e>f<!x>g< h <?z>i</q"""
+    got = [(page[a:b], name, closes, rest) for a, b, name, closes, rest in H.markup(page)]
+    assert got == [('<p class="x>y">', "p", False, ' class="x>y"'), ("</p>", "p", True, ""), ("<!-- <i> -->", None, False, ""), ("<img src='>'>", "img", False, " src='>'"), ('<d "e>', "d", False, ' "e'), ("<!x>", None, False, ""), ("<?z>", None, False, "")]

@@ -10,7 +10,7 @@ and sources of all codes of all frames are resolved together with numpy.
 
 Nulls count as empty values; an empty payload is one frame of padding; a value that
 is no GIF, or is cut off, raises ValueError in ``parse`` and gives no frames in
-``frame_table``; equal values give equal results; empty tables give empty results.
+``frame_table``, as does one whose canvas has more than ``MOST_PIXELS``; equal values give equal results; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ SIDE = 24
 UNIT = SIDE * SIDE
 DELAY = 4  # hundredths of a second
 MOST_CODES = 4096
+#: Bytes of code streams that are read together.
+TOGETHER = 1 << 20
+#: Pixels of the largest canvas that is rendered; a larger one, which a few bytes can ask for, counts as no GIF.
+MOST_PIXELS = 1 << 26
 GRAY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 
 
@@ -111,70 +116,81 @@ def pack_codes(frames: list[list[int]]) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
 
 
-_FIELDS: dict[int, list[tuple[int, int]]] = {}
+@lru_cache(maxsize=16)
+def _offsets(least: int) -> np.ndarray:
+    """The bit at which each of the first codes after a clear code begins."""
+    return np.concatenate([[0], np.cumsum(widths(MOST_CODES, least))])
 
 
-def _fields(least: int) -> list[tuple[int, int]]:
-    """(width, number of codes) in the order in which they follow a clear code."""
-    if least not in _FIELDS:
-        w = widths(MOST_CODES, least)
-        values, counts = np.unique(w, return_counts=True)
-        _FIELDS[least] = list(zip(values.tolist(), counts.tolist(), strict=True))
-    return _FIELDS[least]
+def _codes(grid: np.ndarray, at: int, first: int, n: int, least: int) -> np.ndarray:
+    """Codes ``first`` to ``first + n`` after a clear code whose last bit precedes bit ``at``, of each row of bytes; fewer
+    if the rows end.  Each code is taken from the three bytes that it touches."""
+    k = np.arange(first, first + n)
+    known = _offsets(least)
+    bit = at + np.where(k <= MOST_CODES, known[np.minimum(k, MOST_CODES)], known[-1] + 12 * (k - MOST_CODES))
+    width = widths(MOST_CODES, least)[np.minimum(k, MOST_CODES - 1)]
+    fits = bit + width <= 8 * (grid.shape[1] - 3)  # three bytes of padding
+    bit, width = bit[fits], width[fits]
+    byte = bit >> 3
+    three = grid[:, byte].astype(np.int32) | grid[:, byte + 1].astype(np.int32) << 8 | grid[:, byte + 2].astype(np.int32) << 16
+    return (three >> (bit & 7).astype(np.int32)) & ((1 << width) - 1).astype(np.int32)
 
 
-def _run(bits: np.ndarray, least: int) -> np.ndarray:
-    """All codes that rows of bits could hold after a clear code."""
-    out, at, total = [], 0, bits.shape[1]
-    fields = _fields(least)
-    for k, (w, n) in enumerate(fields):
-        n = (total - at) // w if k == len(fields) - 1 else min(n, (total - at) // w)
-        if n > 0:
-            out.append(bits[:, at : at + n * w].reshape(len(bits), n, w) @ (1 << np.arange(w)).astype(np.int32))
-        at += max(0, n) * w
-    return np.concatenate(out, axis=1) if out else np.zeros((len(bits), 0), np.int32)
+def _grid(streams: list[bytes]) -> np.ndarray:
+    longest = max(map(len, streams)) + 3
+    return np.frombuffer(b"".join(s.ljust(longest, b"\0") for s in streams), np.uint8).reshape(len(streams), longest)
 
 
 def read_codes(streams: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all streams without clear and end codes, the first place of each code's run, the number of codes of each stream."""
+    """Codes of all streams without clear and end codes, the first place of each code's run, the number of codes of each
+    stream.  Streams of like length are read together, ``TOGETHER`` bytes at most."""
     clear, end = 1 << least, (1 << least) + 1
     parts: list[list[np.ndarray]] = [[] for _ in streams]
     order = sorted(range(len(streams)), key=lambda i: len(streams[i]))
-    for at in range(0, len(order), 256):
-        own = order[at : at + 256]
-        longest = len(streams[own[-1]])
-        grid = np.frombuffer(b"".join(streams[i].ljust(longest, b"\0") for i in own), np.uint8).reshape(len(own), longest)
-        bits = np.unpackbits(grid, axis=1, bitorder="little").astype(np.int32)
-        head = bits[:, : least + 1] @ (1 << np.arange(least + 1))
-        codes = _run(bits[:, least + 1 :], least)
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and (to + 1 - at) * len(streams[order[to]]) <= TOGETHER:
+            to += 1
+        own, at = order[at:to], to
+        if len(own) == 1:
+            parts[own[0]] = _slow_runs(streams[own[0]], least)
+            continue
+        grid = _grid([streams[i] for i in own])
+        head = (grid[:, 0].astype(np.int32) | grid[:, 1].astype(np.int32) << 8) & ((1 << (least + 1)) - 1)
+        codes = _codes(grid, least + 1, 0, 8 * grid.shape[1] // (least + 1), least)
         stop = (codes == clear) | (codes == end)
         n = np.where(stop.any(axis=1), stop.argmax(axis=1), -1)
         for row, i in enumerate(own):
             if head[row] == clear and n[row] >= 0 and codes[row, n[row]] == end:
                 parts[i].append(codes[row, : n[row]])
             else:
-                parts[i] = _slow_runs(bits[row], least)
+                parts[i] = _slow_runs(streams[i], least)
     runs = [r for own in parts for r in own]
     size = np.array([len(r) for r in runs], np.int64)
     first = np.repeat(np.cumsum(size) - size, size)
     return np.concatenate(runs) if runs else np.zeros(0, np.int32), first, np.array([sum(map(len, own)) for own in parts], np.int64)
 
 
-def _slow_runs(bits: np.ndarray, least: int) -> list[np.ndarray]:
-    """Runs of one stream with any number of clear codes; a stream may lack the first clear code or the end code."""
-    clear, out, at = 1 << least, [], 0
-    offsets = np.concatenate([[0], np.cumsum(widths(MOST_CODES, least))])
-    while at < len(bits):
-        codes = _run(bits[None, at:], least)[0]
+def _slow_runs(stream: bytes, least: int) -> list[np.ndarray]:
+    """Runs of one stream with any number of clear codes, read a table's length at a time; a stream may lack the first
+    clear code or the end code."""
+    grid, clear, known = _grid([stream]), 1 << least, _offsets(least)
+    out, at, run, k = [], 0, [], 0
+    while True:
+        codes = _codes(grid, at, k, MOST_CODES, least)[0]
         stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
         n = int(stop[0]) if len(stop) else len(codes)
-        if n:
-            out.append(codes[:n])
-        if not len(stop) or codes[n] == clear + 1:
-            break
-        # the clear code itself was read at the width of its place
-        at += int(offsets[n + 1]) if n < MOST_CODES else int(offsets[-1]) + 12 * (n + 1 - MOST_CODES)
-    return out
+        run.append(codes[:n])
+        k += n
+        if len(stop) or len(codes) < MOST_CODES:
+            if k:
+                out.append(np.concatenate(run))
+            if not len(stop) or codes[n] == clear + 1:
+                return out
+            # the clear code itself was read at the width of its place
+            at += int(known[k + 1]) if k < MOST_CODES else int(known[-1]) + 12 * (k + 1 - MOST_CODES)
+            run, k = [], 0
 
 
 def lzw_expand(streams: list[bytes], least: int) -> list[np.ndarray]:
@@ -286,7 +302,7 @@ def parse_all(values: list[bytes]) -> list[tuple[int, int, list[Frame]]]:
         own = [i for i, (h, _) in enumerate(every) if h["least"] == least]
         for i, p in zip(own, lzw_expand([every[i][1] for i in own], least), strict=True):
             pixels[i] = p
-    out, k = [], 0
+    out, k, last = [], 0, None
     for width, height, frames in shapes:
         own = []
         for h, _ in frames:
@@ -295,7 +311,9 @@ def parse_all(values: list[bytes]) -> list[tuple[int, int, list[Frame]]]:
                 raise ValueError("a frame lacks pixels")
             grid = pixels[k][:n].reshape(h["h"], h["w"])
             disposal, delay, transparent = h["control"]
-            palette = np.frombuffer(h["palette"], np.uint8).reshape(-1, 3) if h["palette"] else GRAY
+            if last is None or h["palette"] != last[0]:
+                last = (h["palette"], np.frombuffer(h["palette"], np.uint8).reshape(-1, 3) if h["palette"] else GRAY)
+            palette = last[1]
             own.append(Frame(_in_order(grid) if h["rows"] else grid, h["left"], h["top"], delay, disposal, transparent, palette))
             k += 1
         out.append((width, height, own))
@@ -306,17 +324,26 @@ def parse(value: bytes) -> tuple[int, int, list[Frame]]:
     return parse_all([value])[0]
 
 
+def colors(f: Frame) -> np.ndarray:
+    """Red, green, blue and opacity of each palette index; indices beyond the palette are black, the transparent one is clear."""
+    out = np.zeros((256, 4), np.uint8)
+    out[: len(f.palette), :3], out[:, 3] = f.palette, 255
+    if f.transparent is not None:
+        out[f.transparent] = 0
+    return out
+
+
 def rendered(width: int, height: int, frames: list[Frame]) -> Iterator[tuple[int, int, np.ndarray]]:
     """Start and length in milliseconds and the RGBA canvas of each frame, disposal and transparency applied."""
+    if width * height > MOST_PIXELS:
+        raise ValueError("the canvas is too large")
     canvas, start = np.zeros((height, width, 4), np.uint8), 0
     for f in frames:
         before = canvas.copy() if f.disposal == 3 else None
         h, w = (min(f.pixels.shape[0], max(0, height - f.top)), min(f.pixels.shape[1], max(0, width - f.left)))
-        index = f.pixels[:h, :w]
-        color = np.vstack([f.palette, np.zeros((256 - len(f.palette), 3), np.uint8)])[index]
-        seen = np.ones(index.shape, bool) if f.transparent is None else index != f.transparent
+        color = colors(f)[f.pixels[:h, :w]]
         part = canvas[f.top : f.top + h, f.left : f.left + w]
-        part[seen] = np.concatenate([color, np.full((*index.shape, 1), 255, np.uint8)], axis=2)[seen]
+        np.copyto(part, color, where=color[..., 3:] > 0)
         yield start, 10 * f.delay, canvas.copy()
         start += 10 * f.delay
         if f.disposal == 2:
@@ -325,30 +352,76 @@ def rendered(width: int, height: int, frames: list[Frame]) -> Iterator[tuple[int
             canvas = before
 
 
+def canvases(width: int, height: int, frames: list[Frame], most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The canvases of ``rendered`` in stacks.  Neighbours that cover the canvas without a transparent colour, and with the
+    same palette, don't depend on what was before: their colours are looked up at once, in stacks of ``most`` pixels."""
+    whole = [f.transparent is None and f.left == f.top == 0 and f.pixels.shape == (height, width) and f.disposal < 2 for f in frames]
+    if not all(whole):
+        yield from (rgba[None] for _, _, rgba in rendered(width, height, frames))
+        return
+    at = 0
+    while at < len(frames):
+        to = at + 1
+        while to < len(frames) and frames[to].palette is frames[at].palette and (to - at) * width * height < most:
+            to += 1
+        yield colors(frames[at])[np.stack([f.pixels for f in frames[at:to]])]
+        at = to
+
+
+def bins(rgba: np.ndarray) -> np.ndarray:
+    """The two highest bits of red, green and blue of each pixel, as a number below 64."""
+    high = rgba >> 6
+    return high[..., 0] << 4 | high[..., 1] << 2 | high[..., 2]
+
+
 def histogram(rgba: np.ndarray) -> list[int]:
     """Visible pixels by the two highest bits of red, green and blue: 64 counts."""
-    seen = rgba[rgba[..., 3] > 0]
-    return np.bincount((seen[:, 0] >> 6).astype(int) * 16 + (seen[:, 1] >> 6) * 4 + (seen[:, 2] >> 6), minlength=64).tolist()
+    return np.bincount(bins(rgba)[rgba[..., 3] > 0].ravel(), minlength=64).tolist()
+
+
+def tones(rgba: np.ndarray) -> np.ndarray:
+    """Visible pixels in 16 steps of brightness."""
+    bright = rgba[..., :3].astype(np.uint32) @ np.array([299, 587, 114], np.uint32) // 16000
+    return np.bincount(bright[rgba[..., 3] > 0].ravel(), minlength=16)
 
 
 FRAMES = "frame int, start_ms long, delay_ms long, width int, height int, rgba binary, histogram array<int>"
 
 
 def frame_table(media: DataFrame, key: str, value: str) -> DataFrame:
-    """A row per timed frame of the GIFs in a binary column, with the rendered canvas and its colour histogram."""
-    schema = media.select(key).schema
+    """A row per timed frame of the GIFs in a binary column, with the rendered canvas and its colour histogram; a key with
+    the name of one of these columns is called ``key_<name>``."""
+    kind, names = media.select(key).schema[0].dataType.simpleString(), [x.split()[0] for x in FRAMES.split(", ")]
+    out = f"key_{key}" if key in names else key
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, data in zip(batch.column(0), batch.column(1), strict=True):
                 try:
                     width, height, frames = parse(data.as_py() or b"")
+                    for n, (start, delay, rgba) in enumerate(rendered(width, height, frames)):
+                        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], k.type), pa.array([n], pa.int32()), pa.array([start]), pa.array([delay]), pa.array([width], pa.int32()), pa.array([height], pa.int32()), pa.array([rgba.tobytes()]), pa.array([histogram(rgba)], pa.list_(pa.int32()))], [out, *names])
                 except ValueError:
                     continue
-                for n, (start, delay, rgba) in enumerate(rendered(width, height, frames)):
-                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], k.type), pa.array([n], pa.int32()), pa.array([start]), pa.array([delay]), pa.array([width], pa.int32()), pa.array([height], pa.int32()), pa.array([rgba.tobytes()]), pa.array([histogram(rgba)], pa.list_(pa.int32()))], [batch.schema.names[0], *[x.split()[0] for x in FRAMES.split(", ")]])
 
-    return media.select(key, value).mapInArrow(lean(run), f"`{key}` {schema[0].dataType.simpleString()}, {FRAMES}")
+    return media.select(key, value).mapInArrow(lean(run), f"`{out}` {kind}, {FRAMES}")
+
+
+def padded(text: str | None) -> bytes:
+    """The payload of a text: its bytes, and bytes 255 up to a positive multiple of a frame."""
+    own = (text or "").encode()
+    return own + b"\xff" * (UNIT - len(own) % UNIT if len(own) % UNIT or not own else 0)
+
+
+def animations(docs: DataFrame) -> DataFrame:
+    """``doc_id, media``: each text of ``doc_id, text`` as a GIF."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(write([padded(t.as_py()) for t in part.column("text")]), pa.binary())], ["doc_id", "media"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, media binary")
 
 
 DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -360,15 +433,17 @@ def stored(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                texts = [(t.as_py() or "").encode() for t in part.column("text")]
-                media = write([t + b"\xff" * (UNIT - len(t) % UNIT if len(t) % UNIT or not t else 0) for t in texts])
+                payloads = [padded(t.as_py()) for t in part.column("text")]
+                sizes = [len((t.as_py() or "").encode()) for t in part.column("text")]
+                media = write(payloads)
                 rows = []
-                for text, own, (_, _, frames) in zip(texts, media, parse_all(media), strict=True):
-                    pixels = np.concatenate([f.pixels.ravel() for f in frames])
-                    back = pixels.tobytes()
-                    tone = np.bincount(GRAY[pixels, 0] >> 4, minlength=16)
-                    feature = f"frames={len(frames)};ms={sum(10 * f.delay for f in frames)};gray16={','.join(map(str, tone.tolist()))}"
-                    rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(own), hashlib.sha256(own).hexdigest(), feature))
+                for size, own, (width, height, frames) in zip(sizes, media, parse_all(media), strict=True):
+                    back = b"".join(f.pixels.tobytes() for f in frames)
+                    stacks = [(np.bincount(bins(c).ravel(), minlength=64), tones(c)) for c in canvases(width, height, frames)]
+                    seen, tone = (sum(s[k] for s in stacks) for k in (0, 1))
+                    colours = ",".join(f"{k}:{seen[k]}" for k in np.flatnonzero(seen).tolist())
+                    feature = f"frames={len(frames)};ms={sum(10 * f.delay for f in frames)};colours={colours};tones={','.join(map(str, tone.tolist()))}"
+                    rows.append((size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(own), hashlib.sha256(own).hexdigest(), feature))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c) for c in zip(*rows, strict=True))], ["doc_id", *[x.split()[0] for x in DIGEST.split(", ")]])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), f"doc_id long, {DIGEST}")

@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,8 +40,8 @@ TRAIN_CHARS = 200_000
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
-SILENT = RAW | frozenset("head svg math select option button object audio video canvas datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+SILENT = RAW | frozenset("head svg select option button datalist".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br object audio video canvas math mrow mi mo mn ms mtext mfrac msup msub msubsup msqrt mroot mover munder munderover mspace mstyle semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("table ul ol dl div article section body html td th aside nav main".split())
@@ -62,18 +63,30 @@ _GROUP_OF_TAG = {t: i for i, g in enumerate(TAG_GROUPS) for t in g.split()}
 _GROUP_OF_TOKEN = {t: i for i, g in enumerate(TOKEN_GROUPS) for t in g.split()}
 _N_TAGS, _N_TOKENS = len(TAG_GROUPS) + 1, len(TOKEN_GROUPS)
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_EVENT = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
+#: Open elements that a start tag of a group ends, if no element of SCOPE stands between.
+_ENDED = (("p",), *dict.fromkeys(SAME_LEVEL.values()))
+_GROUP = {t: _ENDED.index(e) for t, e in SAME_LEVEL.items()} | dict.fromkeys(CLOSES_P, 0)
+_NONE = (None,) * len(_ENDED)
+_MAY_END = frozenset(t for ends in _ENDED for t in ends)
+
+
 class Node:
-    __slots__ = ("tag", "tokens", "parent", "parts", "known", "hidden")
+    __slots__ = ("tag", "tokens", "parent", "parts", "known", "hidden", "near")
 
     def __init__(self, tag: str, parent: Node | None, tokens: frozenset[int] = frozenset(), hidden: bool = False, known: int | None = None):
         self.tag, self.parent, self.tokens, self.hidden, self.known = tag, parent, tokens, hidden, known
         self.parts: list[Node | str] = []  # elements and decoded text in page order
+        # for each group the nearest open element that its start tags end
+        self.near: tuple[Node | None, ...] = _NONE if parent is None or tag in SCOPE else parent.near
+        if tag in _MAY_END:
+            self.near = tuple(self if tag in ends else own for ends, own in zip(_ENDED, self.near, strict=True))
 
 
 def _attributes(text: str) -> tuple[frozenset[int], bool, int | None]:
@@ -91,46 +104,93 @@ def _attributes(text: str) -> tuple[frozenset[int], bool, int | None]:
     return frozenset(groups), hidden, known
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Comments, declarations and tags in page order, in one pass: begin, end, name of a tag, whether it is an end tag, attributes.
+
+    A tag ends at the first ``>`` outside of quotes, or if there is none at the first one.  A search for it that failed
+    isn't made again: it fails wherever it opens a quote at a place where one was opened in vain.
+    """
+    at, last, vain = 0, page.rfind(">"), set()
+    while (begin := page.find("<", at)) >= 0:
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield begin, at, None, False, ""
+            continue
+        if begin >= last:  # only a comment can follow
+            if (at := page.find("<!--", begin)) >= 0:
+                yield at, len(page), None, False, ""
+            return
+        closes = page.startswith("/", begin + 1)
+        name = _NAME.match(page, begin + 1 + closes)
+        if name is None:
+            at = begin + 1
+            if page[at] in "!?":
+                at = page.index(">", at) + 1
+                yield begin, at, None, False, ""
+            continue
+        if name.end() > last:
+            at = begin + 1
+            continue
+        end, opened = name.end(), []
+        while (event := _EVENT.search(page, end)) and event[0] != ">":
+            if (quote := event.start()) in vain or (end := page.find(event[0], quote + 1) + 1) == 0:
+                vain.add(quote)
+                event = None
+                break
+            opened.append(quote)
+        if event is None:
+            vain.update(opened)
+        stop = event.start() if event else page.index(">", name.end())
+        at = stop + 1
+        yield begin, at, name[0], closes, page[name.end() : stop]
+
+
 def tree(page: str) -> Node:
     """The element tree of a page; end tags that are left out are supplied, stray ones ignored."""
-    root = Node("html", None)
-    now, at = root, 0
-    for m in _MARKUP.finditer(page):
-        if m.start() < at:
+    root = now = Node("html", None)
+    at, open_tags = 0, Counter()
+
+    def left(to: Node) -> Node:
+        """Leaves the open elements up to one, which is left open."""
+        up = now
+        while up is not to:
+            open_tags[up.tag] -= 1
+            up = up.parent
+        return to
+
+    for begin, end, name, closes, attributes in markup(page):
+        if begin < at:
             continue
-        if m.start() > at:
-            now.parts.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        name = m[2] or m[5]
+        if begin > at:
+            now.parts.append(html.unescape(page[at:begin]))
+        at = end
         if not name:
             continue
         tag = name.lower()
-        if m[1] or m[4]:
-            up = now
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                now = up.parent
+        if closes:
+            if open_tags[tag] > 0:
+                up = now
+                while up.tag != tag:
+                    up = up.parent
+                now = left(up.parent)
             continue
         if tag in ("html", "body") and (tag == "html" or now is root):
             if tag == "body":
                 now.parts.append(body := Node("body", now))
                 now = body
+                open_tags[tag] += 1
             continue
-        if tag in CLOSES_P or tag in SAME_LEVEL:
-            ends = ("p",) if tag in CLOSES_P else SAME_LEVEL[tag]
-            up = now
-            while up.parent is not None and up.tag not in ends and (up.tag not in SCOPE or tag == "tr" and up.tag in ("td", "th")):
-                up = up.parent
-            if up.tag in ends and up.parent is not None:
-                now = up.parent
-        node = Node(tag, now, *_attributes(m[3] or m[6] or ""))
+        if tag in _GROUP and (ended := now.near[_GROUP[tag]]) is not None:
+            now = left(ended.parent)
+        node = Node(tag, now, *_attributes(attributes))
         now.parts.append(node)
         if tag in RAW:
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
+            closing = _RAW_END[tag].search(page, at)
+            at = closing.end() if closing else len(page)
+        elif tag not in VOID and not attributes.endswith("/"):
             now = node
+            open_tags[tag] += 1
     if at < len(page):
         now.parts.append(html.unescape(page[at:]))
     return root

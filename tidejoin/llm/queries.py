@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, table
 from .decontaminate import contamination
-from .gif import stored
+from .gif import animations, frame_table, stored
 from .html_text import main_text, trained_on
 from .oracles import ORACLES
 from .packing import pack
@@ -66,12 +66,18 @@ def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(table(spark, sf_dir, "documents"))
 
 
+def gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed frames of all texts as animations, with the colour histogram of each rendered frame."""
+    media = animations(table(spark, sf_dir, "documents"))
+    return frame_table(media, "doc_id", "media").select("doc_id", "frame", "start_ms", "delay_ms", "width", "height", F.array_join(F.col("histogram").cast("array<string>"), ",").alias("histogram"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_secrets, op4_toxicity, op5_decontamination, op6_packing, op7_html_text, op8_pii, op9_gif, op10_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_secrets, op4_toxicity, op5_decontamination, op6_packing, op7_html_text, op8_pii, op9_gif, op10_token_counts, gif_frames)}
 
 
 def oracle_sql() -> dict[str, str]:
