@@ -13,16 +13,22 @@ email     it has that form                      a keyed name at a reserved domai
 card      13-19 digits, Luhn check right        all digits but the check digit, set anew
 iban      check modulo 97 right                 the account's digits; check digits set anew
 ip        four numbers up to 255                the 32-bit address
-phone     (ddd) ddd-dddd, ddd-ddd-dddd, +cc ..  all digits but the country code
+ip6       8 groups, or ``::`` and 2 to 7        the hexadecimal digits
+phone     (ddd) ddd-dddd, ddd-ddd-dddd,         all digits but the country code, which is
+          +cc .., 10 digits, the first 2 to 9   that of the list of calling codes
 ssn       ddd-dd-dddd, no block of zeros        the valid numbers
-date      a day of the years 1700 to 2099       the days of these 400 years
+date      a day of the years 1700 to 2099,      the days of these 400 years; if the month
+          day or else month first if slashes    comes first, the days 13 and later of each
 ========  ====================================  ======================================
 
-An email's name is a keyed hash (a permutation of names of any length would not be
-a name).  A number that fails its check is left alone.
+An email's name is a keyed hash of 128 bits (a permutation of names of any length
+would not be a name), of addresses in lower case; hexadecimal digits are taken in lower
+case too.  Values may be of any length that their form has.  A number that fails its
+check is left alone; of a grouped card of 19 digits that fails it, the first 16 count.
 
 Nulls give null; empty texts stay empty; equal rows give equal results; an empty
-table gives an empty result; no column but the named one is changed.
+table gives an empty result; no column but the named one is changed: counts get the
+name ``n_<kind>``, with underscores before it if there is such a column already.
 """
 
 from __future__ import annotations
@@ -33,20 +39,26 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 #: For tests and the registered query; users pass their own secret.
 KEY = "tidejoin pseudonyms"
-KINDS = ("email", "date", "ip", "ssn", "phone", "iban", "card")
+KINDS = ("email", "date", "ip", "ip6", "ssn", "phone", "iban", "card")
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_GROUP = "[0-9A-Fa-f]{1,4}"
 #: How a value looks, in the order in which they are tried at one place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
     "date": r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9A-Za-z])(?![/.-][0-9])",
     "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z])(?!\.[0-9])",
+    "ip6": rf"(?<![0-9A-Za-z:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?)(?![0-9A-Za-z:])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z])(?!-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4})(?![0-9A-Za-z])(?!-[0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}|[2-9][0-9]{9})(?![0-9A-Za-z])(?!-[0-9])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
 ANY = "|".join(PATTERNS[k] for k in KINDS)
+#: What every value holds: texts without it are not searched.
+SIGN = "[@0-9]|::"
+# Country calling codes of one and two digits; all others have three.
+CALLING_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
 #: Days of the range of dates, 400 years of the calendar, as a product of two near enough numbers.
 DAYS = (27, 5411)
 
@@ -90,12 +102,13 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def laid_out(shape: Column, d: Column) -> Column:
+def laid_out(shape: Column, d: Column, digit: str = "[0-9]") -> Column:
     """``shape`` with its digits replaced by those of ``d``, in order."""
+    own = lambda i: F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), f"[^{digit[1:]}", ""))
 
     def at(i: Column) -> Column:
         c = F.substring(shape, i, F.lit(1))
-        return F.when(c.between("0", "9"), F.substring(d, F.length(_digits(F.substring(shape, F.lit(1), i))), F.lit(1))).otherwise(c)
+        return F.when(c.rlike(digit), F.substring(d, own(i), F.lit(1))).otherwise(c)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), at), "")
 
@@ -125,25 +138,73 @@ def iban_rest(account: Column, country: Column, check: Column | str) -> Column:
 
 def _day(m: Column) -> Column:
     """The date of a match, or null."""
-    return F.when(m.contains("-"), F.try_to_date(m, "yyyy-MM-dd")).when(m.contains("/"), F.try_to_date(m, "dd/MM/yyyy")).otherwise(F.try_to_date(m, "dd.MM.yyyy"))
+    slashes = F.coalesce(F.try_to_date(m, "dd/MM/yyyy"), F.try_to_date(m, "MM/dd/yyyy"))
+    return F.when(m.contains("-"), F.try_to_date(m, "yyyy-MM-dd")).when(m.contains("/"), slashes).otherwise(F.try_to_date(m, "dd.MM.yyyy"))
+
+
+def _month_first(day: Column, key: str) -> Column:
+    """Permutes the days 13 and later of months, which are those that a date with the month first is told by.
+
+    Days 13 to 28, 29 and 30 but of February, 31, and 29 February are permuted each among themselves, so every result
+    is a day of the calendar.
+    """
+    year, month, d = (f(day).cast("long") for f in (F.year, F.month, F.dayofmonth))
+
+    def at(y: Column, m: Column, dd: Column) -> Column:
+        return F.make_date((y + 1700).cast("int"), m.cast("int"), dd.cast("int"))
+
+    long_months = F.array(*[F.lit(m) for m in (1, 3, 5, 7, 8, 10, 12)])
+    other_months = F.array(*[F.lit(m) for m in (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)])
+    usual = _let(feistel(year - 1700, (month - 1) * 16 + d - 13, 400, 192, key, "month first"), lambda p: at(p["x"], F.floor(p["y"] / 16) + 1, p["y"] % 16 + 13))
+    late = _let(feistel(year - 1700, (F.array_position(other_months, month.cast("int")) - 1) * 2 + d - 29, 400, 22, key, "month first 29"), lambda p: at(p["x"], F.get(other_months, F.floor(p["y"] / 2).cast("int")), p["y"] % 2 + 29))
+    last = _let(feistel(year - 1700, F.array_position(long_months, month.cast("int")) - 1, 400, 7, key, "month first 31"), lambda p: at(p["x"], F.get(long_months, p["y"].cast("int")), F.lit(31)))
+    # the leap years from 1704 on in order; 1800 and 1900 are none
+    leap = F.floor((year - 1704) / 4) - F.when(year > 1800, 1).otherwise(0) - F.when(year > 1900, 1).otherwise(0)
+    number = _let(feistel(leap, F.lit(0), 97, 1, key, "month first leap"), lambda p: 4 + 4 * p["x"] + F.when(p["x"] >= 24, 4).otherwise(0) + F.when(p["x"] >= 48, 4).otherwise(0))
+    return F.when(d <= 28, usual).when(d == 31, last).when(month == 2, at(number, F.lit(2), F.lit(29))).otherwise(late)
+
+
+def permuted_hex(h: Column, key: str) -> Column:
+    """A permutation of the strings of up to 32 hexadecimal digits of each length: the first 30 digits, then the last 30."""
+
+    def window(part: Column, tweak: str) -> Column:
+        n = F.length(part)
+        left = F.floor(n / 2).cast("int")
+        number = lambda c: F.when(c == "", F.lit(0)).otherwise(F.conv(c, 16, 10)).cast("long")
+        size = lambda k: F.pow(F.lit(16), k).cast("long")
+        pair = feistel(number(F.substring(part, F.lit(1), left)), number(F.substring(part, left + 1, n)), size(left), size(n - left), key, F.concat(F.lit(tweak), n.cast("string")))
+        back = lambda v, k: F.when(k == 0, F.lit("")).otherwise(F.lpad(F.lower(F.hex(v)), k, F.lit("0")))
+        return _let(pair, lambda p: F.concat(back(p["x"], left), back(p["y"], n - left)))
+
+    cut = F.lit(30)
+    first = _let(h, lambda v: F.concat(window(F.substring(v, F.lit(1), cut), "ip6 a"), F.substring(v, cut + 1, F.length(v))))
+    over = lambda v: F.greatest(F.length(v) - 30, F.lit(0))
+    return _let(first, lambda v: F.concat(F.substring(v, F.lit(1), over(v)), window(F.substring(v, over(v) + 1, F.length(v)), "ip6 b")))
 
 
 def kind_of(m: Column) -> Column:
     """The kind whose form a match has and whose check it passes; null if none."""
     d = _digits(m)
     compact = F.replace(m, F.lit(" "), F.lit(""))
+    groups = F.filter(F.split(m, ":"), lambda g: g != "")
     whole = lambda k: m.rlike(f"^(?:{_bare(k)})$")
     return (
         F.when(m.contains("@"), "email")
         .when(whole("date"), F.when(F.year(_day(m)).between(1700, 2099), "date"))
         .when(whole("ip"), "ip")
+        .when(m.rlike(f"^(?:{_bare('ip6')})$"), F.when(~m.contains("::") | ((F.size(groups) <= 7) & (F.size(groups) >= 2) & (F.length(F.replace(m, F.lit(":"), F.lit(""))) >= 5)), "ip6"))
         .when(whole("ssn"), F.when(~m.rlike("^(?:000|666|9)|-00-|-0000$"), "ssn"))
         .when(m.rlike(f"^(?:{_bare('phone')})$"), "phone")
         .when(m.rlike("^[A-Z]"), F.when(iban_rest(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, 1, 2), F.substring(compact, 3, 2)) == 1, "iban"))
-        .when(luhn_sum(d, 0) % 10 == 0, "card")
+        .when((luhn_sum(d, 0) % 10 == 0) | (luhn_sum(_card(m, d), 0) % 10 == 0), "card")
     )
 
 
+def _card(m: Column, d: Column) -> Column:
+    """The digits of a card number: all, or the first 16 of a grouped number of 19 digits that fails the check."""
+    return F.when((F.length(m) == 23) & (luhn_sum(d, 0) % 10 != 0), F.substring(d, 1, 16)).otherwise(d)
+
+
 def _bare(kind: str) -> str:
     """The form without what must stand around it."""
     body = PATTERNS[kind]
@@ -154,7 +215,7 @@ def _bare(kind: str) -> str:
 def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     """The pseudonym of a value of a kind; the value itself if the kind is null."""
     d = _digits(m)
-    email = F.concat(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 12), F.lit("@example.invalid"))
+    email = F.concat(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 32), F.lit("@example.invalid"))
 
     octet = lambda i: F.split_part(m, F.lit("."), F.lit(i)).cast("long")
     high = lambda v: F.floor(v / 256).cast("long").cast("string")
@@ -170,21 +231,27 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     start = F.lit("1700-01-01").cast("date")
     day = F.datediff(_day(m), start).cast("long")
     format_ = F.when(m.contains("-"), F.lit("yyyy-MM-dd")).when(m.contains("/"), F.lit("dd/MM/yyyy")).otherwise(F.lit("dd.MM.yyyy"))
+    swapped = m.contains("/") & F.try_to_date(m, "dd/MM/yyyy").isNull()
     moved = _let(feistel(F.floor(day / DAYS[1]).cast("long"), day % DAYS[1], DAYS[0], DAYS[1], key, "date"), lambda p: F.date_add(start, (p["x"] * DAYS[1] + p["y"]).cast("int")))
-    date = F.when(format_ == "yyyy-MM-dd", F.date_format(moved, "yyyy-MM-dd")).when(format_ == "dd/MM/yyyy", F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "dd.MM.yyyy"))
+    date = F.when(swapped, F.date_format(_month_first(_day(m), key), "MM/dd/yyyy")).when(format_ == "yyyy-MM-dd", F.date_format(moved, "yyyy-MM-dd")).when(format_ == "dd/MM/yyyy", F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "dd.MM.yyyy"))
 
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}", 0)
+    code = F.regexp_extract(m, CALLING_CODE, 0)
     local = F.substring(m, F.length(code) + 1, F.length(m))
     phone = F.concat(code, laid_out(local, permuted_digits(_digits(local), key, "phone")))
 
-    card = laid_out(m, _let(permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card"), lambda p: F.concat(p, ((10 - luhn_sum(p, 1) % 10) % 10).cast("string"))))
+    own = _card(m, d)
+    checked = _let(permuted_digits(F.substring(own, F.lit(1), F.length(own) - 1), key, "card"), lambda p: F.concat(p, ((10 - luhn_sum(p, 1) % 10) % 10).cast("string")))
+    card = laid_out(m, F.concat(checked, F.substring(d, F.length(own) + 1, F.length(d))))
+
+    low = F.lower(m)
+    ip6 = laid_out(low, permuted_hex(F.replace(low, F.lit(":"), F.lit("")), key), "[0-9a-f]")
 
     compact = F.replace(m, F.lit(" "), F.lit(""))
     country = F.substring(compact, 1, 2)
     account = laid_out(F.substring(compact, F.lit(5), F.length(compact)), permuted_digits(_digits(F.substring(compact, F.lit(5), F.length(compact))), key, "iban"))
     iban = _let(account, lambda acc: _grouped(m, F.concat(country, wide(98 - iban_rest(acc, country, "00"), 2), acc)))
 
-    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "date", date).when(kind == "iban", iban).otherwise(m)
+    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "date", date).when(kind == "iban", iban).otherwise(m)
 
 
 def _grouped(shape: Column, value: Column) -> Column:
@@ -193,15 +260,24 @@ def _grouped(shape: Column, value: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), at), "")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column has it."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with the values in the text column replaced, and the number of each kind in ``n_<kind>`` columns."""
     given = F.col(text).cast("string")
-    found = F.transform(F.regexp_extract_all(given, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    values = F.transform(F.regexp_extract_all(given, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     between = F.split(given, ANY, -1)
-    marked = docs.withColumn("_found", found)
-    new = F.transform(F.col("_found"), lambda v: pseudonym(v["m"], v["kind"], key))
+    held = free_name("_found", docs.columns)
+    marked = docs.withColumn(held, F.when(given.rlike(SIGN), values))
+    new = F.transform(F.col(held), lambda v: pseudonym(v["m"], v["kind"], key))
     joined = F.array_join(F.zip_with(between, F.array_append(new, F.lit("")), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     is_kind = lambda k: lambda v: v["kind"] == k
-    counts = {f"n_{k}": F.coalesce(F.size(F.filter(F.col("_found"), is_kind(k))), F.lit(0)).cast("long") for k in KINDS}
+    counts = {free_name(f"n_{k}", docs.columns): F.when(F.size(held) > 0, F.size(F.filter(F.col(held), is_kind(k)))).otherwise(0).cast("long") for k in KINDS}
     # texts without a value skip the second search
-    return marked.withColumns({text: F.when(F.size("_found") > 0, joined).otherwise(given), **counts}).drop("_found")
+    return marked.withColumns({text: F.when(F.size(held) > 0, joined).otherwise(given), **counts}).drop(held)
