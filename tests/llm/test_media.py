@@ -218,3 +218,18 @@ def test_markup_in_one_pass():
     page = """a<p class="x>y">b</p><!-- <i> --><img src='>'>c<d "e>f<!x>g< h <?z>i</q"""
     got = [(page[a:b], name, closes, rest) for a, b, name, closes, rest in H.markup(page)]
     assert got == [('<p class="x>y">', "p", False, ' class="x>y"'), ("</p>", "p", True, ""), ("<!-- <i> -->", None, False, ""), ("<img src='>'>", "img", False, " src='>'"), ('<d "e>', "d", False, ' "e'), ("<!x>", None, False, ""), ("<?z>", None, False, "")]
+
+
+def test_registered_frames_equal_the_texts(spark, sf):
+    from tidejoin.llm.queries import gif_frames
+
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        payload = G.padded(r.text)
+        for k in range(len(payload) // 576):
+            counts = [0] * 64
+            for v in payload[576 * k : 576 * (k + 1)]:
+                counts[v // 64 * 21] += 1
+            want[r.doc_id, k] = (40 * k, 40, 24, 24, ",".join(map(str, counts)))
+    got = gif_frames(spark, sf).collect()
+    assert {(r.doc_id, r.frame): tuple(r)[2:] for r in got} == want and len(got) == len(want)
