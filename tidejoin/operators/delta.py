@@ -9,22 +9,24 @@ from pyspark.sql import functions as F
 
 from ..plans.chain import FkChain
 from .changelog import OP, data_columns
-from .fk_join import on_keys, small
+from .fk_join import is_small, on_keys
 
 WEIGHT = "w"
 
 
-def product_join(chain: FkChain, sides: dict[str, DataFrame], start: int = 0) -> DataFrame:
+def product_join(chain: FkChain, sides: dict[str, DataFrame], start: int = 0, few: bool | None = None) -> DataFrame:
     """The chain's join of weighted rows (``w``); weights multiply.
 
     Joins begin at relation ``start`` and go to the fact table first, so that a small side there keeps every
-    intermediate result small.
+    intermediate result small.  ``few``: whether the last dimension may be broadcast, if it
+    has been counted already.
     """
 
     last = chain.rels[-1].name
+    few = is_small(sides[last]) if few is None else few
 
     def meet(left: DataFrame, name: str, on: Column) -> DataFrame:
-        right = small(sides[name]) if name == last else sides[name]
+        right = F.broadcast(sides[name]) if few and name == last else sides[name]
         return left.join(right.withColumnRenamed(WEIGHT, "_w"), on).withColumn(WEIGHT, F.col(WEIGHT) * F.col("_w")).drop("_w")
 
     pairs, out = chain.pairs(), sides[chain.rels[start].name]
@@ -40,7 +42,8 @@ def delta_terms(chain: FkChain, old: dict[str, DataFrame], change: dict[str, Dat
     state of those after it.  Retractions so use the old dimension rows; a relation that isn't in ``change`` has no term."""
     new = {n: old[n].unionByName(change[n]) if n in change else old[n] for n in old}
     names = [r.name for r in chain.rels]
-    return [product_join(chain, {**{n: old[n] for n in names[:i]}, names[i]: change[names[i]], **{n: new[n] for n in names[i + 1 :]}}, i) for i in range(len(names)) if names[i] in change]
+    few = is_small(new[names[-1]])  # it holds the old rows and the changes, so it bounds the sides of all terms
+    return [product_join(chain, {**{n: old[n] for n in names[:i]}, names[i]: change[names[i]], **{n: new[n] for n in names[i + 1 :]}}, i, few) for i in range(len(names)) if names[i] in change]
 
 
 def delta_join(chain: FkChain, old: dict[str, DataFrame], change: dict[str, DataFrame]) -> DataFrame:

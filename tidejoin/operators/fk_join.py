@@ -17,9 +17,14 @@ def on_keys(left: str, right: str) -> Column:
     return F.col(left) == F.col(right)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a table whose size is checked; counting stops at the limit."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table may be broadcast; counting stops at the limit."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def small(df: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """A broadcast hint for a table whose size is checked, or that of a table that has no fewer rows and is cheaper to count."""
+    return F.broadcast(df) if is_small(df if bound is None else bound) else df
 
 
 def fk_join(chain: FkChain, rels: dict[str, DataFrame]) -> DataFrame:

@@ -42,7 +42,8 @@ def joined_versions(chain: FkChain, logs: dict[str, DataFrame]) -> DataFrame:
     def step(left: DataFrame, pair) -> DataFrame:
         a, b = pair
         right = row_versions(logs[b.name], None if b.name == last else b.key[0])
-        right = (small(right) if b.name == last else right).withColumnsRenamed({"from_batch": "_from", "to_batch": "_to", "m": "_m"})
+        # each change of the log makes one version at most
+        right = (small(right, logs[b.name]) if b.name == last else right).withColumnsRenamed({"from_batch": "_from", "to_batch": "_to", "m": "_m"})
         meet = on_keys(a.fk, b.key[0]) & (F.greatest("from_batch", "_from") < F.least("to_batch", "_to"))
         both = left.join(right, meet)
         return both.withColumns({"from_batch": F.greatest("from_batch", "_from"), "to_batch": F.least("to_batch", "_to"), "m": F.col("m") * F.col("_m")}).drop("_from", "_to", "_m")

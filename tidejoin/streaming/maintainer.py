@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from enum import Enum
-from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -49,15 +48,15 @@ class Maintainer:
             return
         batch, change = batch.persist(), {}
         try:
-            named = {r.relation for r in batch.select("relation").distinct().collect()}
+            touched = store.touched(batch)
             for rel in chain.rels:  # a relation that doesn't change costs no write, read or join term
-                if rel.name in named:
+                if rel.name in touched:
                     rows = rel.rows(unmixed(batch, rel.name), (OP,))
                     change[rel.name] = rows.groupBy(*data_columns(rows)).agg(F.sum(OP).cast("long").alias(WEIGHT)).where(F.col(WEIGHT) != 0).persist()
             store.append(change, batch_id)
             n, deltas = Observation(), None
             if change:
-                net = delta_join(chain, self.old_state(change, batch_id), change)
+                net = delta_join(chain, self.old_state(touched, batch_id), change)
                 deltas = store.write(net.observe(n, F.coalesce(F.sum(F.abs(OP)), F.lit(0)).alias("n")), "deltas", batch_id)
                 store.write(group_changes(chain, deltas.withColumn("batch", F.lit(batch_id)), by_batch=False), "view", batch_id)
             store.commit(batch_id, n.get["n"] if change else 0)
@@ -68,14 +67,13 @@ class Maintainer:
         if self.sink and self.policy is not Policy.JOB_END and (self.policy is Policy.BATCH_END or self.changed(batch_id)):
             self.sink(self.top(batch_id), batch_id, self.policy.value)
 
-    def old_state(self, change: dict[str, DataFrame], batch_id: int) -> dict[str, DataFrame]:
+    def old_state(self, touched: dict[str, set[int]], batch_id: int) -> dict[str, DataFrame]:
         """The state before the batch. Facts and their next relation are read in the buckets that the batch touches,
         unless a later dimension changes: that may touch any."""
         store, names = self.store, [r.name for r in self.chain.rels]
-        near = {r.name: r.fk if r is self.chain.fact else r.key[0] for r in self.chain.rels[:2]}
-        own = None
-        if not set(change) - set(near):
-            own = store.touched(reduce(DataFrame.unionByName, [rows.select(F.col(near[n]).alias("k")) for n, rows in change.items()]))
+        near, own = names[:2], None
+        if not set(touched) - set(near):
+            own = sorted(set().union(*touched.values()))
         return {n: store.state(n, batch_id, own if n in near else None) for n in names}
 
     def ranked(self, version: int) -> DataFrame:

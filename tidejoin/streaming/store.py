@@ -5,6 +5,7 @@ Layout below the store's path::
     state/<relation>/v=<batch>/bucket=<b>/   weighted rows that batch changed
     deltas/v=<batch>/                        signed join rows of the batch
     view/v=<batch>/                          signed sums per group of the batch
+    schemas/                                 the columns of each relation's state, written with the seed
     commits/v=<batch>/                       written last: the batch counts from then on
 
 A batch only appends what it changed; joins and sums are linear in the weights, so
@@ -13,9 +14,12 @@ states need no rewriting.  ``compacted`` starts a new store from the summed stat
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.delta import WEIGHT
 from ..operators.fk_join import partial_revenue
@@ -24,12 +28,14 @@ from ..plans.chain import FkChain
 BUCKETS = 16
 #: Version of the seed.
 SEED = -1
+#: Partition columns of a state.
+_PLACE = (T.StructField("v", T.IntegerType()), T.StructField("bucket", T.IntegerType()))
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str, chain: FkChain, buckets: int = BUCKETS):
         self.spark, self.path, self.chain, self.buckets = spark, path, chain, buckets
-        self._schemas: dict = {}
+        self._schemas: dict[str, T.StructType] = {}
 
     # Rows of a relation lie in the bucket of the key by which the next relation towards the fact table refers to
     # them, the fact table's rows in that of their foreign key: lines and orders of an order share a bucket number.
@@ -42,8 +48,7 @@ class Store:
 
     def seed(self, rels: dict[str, DataFrame]) -> None:
         """Starts the store from filtered tables, or from empty ones: the bulk load."""
-        for name, df in rels.items():
-            self._append(name, df.withColumn(WEIGHT, F.lit(1).cast("long")), SEED)
+        self.append({n: df.withColumn(WEIGHT, F.lit(1).cast("long")) for n, df in rels.items()}, SEED)
         self.write(partial_view(self.chain, rels), "view", SEED)
         self.commit(SEED, 0)
 
@@ -51,22 +56,29 @@ class Store:
         # every task writes the buckets that it has, so a large table is written by all of them
         own = rows.withColumn("bucket", self._bucket(self._key(name)))
         own.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/state/{name}/v={version}")
-        if version == SEED:
-            # the schema stays readable when there are no rows
-            rows.limit(0).withColumn("v", F.lit(SEED)).withColumn("bucket", F.lit(0)).write.mode("overwrite").parquet(f"{self.path}/schema/{name}")
 
     def append(self, change: dict[str, DataFrame], version: int) -> None:
         for name, rows in change.items():
             self._append(name, rows, version)
-
-    def touched(self, keys: DataFrame) -> list[int]:
-        """The buckets of one column of keys: at most ``buckets`` numbers come to the driver."""
-        return [r[0] for r in keys.select(self._bucket(keys.columns[0]).alias("b")).distinct().collect()]
-
-    def schema(self, name: str):
-        """The stored schema of a relation's state, read once."""
+        if version == SEED:
+            # a relation's columns stay known when it has no rows
+            self._schemas = {n: T.StructType([*rows.schema.fields, *_PLACE]) for n, rows in change.items()}
+            self.spark.createDataFrame([(n, s.json()) for n, s in self._schemas.items()], "name string, schema string").coalesce(1).write.mode("overwrite").json(f"{self.path}/schemas")
+
+    def touched(self, batch: DataFrame) -> dict[str, set[int]]:
+        """The relations of a mixed changelog, and the buckets that the first two of them touch: the rows that come to the
+        driver are so few, whatever the batch."""
+        near = [F.when(F.col("relation") == r.name, self._bucket(f"{r.name}.{self._key(r.name)}")) for r in self.chain.rels[:2] if r.name in batch.columns]
+        found: dict[str, set[int]] = {}
+        for name, bucket in batch.select("relation", F.coalesce(*near, F.lit(None)).alias("bucket")).distinct().collect():
+            found.setdefault(name, set()).add(bucket)
+        return found
+
+    def schema(self, name: str) -> T.StructType:
+        """The stored schema of a relation's state; all are read at once: a row per relation of the chain."""
         if name not in self._schemas:
-            self._schemas[name] = self.spark.read.parquet(f"{self.path}/schema/{name}").schema
+            stored = self.spark.read.schema("name string, schema string").json(f"{self.path}/schemas").collect()
+            self._schemas = {n: T.StructType.fromJson(json.loads(s)) for n, s in stored}
         return self._schemas[name]
 
     def state(self, name: str, before: int, own: list[int] | None = None) -> DataFrame:
@@ -77,7 +89,7 @@ class Store:
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            df = self.spark.read.schema(schema).parquet(f"{self.path}/schema/{name}")
+            df = self.spark.createDataFrame([], schema)
         if own is not None:
             df = df.where(F.col("bucket").isin(own)) if own else df.where(F.lit(False))
         return df.drop("v", "bucket")
@@ -109,11 +121,12 @@ class Store:
 
     def compacted(self, path: str) -> Store:
         """A new store whose seed is this one's state after its last version."""
-        last, new = self.last(), Store(self.spark, path, self.chain, self.buckets)
+        last, new, state = self.last(), Store(self.spark, path, self.chain, self.buckets), {}
         for rel in self.chain.rels:
             rows = self.state(rel.name, last + 1)
             columns = [c for c in rows.columns if c != WEIGHT]
-            new._append(rel.name, rows.groupBy(*columns).agg(F.sum(WEIGHT).alias(WEIGHT)).where(F.col(WEIGHT) != 0), SEED)
+            state[rel.name] = rows.groupBy(*columns).agg(F.sum(WEIGHT).alias(WEIGHT)).where(F.col(WEIGHT) != 0)
+        new.append(state, SEED)
         new.write(self.view(last).where("cnt <> 0 or revenue <> 0"), "view", SEED)
         new.commit(SEED, 0)
         if last > SEED:
