@@ -95,3 +95,24 @@ def test_a_stream_goes_on_until_it_is_stopped(spark, stream, tmp_path):
     Maintainer(other).process(stream, 0)
     kept = {k: v for k, v in view(store.view()).items() if v[1]}
     assert kept == {k: v for k, v in view(other.view()).items() if v[1]}
+
+
+def test_a_reopened_store_knows_relations_without_rows(spark, stream, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store", PLAIN, buckets=4)
+    store.seed(empty(stream))
+    again = Store(spark, store.path, PLAIN, buckets=4)
+    for r in PLAIN.rels:
+        assert again.state(r.name, 5).count() == 0 and again.state(r.name, 5).columns == [*r.columns, "w"]
+    assert again.state(PLAIN.fact.name, 5, []).count() == 0
+
+
+def test_touched_buckets_hold_all_keys_of_a_batch(spark, stream):
+    store = Store(spark, "unused", PLAIN, buckets=4)
+    touched = store.touched(stream)
+    assert set(touched) == {r.relation for r in stream.select("relation").distinct().collect()}
+    for r, key in zip(PLAIN.rels[:2], (PLAIN.fact.fk, PLAIN.rels[1].key[0]), strict=True):
+        keys = stream.where(F.col("relation") == r.name).select(store._bucket(f"{r.name}.{key}").alias("b"))
+        assert touched[r.name] == {row.b for row in keys.collect()}
+    alone = stream.where(F.col("relation") == PLAIN.fact.name).select("relation", "op", "batch", PLAIN.fact.name)
+    assert set(store.touched(alone)) == {PLAIN.fact.name}
+    assert store.touched(stream.limit(0)) == {}
