@@ -18,4 +18,28 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
-ORACLES = {"op5_decontamination": OP5}
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_RULES = "(VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) AS r(rh, rp, verdict)"
+_HOST = f"coalesce(translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), {_AZ}), '')"
+_PATH = "coalesce(regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+_NODE = f"CASE WHEN contains(u, '://') THEN {_HOST} || CASE {_PATH} WHEN '' THEN '/' ELSE {_PATH} END || regexp_extract(u, '(?s)^.*?://[^?#]*(\\?[^#]*)', 1) END"
+_FITS = "(h = rh OR ends_with(h, '.' || rh)) AND starts_with(p, rp)"
+
+#: Canonical links and refreshes to whole addresses, in double quotes, as a recursive walk from the blocked URLs.
+OP13 = rf"""
+WITH RECURSIVE l AS (SELECT url AS s, unnest(regexp_extract_all(html, '(?i)<link\s[^>]*>|<meta\s[^>]*>')) AS tag FROM pages WHERE regexp_matches(html, '(?i)canonical|refresh')),
+t AS (SELECT s, CASE WHEN regexp_matches(tag, '(?i)^<link\s.*\srel="canonical"|^<link\srel="canonical"') THEN regexp_extract(tag, '(?i)\shref="([^"]*://[^"]*)"', 1)
+  WHEN regexp_matches(tag, '(?i)^<meta\s.*http-equiv="refresh"') THEN regexp_extract(tag, '(?i)url=([^"]*://[^"]*)', 1) ELSE '' END AS t FROM l),
+ends AS (SELECT (SELECT {_NODE} FROM (SELECT s AS u)) AS a, (SELECT {_NODE} FROM (SELECT t AS u)) AS b FROM t WHERE t <> ''),
+edges AS (SELECT a, b FROM ends WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM ends WHERE a IS NOT NULL AND b IS NOT NULL),
+pg AS (SELECT page_id, u, {_HOST} AS h, {_PATH} AS p, {_NODE} AS node FROM (SELECT page_id, url AS u FROM pages)),
+nodes AS (SELECT node, {_HOST} AS h, {_PATH} AS p FROM (SELECT a AS node, 'x://' || a AS u FROM edges)),
+ruled AS (SELECT node, verdict FROM (SELECT node, verdict, row_number() OVER (PARTITION BY node ORDER BY length(rh || rp) DESC, length(rh) DESC, verdict) AS k FROM nodes JOIN {_RULES} ON {_FITS}) WHERE k = 1),
+seen AS (SELECT DISTINCT node FROM ruled WHERE verdict = 'block'
+  UNION SELECT b FROM seen JOIN edges ON node = a),
+best AS (SELECT h, p, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY h, p ORDER BY length(rh || rp) DESC, length(rh) DESC, verdict) AS k FROM (SELECT DISTINCT h, p FROM pg) JOIN {_RULES} ON {_FITS})
+SELECT page_id, pg.h AS host, pg.p AS path, best.rule AS rule, coalesce(best.verdict, CASE WHEN pg.node IN (SELECT node FROM seen) AND pg.node NOT IN (SELECT node FROM ruled WHERE verdict = 'allow') THEN 'block' END, 'allow') AS verdict
+FROM pg LEFT JOIN best ON pg.h = best.h AND pg.p = best.p AND best.k = 1
+"""
+
+ORACLES = {"op5_decontamination": OP5, "op13_url_rules": OP13}

@@ -19,6 +19,7 @@ from .simhash import SimHash, classes
 from .token_counts import length_histogram
 from .token_files import token_documents, write_token_files
 from .toxicity import THRESHOLD, fit, held_out, scored
+from .url_rules import judged, parsed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,8 +77,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the registered query.
+RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"), parsed(RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_secrets, op4_toxicity, op5_decontamination, op6_packing, op7_html_text, op8_pii, op9_gif, op10_token_counts, gif_frames)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_secrets, op4_toxicity, op5_decontamination, op6_packing, op7_html_text, op8_pii, op9_gif, op10_token_counts, gif_frames, op13_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
