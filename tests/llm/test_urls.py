@@ -132,6 +132,7 @@ def test_sql_walks_links(spark, tmp_path):
     """The SQL knows links in double quotes to whole addresses; there both agree."""
     pages = [p for p in made(5, 200) if 'rel="canonical" href="http' in p[2] or "url=http" in p[2]]
     pages = [(k, u, h) for k, u, h in pages if "<!--" not in h and "<script" not in h and "/../" not in h]
+    pages += [(900, "http://zz.net/1", '<link rel="canonical" href="https://yy.net/2?a=b">'), (901, "http://yy.net/2?a=b#c", '<meta http-equiv="refresh" content="0; url=https://www.x.com/de/7">')]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     df.coalesce(1).write.parquet(f"{tmp_path}/p")
     con = duckdb.connect()

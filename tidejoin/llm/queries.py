@@ -20,6 +20,7 @@ from .token_counts import length_histogram
 from .token_files import token_documents, write_token_files
 from .toxicity import THRESHOLD, fit, held_out, scored
 from .url_rules import judged, parsed
+from .whitening import whitened
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +78,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 #: The rules of the registered query.
 RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
 
@@ -86,7 +91,7 @@ def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_secrets, op4_toxicity, op5_decontamination, op6_packing, op7_html_text, op8_pii, op9_gif, op10_token_counts, gif_frames, op13_url_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_secrets, op4_toxicity, op5_decontamination, op6_packing, op7_html_text, op8_pii, op9_gif, op10_token_counts, gif_frames, op12_whitening, op13_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
