@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .common import new_path, table
 from .decontaminate import contamination
 from .gif import animations, frame_table, stored
@@ -78,6 +79,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"))
 
@@ -91,7 +96,7 @@ def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_secrets, op4_toxicity, op5_decontamination, op6_packing, op7_html_text, op8_pii, op9_gif, op10_token_counts, gif_frames, op12_whitening, op13_url_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_secrets, op4_toxicity, op5_decontamination, op6_packing, op7_html_text, op8_pii, op9_gif, op10_token_counts, gif_frames, op11_collocations, op12_whitening, op13_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
