@@ -46,6 +46,16 @@ REFERS = [("nation", "n_regionkey", "region", "r_regionkey"), ("supplier", "s_na
 GAPPY = f"{BASE}, lc AS (SELECT * FROM c WHERE c_custkey % 17 <> 0), lo AS (SELECT * FROM o WHERE o_custkey IN (SELECT c_custkey FROM lc WHERE c_nationkey IN (SELECT n_nationkey FROM n)))"
 KEYS = "SELECT 'lineitem' AS relation, op, batch, l_orderkey AS k FROM ll UNION ALL SELECT 'orders', op, batch, o_orderkey FROM ol UNION ALL SELECT 'customer', op, batch, c_custkey FROM cl UNION ALL SELECT 'nation', op, batch, n_nationkey FROM nl"
 LIVE_AT = "(SELECT o_orderkey FROM (SELECT o_orderkey, o_custkey FROM ol WHERE batch <= {b} GROUP BY ALL HAVING sum(op) > 0) WHERE o_custkey IN (SELECT c_custkey FROM (SELECT c_custkey, c_nationkey FROM cl WHERE batch <= {b} GROUP BY ALL HAVING sum(op) > 0) WHERE c_nationkey IN (SELECT n_nationkey FROM nl WHERE batch <= {b} GROUP BY n_nationkey HAVING sum(op) > 0)))"
+_BATCHES = "SELECT CAST(range AS BIGINT) AS batch FROM range(8)"
+# The live rows after each batch, from the nations on; each batch against the one before.
+LIVE_STATES = f"""b AS ({_BATCHES}),
+nv AS (SELECT DISTINCT b.batch, n_nationkey FROM b JOIN nl ON nl.batch <= b.batch GROUP BY b.batch, n_nationkey, n_name HAVING sum(op) > 0),
+cv AS (SELECT b.batch, c_custkey, c_nationkey FROM b JOIN cl ON cl.batch <= b.batch GROUP BY b.batch, c_custkey, c_nationkey, c_name, c_acctbal HAVING sum(op) > 0 AND (b.batch, c_nationkey) IN (SELECT batch, n_nationkey FROM nv)),
+ov AS (SELECT b.batch, o_orderkey, o_custkey FROM b JOIN ol ON ol.batch <= b.batch GROUP BY b.batch, o_orderkey, o_custkey HAVING sum(op) > 0 AND (b.batch, o_custkey) IN (SELECT batch, c_custkey FROM cv)),
+lv AS (SELECT b.batch, l_orderkey, l_linenumber, l_partkey, cents, pct FROM b JOIN ll ON ll.batch <= b.batch GROUP BY ALL HAVING sum(op) > 0 AND (b.batch, l_orderkey) IN (SELECT batch, o_orderkey FROM ov)),
+lives AS (SELECT 'nation' AS relation, n_nationkey AS k, CAST(NULL AS INTEGER) AS l_linenumber, CAST(NULL AS BIGINT) AS l_partkey, CAST(NULL AS BIGINT) AS cents, CAST(NULL AS BIGINT) AS pct, batch FROM nv
+  UNION ALL SELECT 'customer', c_custkey, NULL, NULL, NULL, NULL, batch FROM cv UNION ALL SELECT 'orders', o_orderkey, NULL, NULL, NULL, NULL, batch FROM ov
+  UNION ALL SELECT 'lineitem', l_orderkey, CAST(l_linenumber AS INTEGER), l_partkey, cents, pct, batch FROM lv)"""
 DIFF = f"{DELTA}, {G}, a AS (SELECT c_custkey, revenue_e4 FROM g WHERE cnt > 0), p AS (SELECT o_custkey AS c_custkey, CAST(sum({REV}) AS BIGINT) AS revenue_e4 FROM l JOIN o ON l_orderkey = o_orderkey GROUP BY o_custkey)"
 MONTHS = "SELECT strftime(o_orderdate, '%Y-%m') AS run_id, CAST(count(*) AS BIGINT) AS u, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS d, CAST(count(DISTINCT o_custkey) AS BIGINT) AS g FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"
 
@@ -66,6 +76,7 @@ ORACLES = {
     "alive_counter": f"{GAPPY} SELECT o_orderkey, CAST(CASE WHEN o_custkey IN (SELECT c_custkey FROM lc) THEN 1 ELSE 0 END AS BIGINT) AS alive FROM o",
     "parents_of": f"{BASE} SELECT o_custkey, CAST(count(*) AS INTEGER) AS n_parents, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS parents FROM (SELECT DISTINCT o_custkey, o_orderkey FROM o) GROUP BY o_custkey",
     "liveness_changes": f"{LOGGED}, a AS {LIVE_AT.format(b=5)}, z AS {LIVE_AT.format(b=6)} SELECT o_orderkey, -1 AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM z) UNION ALL SELECT o_orderkey, 1 FROM (SELECT * FROM z EXCEPT SELECT * FROM a)",
+    "liveness_deltas": f"{LOGGED}, {LIVE_STATES}, later AS (SELECT * REPLACE (batch + 1 AS batch) FROM lives WHERE batch < 7) SELECT *, 1 AS change FROM (SELECT * FROM lives EXCEPT SELECT * FROM later) UNION ALL SELECT *, -1 FROM (SELECT * FROM later EXCEPT SELECT * FROM lives)",
     "fk_orphans": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 17 <> 0)",
     "pk_duplicates": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
     "schema_integrity": " UNION ALL ".join(
@@ -107,6 +118,7 @@ ORACLES = {
     "stream_updates": f"{DELTA}, {G} SELECT c_custkey, revenue_e4, cnt FROM g WHERE cnt > 0",
     "stream_out_of_order": f"{DELTA}, {G} SELECT c_custkey, revenue_e4, cnt FROM g WHERE cnt > 0",
     "stream_join_deltas": f"{DELTA} SELECT l_orderkey, l_linenumber, l_partkey, c_custkey, n_name, {REV} AS revenue_e4, CAST(sum(op) AS BIGINT) AS op FROM dd GROUP BY ALL HAVING sum(op) <> 0",
+    "stream_keyed_join": f"{DELTA} SELECT l_orderkey, l_linenumber, l_partkey, c_custkey, n_name, {REV} AS revenue_e4, CAST(sum(op) AS BIGINT) AS op FROM dd GROUP BY ALL HAVING sum(op) <> 0",
     "stream_revenue": f"{DELTA}, {G} SELECT c_custkey, revenue_e4, cnt FROM g",
     "stream_topk": f"{DELTA}, {SNAPS} SELECT batch, rank, c_custkey, revenue_e4 FROM t WHERE batch IN (3, 5, 7)",
 }

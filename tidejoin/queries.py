@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,6 +141,14 @@ def liveness_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return liveness.liveness_changes(at(5), at(6), ["o_orderkey"])
 
 
+def liveness_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each relation that became live or ceased to be, in each of the eight batches."""
+    found = liveness.liveness_deltas(q10(), seed_logs(spark, sf_dir), LAST_BATCH)
+    key = {"lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount"), "orders": ("o_orderkey",), "customer": (KEY,), "nation": ("n_nationkey",)}
+    fill = lambda n: [F.col(key[n][0]).alias("k"), *([F.col("l_linenumber"), F.col("l_partkey"), (F.col("l_extendedprice") * 100).cast("long").alias("cents"), (F.col("l_discount") * 100).cast("long").alias("pct")] if n == "lineitem" else [F.lit(None).cast(t).alias(c) for c, t in (("l_linenumber", "int"), ("l_partkey", "long"), ("cents", "long"), ("pct", "long"))])]
+    return reduce(DataFrame.unionByName, [found[n].select(F.lit(n).alias("relation"), *fill(n), "batch", "change") for n in NAMES if n in found])
+
+
 def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
     return quality.fk_orphans(t["orders"], "o_custkey", t["customer"].where("c_custkey % 17 <> 0"), KEY).select("o_orderkey", "o_custkey")
@@ -359,7 +368,7 @@ def metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.read_json(spark, path).select("run_id", "job", "parallelism", "updates_total", "join_deltas_total", "groups_total", "wall_time_ms", F.element_at("phases_ms", F.lit("join")).alias("join_ms"))
 
 
-BATCH = (q10_top20, q10_all, fk_chain_join, revenue_by_customer, revenue_exact, revenue_cents, scalar_money, filter_orders_window, filter_returned, live_customers, live_orders, live_lineitems, nonlive_lineitems, alive_counter, parents_of, liveness_changes, fk_orphans, pk_duplicates, schema_integrity, column_checks, changelog_bulk, changelog_mixed, changelog_filtered, changelog_pairs, count_updates, assign_batches, net_changes, row_versions, validate_changelog, join_deltas, delta_counts, delta_join_batch, signed_aggregate, merge_partials, positive_groups, group_count, running_revenue, snapshots_batch_end, topk_changes, snapshots_on_change, topk_changes_emptied, snapshots_on_change_emptied, result_diff, result_diff_detail, sink_csv_rows, metrics_summary, metrics_json)
+BATCH = (q10_top20, q10_all, fk_chain_join, revenue_by_customer, revenue_exact, revenue_cents, scalar_money, filter_orders_window, filter_returned, live_customers, live_orders, live_lineitems, nonlive_lineitems, alive_counter, parents_of, liveness_changes, liveness_deltas, fk_orphans, pk_duplicates, schema_integrity, column_checks, changelog_bulk, changelog_mixed, changelog_filtered, changelog_pairs, count_updates, assign_batches, net_changes, row_versions, validate_changelog, join_deltas, delta_counts, delta_join_batch, signed_aggregate, merge_partials, positive_groups, group_count, running_revenue, snapshots_batch_end, topk_changes, snapshots_on_change, topk_changes_emptied, snapshots_on_change_emptied, result_diff, result_diff_detail, sink_csv_rows, metrics_summary, metrics_json)
 
 
 def queries() -> dict[str, Query]:
