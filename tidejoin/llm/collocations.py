@@ -4,7 +4,7 @@
    dictionary of the slice's words with their counts, and the code of each word in turn.
 2. Words are summed up by language.  For each length from 2 on, every position whose two
    shorter phrases may be frequent adds to the count of its phrase's 64-bit bucket.
-   Buckets that reach the minimum are kept as bits of a map of fixed size, in which the next
+   Buckets that reach the minimum are kept as bits of a map of bounded size, in which the next
    length looks its parts up.  A phrase as frequent as the minimum passes all maps, so the
    candidates, the different phrases that do, are safe in Apriori's sense.
 3. Candidates, single words included, are put into double-array tries by their first word, at most
@@ -40,13 +40,13 @@ from .common import BROADCAST_ROWS, bounded, lean, scratch, written
 #: Words of the longest phrase.
 LONGEST = 4
 #: Text bytes of a slice.
-SLICE_BYTES = 4 << 20
-#: Bits of the maps of frequent buckets: 16 MB.
-MAP_BITS = 27
+SLICE_BYTES = 2 << 20
+#: A map has 2^n bits, some 32 to 64 for each frequent bucket, but at most so many (128 MB); a fuller map holds fewer phrases back.
+MOST_BITS = 30
 #: Nodes of one trie: some 60 MB as arrays.
 TRIE_NODES = 4_000_000
 #: Bucket counts that a task holds before it sends them.
-HELD = 2_000_000
+HELD = 500_000
 #: Parts of a language whose first rows are found before they are ranked together.
 PARTS = 64
 
@@ -139,31 +139,32 @@ def chained(buckets: np.ndarray, word: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def places(buckets: np.ndarray) -> np.ndarray:
-    """Bits of a map."""
-    return (buckets >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+def map_bits(n: int) -> int:
+    return min(MOST_BITS, max(16, (32 * n).bit_length()))
 
 
 class Maps:
     """Bit maps by phrase length; they say "no" only of what is not frequent."""
 
     def __init__(self) -> None:
-        self.of: dict[int, np.ndarray] = {}
+        self.of: dict[int, tuple[int, np.ndarray]] = {}
 
     def maybe(self, length: int, buckets: np.ndarray) -> np.ndarray:
-        at = places(buckets)
-        return (self.of[length][at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
-def bit_map(buckets: DataFrame) -> np.ndarray:
-    """The map of a column ``b`` of buckets; parts of fixed number and size come to the driver."""
-    place = F.shiftrightunsigned("b", 64 - MAP_BITS) + 1  # bit maps begin at 1
-    parts = buckets.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for k, bits in parts:
-        at = (k - 1) * len(bits)
-        out[at : at + len(bits)] = np.frombuffer(bits, np.uint8)[: len(out) - at]
-    return out
+        bits, kept = self.of[length]
+        at = (buckets >> np.uint64(64 - bits)).astype(np.int64)
+        return (kept[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def bit_map(buckets: DataFrame) -> tuple[int, np.ndarray]:
+    """Bits and map of a column ``b`` of a written table; parts of 4 KB come to the driver, at most the map's size."""
+    bits = map_bits(buckets.count())
+    place = F.shiftrightunsigned("b", 64 - bits) + 1  # bit maps begin at 1
+    parts = buckets.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for k, part in parts.toLocalIterator():
+        at = (k - 1) * len(part)
+        out[at : at + len(part)] = np.frombuffer(part, np.uint8)[: len(out) - at]
+    return bits, out
 
 
 def frequent(maps: Maps, hashes: np.ndarray, codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -395,7 +396,7 @@ def phrase_counts(coded_slices: DataFrame, words: DataFrame, least: int) -> Data
     maps.of[1] = bit_map(words.where(F.col("f") >= least).select(F.col("h").alias("b")))
     for length in range(2, LONGEST + 1):
         sent = context.broadcast(maps)
-        maps.of[length] = bit_map(bucket_counts(coded_slices, sent, length).where(F.col("f") >= least))
+        maps.of[length] = bit_map(written(bucket_counts(coded_slices, sent, length).where(F.col("f") >= least).select("b"), "buckets"))
         sent.destroy()
     sent = context.broadcast(maps)
     found = written(candidates(coded_slices, sent), "candidates")
@@ -437,15 +438,15 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000) -> DataFrame
         seed = 42
         while True:
             parts = written(slices(docs, seed), "slices", compression="zstd")
-            each = parts.select(F.explode(F.arrays_zip(F.transform("words", lambda w: F.struct("lang", w.alias("word"))).alias("w"), "hashes", "counts")).alias("x"))
-            words = each.groupBy(F.col("x.hashes").alias("h")).agg(F.min("x.w").alias("w"), F.max("x.w").alias("other"), F.sum("x.counts").alias("f"))
+            each = parts.select("lang", F.explode(F.arrays_zip("words", "hashes", "counts")).alias("w"))
+            words = each.groupBy("lang", F.col("w.words").alias("word"), F.col("w.hashes").alias("h")).agg(F.sum("w.counts").alias("f"))
             words = written(words, "words")
-            if words.where(~F.col("w").eqNullSafe(F.col("other"))).isEmpty():
+            if words.groupBy("h").count().where("count > 1").isEmpty():
                 break
             seed += 1
         phrases = phrase_counts(parts, words, least)
         good = scored(phrases).join(contained(phrases), "p", "left").where(F.expr("most is null or cast(most as decimal(20,0)) * 100 < cast(a as decimal(20,0)) * 80"))
-        named = words.where(F.col("f") >= least).select(F.col("h").alias("_h"), F.col("w.lang").alias("_lang"), F.col("w.word").alias("_word"))
+        named = words.where(F.col("f") >= least).select(F.col("h").alias("_h"), F.col("lang").alias("_lang"), F.col("word").alias("_word"))
         named = bounded(named, BROADCAST_ROWS // 2)
         for i in range(LONGEST):
             own = named.select(F.col("_h").alias(f"_h{i}"), F.col("_word").alias(f"_w{i}"), *([F.col("_lang").alias("lang")] if i == 0 else []))
@@ -455,7 +456,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000) -> DataFrame
         near = good.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
         near = near.withColumn("_k", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_k") <= top)
         best = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-        n = words.groupBy(F.col("w.lang").alias("lang")).agg(F.sum("f").alias("n"))
+        n = words.groupBy("lang").agg(F.sum("f").alias("n"))
         out = written(best.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
         keep.append(out)
     return out
