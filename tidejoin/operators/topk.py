@@ -58,3 +58,45 @@ def ranking_changes(snapshots: DataFrame, group_key: str, last_batch: int) -> Da
 def on_change(snapshots: DataFrame, group_key: str, last_batch: int) -> DataFrame:
     """The snapshots of the batches that changed the ranking; one that became empty has no rows to show."""
     return snapshots.join(ranking_changes(snapshots, group_key, last_batch).where("changed").select(BATCH), BATCH, "left_semi")
+
+
+class Reserve:
+    """The best groups of a view that changes, kept without looking at the others.
+
+    ``spare`` groups more than the k asked for are kept with their sums.  What lies outside was below ``ceiling`` when the
+    reserve was filled; each batch may have raised it by its largest gain outside.  While the k-th kept group is above that,
+    the ranking is known; else ``ranking`` says so by None, and the reserve has to be filled anew.
+    """
+
+    def __init__(self, group_key: str, k: int = 20, spare: int = 100):
+        self.group_key, self.k, self.spare = group_key, k, spare
+        self.kept: dict[object, tuple] = {}
+        self.ceiling = None
+        self.version: int | None = None
+
+    def fill(self, groups: DataFrame, version: int) -> None:
+        """From a whole view (``group key, revenue, cnt``); k + spare rows and one more come to the driver."""
+        best = top_k(groups.where("cnt > 0 and revenue > 0").select(self.group_key, "revenue", "cnt"), self.group_key, self.k + self.spare + 1).collect()
+        self.kept = {r[0]: (r[1], r[2]) for r in best[: self.k + self.spare]}
+        # without more groups only gains can lift one above zero
+        self.ceiling = best[-1][1] if len(best) > self.k + self.spare else 0
+        self.version = version
+
+    def apply(self, changes: DataFrame, version: int) -> None:
+        """Adds a batch's sums by group: as many rows as the reserve has, and one of the others' largest gain."""
+        own = F.col(self.group_key).isin(list(self.kept)) if self.kept else F.lit(False)
+        rows = changes.select(F.when(own, F.col(self.group_key)).alias("_k"), own.alias("_own"), "revenue", "cnt")
+        for r in rows.groupBy("_own", "_k").agg(F.sum("revenue").alias("revenue"), F.sum("cnt").alias("cnt"), F.max("revenue").alias("most")).collect():
+            if r["_own"]:
+                old = self.kept[r["_k"]]
+                self.kept[r["_k"]] = (old[0] + r["revenue"], old[1] + r["cnt"])
+            else:
+                self.ceiling += max(r["most"], 0)
+        self.version = version
+
+    def ranking(self) -> list[tuple] | None:
+        """``(group, revenue)`` of the k best, or None if groups outside could be among them."""
+        good = sorted(((k, v[0]) for k, v in self.kept.items() if v[1] > 0 and v[0] > 0), key=lambda x: (-x[1], x[0]))[: self.k]
+        if self.ceiling > 0 and (len(good) < self.k or good[-1][1] <= self.ceiling):
+            return None
+        return good

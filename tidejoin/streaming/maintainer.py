@@ -11,15 +11,16 @@ from enum import Enum
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.aggregate import group_changes, positive
+from ..operators.aggregate import group_changes
 from ..operators.changelog import OP, data_columns, unmixed
 from ..operators.delta import WEIGHT, delta_join
 from ..operators.fk_join import with_attributes
-from ..operators.topk import order, top_k
+from ..operators.topk import Reserve, order
 from ..plans.chain import FkChain
-from .store import Store
+from .store import SEED, Store
 
 #: (top rows, micro-batch, trigger)
 Sink = Callable[[DataFrame, int, str], None]
@@ -37,6 +38,7 @@ class Maintainer:
     def __init__(self, store: Store, policy: Policy = Policy.JOB_END, sink: Sink | None = None, k: int = 20):
         self.store, self.policy, self.sink, self.k = store, policy, sink, k
         self.chain: FkChain = store.chain
+        self.reserve = Reserve(self.chain.group_key, k)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Applies a micro-batch of the mixed changelog; one that is committed already changes nothing.
@@ -64,8 +66,12 @@ class Maintainer:
             for rows in change.values():
                 rows.unpersist()
             batch.unpersist()
-        if self.sink and self.policy is not Policy.JOB_END and (self.policy is Policy.BATCH_END or self.changed(batch_id)):
-            self.sink(self.top(batch_id), batch_id, self.policy.value)
+        if self.sink and self.policy is not Policy.JOB_END:
+            before = self.ranking(batch_id - 1) if self.policy is Policy.ON_CHANGE else None
+            if before != self.ranking(batch_id):
+                self.sink(self.top(batch_id), batch_id, self.policy.value)
+        if batch_id - max(store.names("bases"), default=SEED) >= store.base_every:
+            store.rebase(batch_id)
 
     def old_state(self, touched: dict[str, set[int]], batch_id: int) -> dict[str, DataFrame]:
         """The state before the batch. Facts and their next relation are read in the buckets that the batch touches,
@@ -76,22 +82,37 @@ class Maintainer:
             own = sorted(set().union(*touched.values()))
         return {n: store.state(n, batch_id, own if n in near else None) for n in names}
 
-    def ranked(self, version: int) -> DataFrame:
-        return top_k(positive(self.store.view(version).where("cnt > 0")), self.chain.group_key, self.k)
-
-    def changed(self, batch_id: int) -> bool:
-        """Whether the ordered keys and revenues differ from those before: k rows on either side."""
-        before, after = (self.ranked(v).select(self.chain.group_key, "revenue").collect() for v in (batch_id - 1, batch_id))
-        return before != after
+    def ranking(self, version: int) -> list[tuple]:
+        """The k best groups after a version and their revenues.  From the version before, only the batch's own sums are
+        read; the whole view is, if the reserve is new or falls short."""
+        kept = self.reserve
+        if kept.version != version:
+            if kept.version is not None and kept.version == version - 1:
+                if version in self.store.names("view"):
+                    kept.apply(self.store.read_view(version), version)
+                kept.version = version
+            else:
+                kept.fill(self.store.view(version), version)
+        found = kept.ranking()
+        if found is None:
+            kept.fill(self.store.view(version), version)
+            found = kept.ranking() or sorted(((k, v[0]) for k, v in kept.kept.items()), key=lambda x: (-x[1], x[0]))[: self.k]
+        return found
 
     def top(self, version: int) -> DataFrame:
         """The ranking after a version, with the dimension columns of that version."""
-        rels = {r.name: self.current(r.name, version) for r in self.chain.rels[1:]}
-        found = with_attributes(self.chain, self.ranked(version), rels)
+        rows = self.ranking(version)
+        kind = {f.name: f.dataType for f in self.store.view_changes(version).schema}
+        best = self.store.spark.createDataFrame(rows, T.StructType([T.StructField(n, kind[n]) for n in (self.chain.group_key, "revenue")]))
+        group = next(r for r in self.chain.rels if r.key == (self.chain.group_key,))
+        # of the grouping relation only the buckets of the ranked keys
+        own = sorted({b for (b,) in best.select(self.store._bucket(self.chain.group_key)).collect()})
+        rels = {r.name: self.current(r.name, version, own if r is group else None) for r in self.chain.rels[1:]}
+        found = with_attributes(self.chain, best, rels)
         return found.select(self.chain.group_key, "revenue", *self.chain.attributes).orderBy(*order(self.chain.group_key))
 
-    def current(self, name: str, version: int) -> DataFrame:
-        rows = self.store.state(name, version + 1)
+    def current(self, name: str, version: int, own: list[int] | None = None) -> DataFrame:
+        rows = self.store.state(name, version + 1, own)
         columns = [c for c in rows.columns if c != WEIGHT]
         return rows.groupBy(*columns).agg(F.sum(WEIGHT).alias(WEIGHT)).where(F.col(WEIGHT) > 0).drop(WEIGHT)
 
