@@ -256,7 +256,8 @@ class Trie:
         codes = np.where(used, np.searchsorted(alphabet, phrases) + 1, 0)
         order = np.lexsort(codes.T[::-1])
         codes, lengths, phrases = codes[order], lengths[order], phrases[order]
-        array = _DoubleArray(len(alphabet))
+        prefixes = sum(int((np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]).sum()) for k in range(1, codes.shape[1] + 1) if len(rows := codes[lengths >= k, :k]))
+        array = _DoubleArray(len(alphabet), prefixes)
         at = np.zeros(len(codes), np.int64)  # the state of each row's prefix
         phrase = {}
         for level in range(1, phrases.shape[1] + 1):
@@ -272,7 +273,8 @@ class Trie:
         accepts = np.full(len(array.check), -1, np.int32)
         for states, rows in phrase.values():
             accepts[states] = rows
-        return cls(alphabet, array.base.astype(np.int32), array.check.astype(np.int32), accepts, phrases, lengths)
+        end = int(np.flatnonzero(array.check != -2)[-1]) + 1
+        return cls(alphabet, array.base[:end].astype(np.int32), array.check[:end].astype(np.int32), accepts[:end], phrases, lengths)
 
     def counts(self, hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """How often each phrase occurs in a slice: all positions advance together."""
@@ -295,8 +297,9 @@ class Trie:
 class _DoubleArray:
     """Places children; ``check`` is -2 where nothing is."""
 
-    def __init__(self, codes: int):
-        self.base, self.check = np.zeros(codes + 1, np.int64), np.full(codes + 1, -2, np.int64)
+    def __init__(self, codes: int, states: int):
+        size = codes + 1 + states * 3 // 2  # room for any set of codes, at most two thirds full
+        self.base, self.check = np.zeros(size, np.int64), np.full(size, -2, np.int64)
         self.check[0] = -1
         self.rng = np.random.default_rng(11)
 
@@ -331,12 +334,13 @@ class _DoubleArray:
         return out
 
     def _fit(self, c: np.ndarray) -> int:
-        """A base whose slots for the codes are free: tried at some places, else behind the end."""
-        span = len(self.check) - int(c[-1])
-        if span > 0:
-            for base in [0, *self.rng.integers(-int(c[0]) + 1, span, 24).tolist()]:
-                if (self.check[base + c] == -2).all():
-                    return base
+        """A base whose slots for the codes are free: tried at places drawn by chance, else behind the end."""
+        low, high = 1 - int(c[0]), len(self.check) - int(c[-1])
+        for _ in range(16 if high > low else 0):
+            bases = self.rng.integers(low, high, 32)
+            free = (self.check[bases[:, None] + c] == -2).all(axis=1)
+            if free.any():
+                return int(bases[free.argmax()])
         base = len(self.check) - int(c[0])
         self._room(base + int(c[-1]) + 1)
         return base
