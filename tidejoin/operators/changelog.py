@@ -96,4 +96,4 @@ def validate_changelog(log: DataFrame, key: list[str]) -> DataFrame:
 
 def filtered_logs(chain: FkChain, logs: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The chain's filters on inserts and deletes alike, before any join or state."""
-    return {r.name: r.rows(logs[r.name], (OP, BATCH)) for r in chain.rels}
+    return {r.name: r.rows(logs[r.name], (OP, BATCH)) for r in chain.rels if r.name in logs}

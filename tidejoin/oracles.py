@@ -63,6 +63,7 @@ ORACLES = {
     "q10_top20": f"{BASE}, {CHAIN}, {VIEW} SELECT * FROM v ORDER BY revenue_e4 DESC, c_custkey LIMIT 20",
     "q10_all": f"{BASE}, {CHAIN}, {VIEW} SELECT * FROM v",
     "fk_chain_join": f"{BASE}, {CHAIN} SELECT l_orderkey, l_linenumber, l_partkey, c_custkey, n_name, {REV} AS revenue_e4 FROM j",
+    "fk_chain_join_bucketed": f"{BASE}, {CHAIN} SELECT l_orderkey, l_linenumber, l_partkey, c_custkey, n_name, {REV} AS revenue_e4 FROM j",
     "revenue_by_customer": f"{BASE} SELECT o_custkey AS c_custkey, CAST(sum({REV}) AS BIGINT) AS revenue_e4, count(*) AS cnt FROM l JOIN o ON l_orderkey = o_orderkey GROUP BY o_custkey",
     "revenue_exact": "SELECT l_returnflag, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) AS BIGINT) AS revenue_e4 FROM lineitem GROUP BY l_returnflag",
     "revenue_cents": "SELECT l_returnflag, CAST(sum(p - p * bp // 10000) AS BIGINT) AS revenue_cents FROM (SELECT l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS p, CAST(round(l_discount * 10000) AS BIGINT) AS bp FROM lineitem) GROUP BY l_returnflag",
@@ -120,6 +121,8 @@ ORACLES = {
     "stream_join_deltas": f"{DELTA} SELECT l_orderkey, l_linenumber, l_partkey, c_custkey, n_name, {REV} AS revenue_e4, CAST(sum(op) AS BIGINT) AS op FROM dd GROUP BY ALL HAVING sum(op) <> 0",
     "stream_keyed_join": f"{DELTA} SELECT l_orderkey, l_linenumber, l_partkey, c_custkey, n_name, {REV} AS revenue_e4, CAST(sum(op) AS BIGINT) AS op FROM dd GROUP BY ALL HAVING sum(op) <> 0",
     "stream_revenue": f"{DELTA}, {G} SELECT c_custkey, revenue_e4, cnt FROM g",
+    "stream_revenue_update": f"{DELTA}, {G} SELECT c_custkey, revenue_e4, cnt FROM g",
+    "stream_update_files": f"{BASE} SELECT c_custkey, CAST(sum((cents + CASE WHEN l_orderkey % 5 = 0 THEN 100 ELSE 0 END) * (100 - pct)) AS BIGINT) AS revenue_e4, CAST(count(*) AS BIGINT) AS cnt FROM l JOIN o ON l_orderkey = o_orderkey JOIN c ON o_custkey + 1 = c_custkey JOIN n ON c_nationkey = n_nationkey GROUP BY c_custkey",
     "stream_topk": f"{DELTA}, {SNAPS} SELECT batch, rank, c_custkey, revenue_e4 FROM t WHERE batch IN (3, 5, 7)",
 }
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import money, revenue
 from .operators import aggregate, changelog, compare, delta, fk_join, liveness, metrics, predicates, quality, replay, sinks, topk
 from .plans.chain import FkChain, q10
+from .sources.bucketed import bucketed
 from .sources.shared import scratch
 from .sources.tables import parquet_table
 from .sources.updates import bulk, pair_lines
@@ -19,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 NAMES = ("lineitem", "orders", "customer", "nation")
 KEY = "c_custkey"
 LAST_BATCH = 7
+BUCKETS = 16
 EMPTIED_LAST = 11
 
 
@@ -71,6 +73,13 @@ def fk_chain_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fk_join.fk_join(chain, rels(spark, sf_dir)).select("l_orderkey", "l_linenumber", "l_partkey", KEY, "n_name", units(chain.measure()).alias("revenue_e4"))
 
 
+def fk_chain_join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join over lines and orders that are stored by order key: they meet where they lie."""
+    chain, r = q10(), rels(spark, sf_dir)
+    r |= {n: bucketed(r[n], k, BUCKETS) for n, k in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"))}
+    return fk_join.fk_join(chain, r).select("l_orderkey", "l_linenumber", "l_partkey", KEY, "n_name", units(chain.measure()).alias("revenue_e4"))
+
+
 def revenue_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_units(fk_join.partial_revenue(q10(), rels(spark, sf_dir))).select(KEY, "revenue_e4", "cnt")
 
@@ -203,7 +212,7 @@ def changelog_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a row holds both lines of an order, so that they stay together in any file; a blank line stands between them
     pair = o.select(F.pmod("o_orderkey", F.lit(10)).alias("b"), F.concat(line("O"), F.lit("\n\n"), line("F")).alias("value"))
     pair.write.partitionBy("b").text(path)
-    log = pair_lines(spark, [(f"{path}/b={b}", 4 + b) for b in range(10)], "orders")
+    log = pair_lines(spark, [(f"{path}/b={b}", 4 + b) for b in range(10)], "orders", path)
     return log.select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), "op", "batch")
 
 
@@ -368,7 +377,7 @@ def metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.read_json(spark, path).select("run_id", "job", "parallelism", "updates_total", "join_deltas_total", "groups_total", "wall_time_ms", F.element_at("phases_ms", F.lit("join")).alias("join_ms"))
 
 
-BATCH = (q10_top20, q10_all, fk_chain_join, revenue_by_customer, revenue_exact, revenue_cents, scalar_money, filter_orders_window, filter_returned, live_customers, live_orders, live_lineitems, nonlive_lineitems, alive_counter, parents_of, liveness_changes, liveness_deltas, fk_orphans, pk_duplicates, schema_integrity, column_checks, changelog_bulk, changelog_mixed, changelog_filtered, changelog_pairs, count_updates, assign_batches, net_changes, row_versions, validate_changelog, join_deltas, delta_counts, delta_join_batch, signed_aggregate, merge_partials, positive_groups, group_count, running_revenue, snapshots_batch_end, topk_changes, snapshots_on_change, topk_changes_emptied, snapshots_on_change_emptied, result_diff, result_diff_detail, sink_csv_rows, metrics_summary, metrics_json)
+BATCH = (q10_top20, q10_all, fk_chain_join, fk_chain_join_bucketed, revenue_by_customer, revenue_exact, revenue_cents, scalar_money, filter_orders_window, filter_returned, live_customers, live_orders, live_lineitems, nonlive_lineitems, alive_counter, parents_of, liveness_changes, liveness_deltas, fk_orphans, pk_duplicates, schema_integrity, column_checks, changelog_bulk, changelog_mixed, changelog_filtered, changelog_pairs, count_updates, assign_batches, net_changes, row_versions, validate_changelog, join_deltas, delta_counts, delta_join_batch, signed_aggregate, merge_partials, positive_groups, group_count, running_revenue, snapshots_batch_end, topk_changes, snapshots_on_change, topk_changes_emptied, snapshots_on_change_emptied, result_diff, result_diff_detail, sink_csv_rows, metrics_summary, metrics_json)
 
 
 def queries() -> dict[str, Query]:

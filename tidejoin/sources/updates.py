@@ -7,8 +7,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,38 +22,78 @@ def bulk(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: tables[name].withColumn("op", F.lit(1)).withColumn("batch", F.lit(k).cast("long")) for k, name in enumerate(LOAD_ORDER) if name in tables}
 
 
-def pair_lines(spark: SparkSession, files: list[tuple[str, int]], relation: str) -> DataFrame:
+def pair_lines(spark: SparkSession, files: list[tuple[str, int]], relation: str, root: str | None = None) -> DataFrame:
     """Update files (path, batch) in which the lines that aren't blank are DELETE and INSERT in turn.
 
-    The place of a line within its file decides; files are independent, and large ones are read in splits.
+    The place of a line within its file decides; files are independent, and large ones are read in splits.  ``root``: a
+    folder that holds the files, of which some may be missing.
     """
-    schema = tbl_schema(relation)
-    out = numbered_lines(spark, files)
+    out = numbered_lines(spark, files, root)
     if out is None:
-        return spark.createDataFrame([], schema).withColumn("op", F.lit(1)).withColumn("batch", F.lit(0).cast("long"))
+        return spark.createDataFrame([], tbl_schema(relation)).withColumn("op", F.lit(1)).withColumn("batch", F.lit(0).cast("long"))
+    return paired(out, relation)
+
+
+def paired(lines: DataFrame, relation: str) -> DataFrame:
+    """Numbered lines of one relation as a changelog: odd ones are deletes."""
     field = F.split("line", r"\|", -1)
-    columns = [field[i].cast(f.dataType).alias(f.name) for i, f in enumerate(schema)]
-    return out.select(*columns, F.when(F.col("n") % 2 == 1, -1).otherwise(1).alias("op"), "batch")
+    columns = [field[i].cast(f.dataType).alias(f.name) for i, f in enumerate(tbl_schema(relation))]
+    return lines.select(*columns, F.when(F.col("n") % 2 == 1, -1).otherwise(1).alias("op"), "batch")
+
+
+def _name(level: int) -> Column:
+    """The last part of the file's path, or the one before."""
+    return F.regexp_extract("file", "([^/]+)" + "/[^/]+" * level + "$", 1)
+
+
+def numbered_lines(spark: SparkSession, files: list[tuple[str, int]], root: str | None = None) -> DataFrame | None:
+    """``file, block, line, n, batch``: the lines that aren't blank, numbered from 1 within their file, by one scan of all
+    files.  A path may be a folder of files; last parts of paths differ."""
+    if not files:
+        return None
+    batches = {path.rstrip("/").rpartition("/")[2]: batch for path, batch in files}
+    if len(batches) < len(files):
+        raise ValueError("files of one name can't be told apart")
+    text = spark.read.text(root, lineSep="\n", recursiveFileLookup=True) if root else spark.read.text([p for p, _ in files], lineSep="\n")
+    of = F.create_map(*[F.lit(x) for pair in batches.items() for x in pair])
+    return numbered(located(text).withColumn("batch", F.coalesce(F.try_element_at(of, _name(0)), F.try_element_at(of, _name(1))).cast("long")))
+
+
+def located(text: DataFrame) -> DataFrame:
+    """``file, block, line``: the lines of a text scan that aren't blank, with the split that they are read in."""
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return lines.where(F.trim("line") != "")
 
 
-def numbered_lines(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame | None:
-    """``file, block, line, n, batch``: the lines that aren't blank, numbered from 1 within their file.
+def numbered(lines: DataFrame) -> DataFrame:
+    """Located lines with ``n``, from 1 within their file.
 
     Numbers come from the counts of the splits before a line's own, whose rows a task holds in order.
     """
-    out = None
-    for path, batch in files:
-        text = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"))
-        lines = text.where(F.trim("line") != "").withColumn("batch", F.lit(batch).cast("long"))
-        out = lines if out is None else out.unionByName(lines)
-    if out is None:
-        return None
-    split = ["batch", "file", "block"]
-    placed = out.withColumn("_id", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(Window.partitionBy(*split).orderBy("_id")))
-    sizes = out.groupBy(*split).agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.partitionBy("batch", "file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    split = ["file", "block"]
+    placed = lines.withColumn("_id", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(Window.partitionBy(*split).orderBy("_id")))
+    sizes = lines.groupBy(*split).agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(*split, F.coalesce(before, F.lit(0)).alias("_before"))
-    return placed.join(starts, split).select("file", "block", "line", (F.col("_before") + F.col("_n")).alias("n"), "batch")
+    return placed.join(starts, split).select("file", "block", "line", (F.col("_before") + F.col("_n")).alias("n"), *[c for c in lines.columns if c not in ("file", "block", "line")])
+
+
+#: Update files, or folders of part files, by name: relation and number of the set.
+SET_NAME = r"/(orders|lineitem)\.tbl\.u([0-9]+)(?:/[^/]*)?$"
+
+
+def update_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The update files of a folder as a stream of ``file, block, line``; sets that come later are taken when they come."""
+    reader = spark.readStream.format("text").option("lineSep", "\n")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return located(reader.load(f"{path}/*.tbl.u*"))
+
+
+def changelogs_of(lines: DataFrame) -> dict[str, DataFrame]:
+    """A micro-batch of ``update_lines`` as a changelog per relation; ``batch`` is the number of the set."""
+    rows = numbered(lines.select("*", F.regexp_extract("file", SET_NAME, 1).alias("relation"), F.regexp_extract("file", SET_NAME, 2).cast("long").alias("batch")))
+    return {r: paired(rows.where(F.col("relation") == r), r) for r in ("orders", "lineitem")}
 
 
 def update_sets(spark: SparkSession, path: str, relations: tuple[str, ...] = ("orders", "lineitem"), first_batch: int = len(LOAD_ORDER), layout: str = "pairs", tables: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
@@ -63,15 +102,16 @@ def update_sets(spark: SparkSession, path: str, relations: tuple[str, ...] = ("o
     ``layout="refresh"`` reads inserts from ``<relation>.tbl.u<N>`` and order keys to delete from ``delete.<N>``;
     the rows to delete are then looked up in ``tables``.
     """
+    have = _names(spark, path)
     found: dict[str, list[tuple[str, int]]] = {r: [] for r in relations}
     deletes: list[tuple[str, int]] = []
     for n in count(1):
-        own = {r: f"{path}/{r}.tbl.u{n}" for r in relations if _exists(spark, f"{path}/{r}.tbl.u{n}")}
-        gone = layout == "refresh" and _exists(spark, f"{path}/delete.{n}")
+        own = [r for r in relations if f"{r}.tbl.u{n}" in have]
+        gone = layout == "refresh" and f"delete.{n}" in have
         if not own and not gone:
             break
-        for r, file in own.items():
-            found[r].append((file, first_batch + n - 1))
+        for r in own:
+            found[r].append((f"{path}/{r}.tbl.u{n}", first_batch + n - 1))
         if gone:
             deletes.append((f"{path}/delete.{n}", first_batch + n - 1))
     if layout == "pairs":
@@ -80,30 +120,28 @@ def update_sets(spark: SparkSession, path: str, relations: tuple[str, ...] = ("o
 
 
 def _refresh(spark: SparkSession, relation: str, inserts: list[tuple[str, int]], deletes: list[tuple[str, int]], tables: dict[str, DataFrame]) -> DataFrame:
+    """Inserted rows, and the rows known before its batch for each key to delete: one scan of the inserts, one of the keys."""
     schema = tbl_schema(relation)
-    key = "o_orderkey" if relation == "orders" else "l_orderkey"
-    field = F.split("value", r"\|", -1)
-    parts = [spark.createDataFrame([], schema).withColumn("op", F.lit(1)).withColumn("batch", F.lit(0).cast("long"))]
-    for path, batch in inserts:
-        lines = spark.read.text(path).where(F.trim("value") != "")
-        parts.append(lines.select(*[field[i].cast(f.dataType).alias(f.name) for i, f in enumerate(schema)], F.lit(1).alias("op"), F.lit(batch).cast("long").alias("batch")))
-    inserted = parts[0]
-    for p in parts[1:]:
-        inserted = inserted.unionByName(p)
-    out = inserted
-    for path, batch in deletes:
-        keys = spark.read.text(path).where(F.trim("value") != "").select(field[0].cast("long").alias(key)).distinct()
-        known = inserted.where(F.col("batch") < batch).drop("op", "batch")
-        known = known.unionByName(tables[relation].select(*known.columns)) if relation in tables else known
-        out = out.unionByName(known.join(keys, key, "left_semi").select(*[f.name for f in schema]).withColumn("op", F.lit(-1)).withColumn("batch", F.lit(batch).cast("long")))
-    return out
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.text(path)
-        return True
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
+    key, names = "o_orderkey" if relation == "orders" else "l_orderkey", [f.name for f in schema]
+    field = F.split("line", r"\|", -1)
+    lines = numbered_lines(spark, inserts)
+    if lines is None:
+        inserted = spark.createDataFrame([], schema).withColumn("op", F.lit(1)).withColumn("batch", F.lit(0).cast("long"))
+    else:
+        inserted = lines.select(*[field[i].cast(f.dataType).alias(f.name) for i, f in enumerate(schema)], F.lit(1).alias("op"), "batch")
+    gone = numbered_lines(spark, deletes)
+    if gone is None:
+        return inserted
+    gone = gone.select(field[0].cast("long").alias("_key"), F.col("batch").alias("_batch")).distinct()
+    known = inserted.select(*names, "batch")
+    if relation in tables:
+        known = known.unionByName(tables[relation].select(*names, F.lit(-1).cast("long").alias("batch")))
+    dead = known.join(gone, (F.col(key) == F.col("_key")) & (F.col("batch") < F.col("_batch")))
+    return inserted.unionByName(dead.select(*names, F.lit(-1).alias("op"), F.col("_batch").alias("batch")))
+
+
+def _names(spark: SparkSession, path: str) -> set[str]:
+    """What a folder holds, by one listing."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {f.getPath().getName() for f in fs.listStatus(at)} if fs.exists(at) else set()

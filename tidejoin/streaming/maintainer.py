@@ -15,11 +15,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.aggregate import group_changes
-from ..operators.changelog import OP, data_columns, unmixed
+from ..operators.changelog import OP, data_columns, filtered_logs, mixed, unmixed
 from ..operators.delta import WEIGHT, delta_join
 from ..operators.fk_join import with_attributes
 from ..operators.topk import Reserve, order
 from ..plans.chain import FkChain
+from ..sources.updates import changelogs_of, update_lines
 from .store import SEED, Store
 
 #: (top rows, micro-batch, trigger)
@@ -135,6 +136,17 @@ def start(spark: SparkSession, source: str, schema, maintainer: Maintainer, chec
     return reader.parquet(source).writeStream.foreachBatch(maintainer.process).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
 
+def start_updates(spark: SparkSession, path: str, chain: FkChain, maintainer: Maintainer, checkpoint: str, files_per_trigger: int | None = None, every: str | None = None) -> StreamingQuery:
+    """A query over raw update files (DELETE and INSERT lines in turn) beside the tables; sets that come while it runs are
+    applied when they come.  ``chain`` has the filters.  It ends with the files that are there, unless ``every`` is given."""
+
+    def sink(lines: DataFrame, batch_id: int) -> None:
+        maintainer.process(mixed(filtered_logs(chain, changelogs_of(lines))), batch_id)
+
+    out = update_lines(spark, path, files_per_trigger).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return out.trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
+
+
 def apply(spark: SparkSession, source: str, schema, maintainer: Maintainer, checkpoint: str, files_per_trigger: int | None = None, timeout: int | None = None) -> None:
     """Runs until the files that are there have been applied, however long that takes unless a timeout in seconds is given."""
     query = start(spark, source, schema, maintainer, checkpoint, files_per_trigger)

@@ -12,7 +12,8 @@ from ..operators.changelog import mixed
 from ..plans.chain import FkChain, q10
 from ..sources.shared import scratch
 from .keyed import KeyedJoin
-from .maintainer import Maintainer, Policy, apply
+from .keyed_sink import KeyedSink
+from .maintainer import Maintainer, Policy, apply, start_updates
 from .store import Store
 
 #: Changelog batches that share a folder, and so a micro-batch.
@@ -114,6 +115,53 @@ def stream_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(spark.read.parquet(f"{out}/sums")).select("c_custkey", "revenue_e4", "cnt")
 
 
+def stream_revenue_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sums in update mode: a micro-batch for each version of the deltas, whose changed groups alone are written."""
+    maintainer, _ = maintained(spark, by_batches(spark, sf_dir))
+    store, chain = maintainer.store, maintainer.chain
+    out = scratch(spark, "sums")
+    sink = KeyedSink(spark, f"{out}/sums", [chain.group_key])
+    for v in store.names("deltas"):
+        rows = spark.read.parquet(f"{store.path}/deltas/v={v}")
+        rows.write.mode("append").parquet(f"{out}/source/v={v}")
+        deltas = spark.readStream.schema(rows.schema).parquet(f"{out}/source/*")
+        sums = deltas.groupBy(chain.group_key).agg(F.sum(chain.measure() * F.col("op")).alias("revenue"), F.sum("op").alias("cnt"))
+        query = sums.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return units(sink.rows()).select("c_custkey", "revenue_e4", "cnt")
+
+
+def write_update_files(spark: SparkSession, sf_dir: str, path: str, sets: list[int]) -> None:
+    """Update sets of the whole tables as text: each order is deleted and comes back with the next customer, each fifth
+    order's lines come back a unit dearer; a set for each remainder of the order key by 4."""
+    from ..sources.tables import parquet_table
+
+    line = lambda *c: F.concat_ws("|", *[x if isinstance(x, str) else x.cast("string") for x in c], F.lit(""))
+    no = F.lit("x")
+    o, l = (parquet_table(spark, sf_dir, n) for n in ("orders", "lineitem"))  # noqa: E741
+    order = lambda c: line(F.col("o_orderkey"), c, F.lit("O"), F.col("o_totalprice"), F.col("o_orderdate"), no, no, F.lit("0"), no)
+    item = lambda p: line(F.col("l_orderkey"), F.col("l_partkey"), F.lit("1"), F.col("l_linenumber"), F.lit("1.00"), p, F.col("l_discount"), F.lit("0.00"), F.col("l_returnflag"), no, *[F.lit("1996-11-01")] * 3, no, no, no)
+    for n in sets:
+        mine = o.where(F.pmod("o_orderkey", F.lit(4)) == n - 1)
+        mine.select(F.concat(order(F.col("o_custkey")), F.lit("\n"), order(F.col("o_custkey") + 1))).write.text(f"{path}/orders.tbl.u{n}")
+        mine = l.where((F.pmod("l_orderkey", F.lit(4)) == n - 1) & (F.pmod("l_orderkey", F.lit(5)) == 0))
+        mine.select(F.concat(item(F.col("l_extendedprice")), F.lit("\n\n"), item((F.col("l_extendedprice") + 1).cast("decimal(15,2)")))).write.text(f"{path}/lineitem.tbl.u{n}")
+
+
+def stream_update_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view over the tables after a stream of raw update sets, two of which come when the first ones have been applied."""
+    from ..queries import rels
+
+    base, chain = scratch(spark, "update-files"), q10()
+    store = Store(spark, f"{base}/store", unfiltered(chain), buckets=4)
+    store.seed(rels(spark, sf_dir))
+    keeper = Maintainer(store)
+    for sets in ([1, 2], [3, 4]):
+        write_update_files(spark, sf_dir, f"{base}/sets", sets)
+        start_updates(spark, f"{base}/sets", chain, keeper, f"{base}/checkpoint").awaitTermination()
+    return units(store.view().where("cnt > 0")).select("c_custkey", "revenue_e4", "cnt")
+
+
 def stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranking after each micro-batch, as the sink gets it; named by its last changelog batch."""
     from pyspark.sql.window import Window
@@ -132,4 +180,4 @@ def stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (stream_job_end, stream_updates, stream_out_of_order, stream_join_deltas, stream_keyed_join, stream_revenue, stream_topk)}
+    return {f.__name__: f for f in (stream_job_end, stream_updates, stream_out_of_order, stream_join_deltas, stream_keyed_join, stream_revenue, stream_revenue_update, stream_update_files, stream_topk)}

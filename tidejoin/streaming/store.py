@@ -36,12 +36,44 @@ SEED = -1
 _PLACE = (T.StructField("v", T.IntegerType()), T.StructField("bucket", T.IntegerType()))
 
 
+# Files of a few bytes and folder names go through Spark's file system at the driver; no job reads them.
+def at(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, name: str) -> None:
+    fs, path = at(spark, name)
+    fs.delete(path, True)
+
+
+def put(spark: SparkSession, name: str, text: str) -> None:
+    """Writes a file beside its place and moves it there, so that it is never seen in part."""
+    fs, path = at(spark, name)
+    folder, _, own = name.rpartition("/")
+    _, draft = at(spark, f"{folder}/.{own}.draft")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(path, False)
+    if not fs.rename(draft, path):
+        raise OSError(f"can't write {name}")
+
+
+def folders(spark: SparkSession, name: str, start: str = "v=") -> list:
+    """The versions that a folder holds, in order; or the names that begin with something else."""
+    fs, path = at(spark, name)
+    if not fs.exists(path):
+        return []
+    found = [n for f in fs.listStatus(path) if (n := f.getPath().getName()).startswith(start)]
+    return sorted(int(n[2:]) for n in found) if start == "v=" else sorted(found)
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, chain: FkChain, buckets: int = BUCKETS, base_every: int = BASE_EVERY):
         self.spark, self.path, self.chain, self.buckets, self.base_every = spark, path, chain, buckets, base_every
         self._schemas: dict[str, T.StructType] = {}
         self._view: T.StructType | None = None
-        self._fs = None
 
     # Rows of a relation lie in the bucket of the key by which the next relation towards the fact table refers to
     # them, the fact table's rows in that of their foreign key: lines and orders of an order share a bucket number.
@@ -170,40 +202,19 @@ class Store:
         """The last version that counts."""
         return max(self.names("commits"))
 
-    # Files of a few bytes and folder names go through Spark's file system at the driver; no job reads them.
-    def _at(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        self._fs = self._fs or path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self._fs, path
-
     def _exists(self, name: str) -> bool:
-        fs, path = self._at(name)
+        fs, path = at(self.spark, f"{self.path}/{name}")
         return fs.exists(path)
 
     def _delete(self, name: str) -> None:
-        fs, path = self._at(name)
-        fs.delete(path, True)
+        remove(self.spark, f"{self.path}/{name}")
 
     def _put(self, name: str, text: str) -> None:
-        """Writes a file beside its place and moves it there, so that it is never seen in part."""
-        fs, path = self._at(name)
-        folder, _, own = name.rpartition("/")
-        _, draft = self._at(f"{folder}/.{own}.draft")
-        out = fs.create(draft, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        fs.delete(path, False)
-        if not fs.rename(draft, path):
-            raise OSError(f"can't write {name}")
+        put(self.spark, f"{self.path}/{name}", text)
 
     def names(self, kind: str) -> list[int]:
         """The versions of a kind, in order."""
-        fs, path = self._at(kind)
-        if not fs.exists(path):
-            return []
-        found = [f.getPath().getName() for f in fs.listStatus(path)]
-        return sorted(int(n[2:]) for n in found if n.startswith("v="))
+        return folders(self.spark, f"{self.path}/{kind}")
 
     def compacted(self, path: str) -> Store:
         """A new store whose seed is this one's state after its last version."""
