@@ -78,3 +78,31 @@ def test_each_change_is_a_batch(spark, case, tmp_path, job):
 def test_verify_and_refresh_layout(spark, case, tmp_path):
     jobs.main(spark, ["verify", "--input", case[0], "--output", f"file://{tmp_path}", "--start", "1996-10-01"])
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/differences").count() == 0
+
+
+def test_a_running_stream_takes_sets_that_come_later(spark, case, tmp_path):
+    """The second set is written while the job runs."""
+    import shutil
+    import threading
+
+    source, _, after = case
+    mine = tmp_path / "in"
+    shutil.copytree(source.removeprefix("file://"), mine)
+    late = {p: (mine / p).read_text() for p in ("orders.tbl.u1", "lineitem.tbl.u1")}
+    (mine / "orders.tbl.u1").unlink()
+    store = tmp_path / "out/store/commits"
+
+    def later():
+        while not (store / "v=0").exists():  # the first set has been applied
+            threading.Event().wait(0.2)
+        (mine / ".draft").write_text(late["orders.tbl.u1"])
+        (mine / ".draft").rename(mine / "orders.tbl.u2")
+
+    t = threading.Thread(target=later, daemon=True)
+    t.start()
+    jobs.main(spark, ["stream", "--input", f"file://{mine}", "--output", f"file://{tmp_path}/out", "--start", "1996-10-01", "--every", "1 second", "--seconds", "45", "--policy", "on_change"])
+    t.join(1)
+    assert not t.is_alive() and (store / "v=1").exists()
+    assert top(tmp_path / "out") == ranked(after)
+    with pytest.raises(SystemExit):
+        jobs.main(spark, ["replay", "--input", source, "--output", "x", "--every", "1 second"])

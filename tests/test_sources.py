@@ -77,3 +77,38 @@ def test_refresh_layout_looks_rows_up(spark, tmp_path):
 def test_bulk_batches(spark):
     t = {n: spark.range(2) for n in updates.LOAD_ORDER}
     assert [updates.bulk(t)[n].first().batch for n in updates.LOAD_ORDER] == [0, 1, 2, 3]
+
+
+def test_one_scan_for_any_number_of_update_files(spark, tmp_path):
+    for n in range(1, 8):
+        write(tmp_path / f"orders.tbl.u{n}", ORDER.format(k=n, c=1) + ORDER.format(k=n, c=2))
+    log = updates.update_sets(spark, f"file://{tmp_path}")["orders"]
+    assert log._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 2  # lines, and the sizes of their splits
+    assert sorted((r.o_orderkey, r.op, r.batch) for r in log.collect()) == sorted((n, op, n + 3) for n in range(1, 8) for op in (-1, 1))
+
+
+def test_pairs_of_an_empty_table(spark, tmp_path):
+    from tidejoin import queries
+
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert queries.changelog_pairs(spark, str(tmp_path)).count() == 0
+
+
+def test_bucketed_facts_join_without_an_exchange(spark):
+    from fixtures import CHAIN, frames
+    from tidejoin.operators.fk_join import fk_join
+    from tidejoin.operators.predicates import filtered
+    from tidejoin.sources.bucketed import bucketed
+
+    plain = filtered(CHAIN, frames(spark))
+    stored = plain | {n: bucketed(plain[n], k, 4) for n, k in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"))}
+    assert len(stored["lineitem"].inputFiles()) <= 4
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda r: r["lineitem"].join(r["orders"], F.col("l_orderkey") == F.col("o_orderkey"))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan(stored) and "Exchange hashpartitioning(l_orderkey" in plan(plain)
+        rows = lambda r: sorted(map(tuple, fk_join(CHAIN, r).collect()), key=repr)
+        assert rows(stored) == rows(plain)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)

@@ -116,3 +116,89 @@ def test_touched_buckets_hold_all_keys_of_a_batch(spark, stream):
     alone = stream.where(F.col("relation") == PLAIN.fact.name).select("relation", "op", "batch", PLAIN.fact.name)
     assert set(store.touched(alone)) == {PLAIN.fact.name}
     assert store.touched(stream.limit(0)) == {}
+
+
+def test_bases_bound_what_is_read_and_a_second_seed_changes_nothing(spark, stream, tmp_path):
+    """A base after every second batch: the same view, few folders, and a restart that seeds again."""
+    plain = Store(spark, f"file://{tmp_path}/plain", PLAIN, buckets=2)
+    based = Store(spark, f"file://{tmp_path}/based", PLAIN, buckets=2, base_every=2)
+    for store in (plain, based):
+        store.seed(empty(stream))
+        keeper = Maintainer(store)
+        for b in range(3):
+            keeper.process(stream.where(F.col("batch") == b), b)
+        for b in range(3, 6):  # batches without effect
+            keeper.process(stream.limit(0), b)
+    live = lambda v: {k: x for k, x in v.items() if x[1]}
+    assert live(view(based.view())) == live(view(plain.view())) and based.last() == plain.last() == 5
+    assert based.names("bases") == [5] and not based.names("view") and not based.names("state/lineitem")
+    for r in PLAIN.rels:
+        sums = lambda s, r=r: {tuple(x) for x in s.state(r.name, 6).groupBy(*r.columns).agg(F.sum("w").alias("w")).where("w <> 0").collect()}
+        assert sums(based) == sums(plain)
+    again = Store(spark, based.path, PLAIN, buckets=2, base_every=2)
+    again.seed(empty(stream))  # as a job that starts again does
+    assert live(view(again.view())) == live(view(plain.view())) and again.committed() == based.committed()
+    Maintainer(again).process(stream.where("batch = 1"), 6)
+    # a base without its mark doesn't count
+    (tmp_path / "based/bases/v=5/whole").unlink()
+    assert again.names("bases") == [5] and again.state("nation", 7).count() <= plain.state("nation", 7).count()
+
+
+def test_a_batch_that_touches_no_kept_group_reads_no_view(spark, monkeypatch):
+    from tidejoin.operators.topk import Reserve, top_k
+
+    groups = spark.createDataFrame([(k, 1000 - 10 * k, 1) for k in range(60)], "c_custkey long, revenue long, cnt long")
+    kept = Reserve("c_custkey", k=5, spare=10)
+    kept.fill(groups, 0)
+    assert kept.ranking() == [(k, 1000 - 10 * k) for k in range(5)] and kept.ceiling == 1000 - 150
+    change = lambda *rows: spark.createDataFrame(rows, groups.schema)
+    kept.apply(change((40, 30, 1), (50, -500, -1)), 1)
+    assert kept.ceiling == 880 and kept.ranking() == [(k, 1000 - 10 * k) for k in range(5)]
+    kept.apply(change((2, 15, 1), (0, -1000, -1), (77, 1, 1)), 2)
+    assert kept.ranking() == [(2, 995), (1, 990), (3, 970), (4, 960), (5, 950)]
+    kept.apply(change((45, 100, 1)), 3)
+    assert kept.ranking() is None  # a group outside may be among the best now
+    few = Reserve("c_custkey", k=5, spare=10)
+    few.fill(groups.limit(3), 0)
+    assert [k for k, _ in few.ranking()] == [0, 1, 2]
+    few.apply(change((9, 5, 1)), 1)
+    assert few.ranking() is None
+    tied = spark.createDataFrame([(k, 7, 1) for k in range(40)], groups.schema)
+    ties = Reserve("c_custkey", k=3, spare=2)
+    ties.fill(tied, 0)
+    assert sorted(ties.kept) == [r[0] for r in top_k(tied, "c_custkey", 5).collect()]
+
+
+def test_the_ranking_of_a_stream_comes_from_the_reserve(spark, stream, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store", PLAIN, buckets=2)
+    store.seed(empty(stream))
+    reads = []
+    real = Store.view
+    monkeypatch.setattr(Store, "view", lambda self, upto=None: reads.append(upto) or real(self, upto))
+    seen = []
+    keeper = Maintainer(store, Policy.BATCH_END, lambda rows, batch, trigger: seen.append([(r.c_custkey, r.revenue) for r in rows.collect()]))
+    for b in range(3):
+        keeper.process(stream.where(F.col("batch") == b), b)
+    assert reads == [0]  # the reserve was filled once; it holds all groups of this small set
+    for b, rows in enumerate(seen):
+        want = sorted(((r.c_custkey, r.revenue) for r in real(store, b).where("cnt > 0 and revenue > 0").collect()), key=lambda x: (-x[1], x[0]))[:20]
+        assert rows == want
+
+
+def test_update_mode_writes_changed_groups_alone(spark, tmp_path):
+    from tidejoin.streaming.keyed_sink import KeyedSink
+
+    sink = KeyedSink(spark, f"file://{tmp_path}/sums", ["k"], base_every=2)
+    source = f"file://{tmp_path}/in"
+    for v, rows in enumerate([[(k, k) for k in range(50)], [(3, 10), (4, -4)], [(4, 4), (99, 1)]]):
+        spark.createDataFrame(rows, "k long, x long").write.mode("append").parquet(source)
+        sums = spark.readStream.schema("k long, x long").parquet(source).groupBy("k").agg(F.sum("x").alias("s"))
+        sizes = []
+        one = lambda df, n, sizes=sizes: (sizes.append((n, df.count())), sink(df, n))
+        sums.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        assert sizes == [(v, len(rows))]
+    want = {k: k for k in range(50)} | {3: 13, 99: 1}
+    assert {r.k: r.s for r in sink.rows().collect()} == want and sink.base() == 1
+    # the last batch again, as after a crash
+    sink(spark.createDataFrame([(4, 4), (99, 1)], "k long, s long"), 2)
+    assert {r.k: r.s for r in sink.rows().collect()} == want

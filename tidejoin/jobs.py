@@ -22,7 +22,7 @@ from .plans.chain import FkChain, q10
 from .sources.shared import written
 from .sources.tables import parquet_table, tbl_table
 from .sources.updates import LOAD_ORDER, bulk, update_sets
-from .streaming.maintainer import Maintainer, Policy, apply
+from .streaming.maintainer import Maintainer, Policy, apply, start_updates
 from .streaming.queries import unfiltered
 from .streaming.store import Store
 
@@ -118,6 +118,9 @@ def run_stream(spark: SparkSession, args: argparse.Namespace) -> dict[str, int]:
     rels = predicates.filtered(chain, tables)
     with phase("load"):
         store.seed(rels)
+    if args.every:
+        return run_running(spark, args, chain, store)
+    with phase("load"):
         updates = update_sets(spark, args.input, layout=args.layout, tables=tables)
         if args.batch_size is not None:
             updates = changelog.regrained(updates, args.batch_size, len(LOAD_ORDER))
@@ -145,6 +148,29 @@ def run_stream(spark: SparkSession, args: argparse.Namespace) -> dict[str, int]:
     return {"join_deltas_total": sum(store.committed().values()), "groups_total": store.view().where("cnt > 0").count(), "snapshots_total": len(sent)}
 
 
+def run_running(spark: SparkSession, args: argparse.Namespace, chain: FkChain, store: Store) -> dict[str, int]:
+    """Applies raw update sets as they come, every so often, until ``--seconds`` have passed or the job is stopped."""
+    sent: set[tuple[int, str]] = set()
+
+    def sink(rows: DataFrame, batch: int, trigger: str) -> None:
+        sinks.write_snapshot(rows, f"{args.output}/snapshots", trigger, batch)
+        sent.add((batch, trigger))
+
+    keeper = Maintainer(store, Policy(args.policy), sink, args.k)
+    query = start_updates(spark, args.input, chain, keeper, f"{args.output}/checkpoint", every=args.every)
+    with phase("join"):
+        try:
+            query.awaitTermination(args.seconds)
+            if query.isActive:
+                query.processAllAvailable()  # what has come by then counts
+        finally:
+            query.stop()
+    with phase("topk"):
+        top = written(keeper.finish(), "top")
+    sinks.write_csv(top.orderBy(*topk.order(chain.group_key)), f"{args.output}/top")
+    return {"join_deltas_total": sum(store.committed().values()), "groups_total": store.view().where("cnt > 0").count(), "snapshots_total": len(sent)}
+
+
 def run_verify(spark: SparkSession, args: argparse.Namespace) -> dict[str, int]:
     """Writes the rows in which the maintained view and a full recompute differ; fails if there are any."""
     tables = load(spark, args.input, args.format)
@@ -178,6 +204,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--start", default="1993-10-01", help="first order day")
     p.add_argument("--months", type=int, default=3)
     p.add_argument("--batch-size", type=int, help="changes of the update sets to a batch, 1 for each by itself, 0 for all in one; by default a set is a batch")
+    p.add_argument("--every", help='stream: look for new update sets at this interval, as "10 seconds", and go on until stopped; pairs layout')
+    p.add_argument("--seconds", type=int, help="with --every: stop after so long, when what has come is applied")
     p.add_argument("-k", type=int, default=20)
     p.add_argument("--metrics", help="folder to which a JSON line of the run is appended")
     return p
@@ -185,6 +213,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(spark: SparkSession, argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
+    if args.every and (args.job != "stream" or args.layout != "pairs"):
+        raise SystemExit("--every is for the stream job and the pairs layout")
     _took.clear()
     began = time.time()
     totals = JOBS[args.job](spark, args)
