@@ -1,5 +1,6 @@
 """Units on the hand-made set, and laws of the deltas on seeded random changelogs."""
 
+import time
 import random
 from collections import Counter
 
@@ -227,3 +228,39 @@ def test_snapshot_is_replaced_and_quoted(spark, tmp_path):
         sinks.write_snapshot(top, f"file://{tmp_path}", "BATCH_END", 7)
     lines = spark.read.text(f"file://{tmp_path}/trigger=batch_end/snapshot=7").collect()
     assert [r.value for r in lines] == ["c_custkey,c_name,revenue,c_acctbal", '1,"A ""x"", y",12.5000,3.00']
+
+
+def test_only_differing_buckets_are_compared(spark, monkeypatch):
+    from tidejoin.operators import compare
+
+    a = spark.createDataFrame([(k, k % 7 if k % 5 else None) for k in range(200)] + [(3, 3)], "k long, v long")
+    b = spark.createDataFrame([(k, (k + (k == 11)) % 7 if k % 5 else None) for k in range(200)] + [(500, None), (3, 3), (3, 3)], "k long, v long")
+    stored = [compare.stored_by_key(df, ["k"], ["k", "v"], 16) for df in (a, b)]
+    seen = []
+    real = compare.two_way
+    monkeypatch.setattr(compare, "two_way", lambda x, y, c: seen.append({r[0] for df in (x, y) for r in df.select("bucket").collect()}) or real(x, y, c))
+    got = sorted(map(tuple, compare.by_digest(*stored, ["k", "v"]).collect()), key=repr)
+    assert got == sorted([tuple(r) for r in real(a, b, ["k", "v"]).collect()], key=repr) and len(got) == 4
+    buckets = {r[0] for df in stored for r in df.where("k in (3, 11, 500)").select("bucket").collect()}
+    assert seen == [buckets] and len(buckets) <= 3
+    assert compare.by_digest(stored[0], stored[0], ["k", "v"]).count() == 0 and seen[-1] == set()
+
+
+def test_stream_totals_add_up(spark, tmp_path):
+    from tidejoin.operators.metrics import StreamTotals
+
+    totals = StreamTotals()
+    spark.streams.addListener(totals)
+    try:
+        for i in range(2):
+            spark.range(10 + i).write.mode("append").parquet(f"{tmp_path}/in")
+            q = spark.readStream.schema("id long").parquet(f"{tmp_path}/in").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+            q.awaitTermination()
+        spark._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        for _ in range(100):
+            if totals.rows >= 21:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(totals)
+    assert totals.rows == 21 and totals.batches >= 2 and totals.took["addBatch"] > 0

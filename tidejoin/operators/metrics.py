@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.money import ratio
 
@@ -47,3 +52,54 @@ def summary(runs: DataFrame) -> DataFrame:
         "updates_per_sec": F.round(ratio(F.col("updates_total") * 1000, base), 3),
         "join_deltas_per_sec": F.round(ratio(F.col("join_deltas_total") * 1000, base), 3),
     })
+
+
+class Run:
+    """A run's record, gathered while it runs: times of phases, and counts that Spark takes along with the rows."""
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.job, self.began = spark, job, time.time()
+        self.took: dict[str, int] = {}
+        self.counts: dict[str, list[Observation]] = {}
+
+    @contextmanager
+    def phase(self, name: str) -> Iterator[None]:
+        began = time.time()
+        try:
+            yield
+        finally:
+            self.took[name] = self.took.get(name, 0) + int(1000 * (time.time() - began))
+
+    def counted(self, df: DataFrame, total: str, n: Column | None = None) -> DataFrame:
+        """``df``, whose rows (or the sum of ``n``) add to a total when it is next computed; no pass of its own."""
+        seen = Observation()
+        self.counts.setdefault(total, []).append(seen)
+        return df.observe(seen, F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n") if n is not None else F.count("*").alias("n"))
+
+    def record(self, **more) -> DataFrame:
+        """The record after all that was counted has been computed."""
+        totals = {k: sum(o.get["n"] for o in seen) for k, seen in self.counts.items()}
+        return record(self.spark, job=self.job, parallelism=self.spark.sparkContext.defaultParallelism, wall_time_ms=int(1000 * (time.time() - self.began)), phases_ms=dict(self.took), **totals, **more)
+
+
+class StreamTotals(StreamingQueryListener):
+    """Sums of all progress reports of the queries that run while it listens; a query itself keeps the last hundred only."""
+
+    def __init__(self) -> None:
+        self.rows, self.batches, self.took = 0, 0, {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.rows += p.numInputRows
+        self.batches += 1
+        for k, ms in p.durationMs.items():
+            self.took[k] = self.took.get(k, 0) + ms
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass

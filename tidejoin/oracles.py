@@ -111,6 +111,7 @@ ORACLES = {
     "topk_changes_emptied": f"{EMPTIED} SELECT batch, changed FROM x",
     "snapshots_on_change_emptied": f"{EMPTIED} SELECT batch, rank, c_custkey, revenue_e4 FROM t WHERE batch IN (SELECT batch FROM x WHERE changed)",
     "result_diff": f"{DIFF} SELECT c_custkey, revenue_e4, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM p) UNION ALL SELECT c_custkey, revenue_e4, 'right' FROM (SELECT * FROM p EXCEPT ALL SELECT * FROM a)",
+    "result_diff_digest": f"{DIFF} SELECT c_custkey, revenue_e4, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM p) UNION ALL SELECT c_custkey, revenue_e4, 'right' FROM (SELECT * FROM p EXCEPT ALL SELECT * FROM a)",
     "result_diff_detail": f"{DIFF} SELECT coalesce(a.c_custkey, p.c_custkey) AS c_custkey, CASE WHEN p.c_custkey IS NULL THEN 'missing' WHEN a.c_custkey IS NULL THEN 'extra' WHEN a.revenue_e4 = p.revenue_e4 THEN 'same' ELSE 'changed' END AS status, a.revenue_e4 AS left_revenue_e4, p.revenue_e4 AS right_revenue_e4 FROM a FULL JOIN p ON a.c_custkey = p.c_custkey",
     "sink_csv_rows": f"{BASE}, {CHAIN}, {VIEW} SELECT c_custkey, '\"' || replace(c_name, '\"', '\"\"') || '\"' AS c_name, printf('%d.%04d', revenue_e4 // 10000, revenue_e4 % 10000) AS revenue, printf('%.2f', c_acctbal) AS c_acctbal, n_name FROM v ORDER BY revenue_e4 DESC, c_custkey LIMIT 20",
     "metrics_summary": f"SELECT run_id, proc AS processing_time_ms, greatest(u * 3 - proc, 0) AS cluster_gap_ms, CAST(floor(round(CASE WHEN base > 0 THEN u * 1000 / base ELSE 0 END, 3)) AS BIGINT) AS updates_per_sec, CAST(floor(round(CASE WHEN base > 0 THEN d * 1000 / base ELSE 0 END, 3)) AS BIGINT) AS join_deltas_per_sec FROM (SELECT *, CASE WHEN g % 2 = 1 THEN u * 3 ELSE proc END AS base FROM (SELECT *, u + d + g % 7 + 3 AS proc FROM ({MONTHS})))",
@@ -123,6 +124,8 @@ ORACLES = {
     "stream_revenue": f"{DELTA}, {G} SELECT c_custkey, revenue_e4, cnt FROM g",
     "stream_revenue_update": f"{DELTA}, {G} SELECT c_custkey, revenue_e4, cnt FROM g",
     "stream_update_files": f"{BASE} SELECT c_custkey, CAST(sum((cents + CASE WHEN l_orderkey % 5 = 0 THEN 100 ELSE 0 END) * (100 - pct)) AS BIGINT) AS revenue_e4, CAST(count(*) AS BIGINT) AS cnt FROM l JOIN o ON l_orderkey = o_orderkey JOIN c ON o_custkey + 1 = c_custkey JOIN n ON c_nationkey = n_nationkey GROUP BY c_custkey",
+    "stream_validate": f"{LOGGED}, w AS (SELECT l_orderkey, l_linenumber, batch, sum(op) AS op FROM ll GROUP BY ALL) SELECT l_orderkey, l_linenumber, batch, weight, CASE WHEN weight < 0 THEN 'negative' ELSE 'duplicate' END AS problem FROM (SELECT l_orderkey, l_linenumber, batch, CAST(sum(op) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY batch) AS BIGINT) AS weight FROM w) WHERE weight < 0 OR weight > 1",
+    "run_record": f"{DELTA}, {G}, {SNAPS} SELECT 'replay' AS job, (SELECT count(*) FROM ({KEYS})) AS updates_total, CAST((SELECT sum(abs(op)) FROM dd) AS BIGINT) AS join_deltas_total, (SELECT count(*) FROM g WHERE cnt > 0) AS groups_total, (SELECT count(DISTINCT batch) FROM t) AS snapshots_total, true AS phases, true AS within_wall_time",
     "stream_topk": f"{DELTA}, {SNAPS} SELECT batch, rank, c_custkey, revenue_e4 FROM t WHERE batch IN (3, 5, 7)",
 }
 

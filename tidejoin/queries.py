@@ -12,7 +12,7 @@ from .functions import money, revenue
 from .operators import aggregate, changelog, compare, delta, fk_join, liveness, metrics, predicates, quality, replay, sinks, topk
 from .plans.chain import FkChain, q10
 from .sources.bucketed import bucketed
-from .sources.shared import scratch
+from .sources.shared import scratch, written
 from .sources.tables import parquet_table
 from .sources.updates import bulk, pair_lines
 
@@ -348,6 +348,12 @@ def result_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.two_way(*two_states(spark, sf_dir), [KEY, "revenue_e4"])
 
 
+def result_diff_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same differences by digests of key buckets."""
+    a, b = (compare.stored_by_key(df, [KEY], [KEY, "revenue_e4"]) for df in two_states(spark, sf_dir))
+    return compare.by_digest(a, b, [KEY, "revenue_e4"])
+
+
 def result_diff_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.detail(*two_states(spark, sf_dir), [KEY], ["revenue_e4"])
 
@@ -377,7 +383,23 @@ def metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.read_json(spark, path).select("run_id", "job", "parallelism", "updates_total", "join_deltas_total", "groups_total", "wall_time_ms", F.element_at("phases_ms", F.lit("join")).alias("join_ms"))
 
 
-BATCH = (q10_top20, q10_all, fk_chain_join, fk_chain_join_bucketed, revenue_by_customer, revenue_exact, revenue_cents, scalar_money, filter_orders_window, filter_returned, live_customers, live_orders, live_lineitems, nonlive_lineitems, alive_counter, parents_of, liveness_changes, liveness_deltas, fk_orphans, pk_duplicates, schema_integrity, column_checks, changelog_bulk, changelog_mixed, changelog_filtered, changelog_pairs, count_updates, assign_batches, net_changes, row_versions, validate_changelog, join_deltas, delta_counts, delta_join_batch, signed_aggregate, merge_partials, positive_groups, group_count, running_revenue, snapshots_batch_end, topk_changes, snapshots_on_change, topk_changes_emptied, snapshots_on_change_emptied, result_diff, result_diff_detail, sink_csv_rows, metrics_summary, metrics_json)
+def run_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of a real replay: what it read, joined, grouped and showed, counted while it ran."""
+    run = metrics.Run(spark, "replay")
+    with run.phase("load"):
+        logs = {n: written(run.counted(log, "updates_total"), n) for n, log in seed_logs(spark, sf_dir).items()}
+    with run.phase("join"):
+        joined = written(run.counted(replay.join_deltas(q10(), logs), "join_deltas_total", F.abs("op")), "deltas")
+    with run.phase("aggregate"):
+        changes = written(aggregate.running(KEY, aggregate.group_changes(q10(), joined)), "running")
+        run.counted(aggregate.signed_aggregate(q10(), joined), "groups_total").write.format("noop").mode("overwrite").save()
+    with run.phase("topk"):
+        shots = written(topk.timeline(changes, KEY, LAST_BATCH), "timeline")
+        run.counted(shots.select("batch").distinct(), "snapshots_total").write.format("noop").mode("overwrite").save()
+    return run.record().select("job", "updates_total", "join_deltas_total", "groups_total", "snapshots_total", (F.size("phases_ms") == 4).alias("phases"), (F.col("wall_time_ms") >= F.aggregate(F.map_values("phases_ms"), F.lit(0).cast("long"), lambda a, b: a + b) - 4).alias("within_wall_time"))
+
+
+BATCH = (q10_top20, q10_all, fk_chain_join, fk_chain_join_bucketed, revenue_by_customer, revenue_exact, revenue_cents, scalar_money, filter_orders_window, filter_returned, live_customers, live_orders, live_lineitems, nonlive_lineitems, alive_counter, parents_of, liveness_changes, liveness_deltas, fk_orphans, pk_duplicates, schema_integrity, column_checks, changelog_bulk, changelog_mixed, changelog_filtered, changelog_pairs, count_updates, assign_batches, net_changes, row_versions, validate_changelog, join_deltas, delta_counts, delta_join_batch, signed_aggregate, merge_partials, positive_groups, group_count, running_revenue, snapshots_batch_end, topk_changes, snapshots_on_change, topk_changes_emptied, snapshots_on_change_emptied, result_diff, result_diff_digest, result_diff_detail, sink_csv_rows, metrics_summary, metrics_json, run_record)
 
 
 def queries() -> dict[str, Query]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.changelog import mixed
 from ..plans.chain import FkChain, q10
 from ..sources.shared import scratch
+from . import validate
 from .keyed import KeyedJoin
 from .keyed_sink import KeyedSink
 from .maintainer import Maintainer, Policy, apply, start_updates
@@ -162,6 +163,15 @@ def stream_update_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(store.view().where("cnt > 0")).select("c_custkey", "revenue_e4", "cnt")
 
 
+def stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose key comes more than once while it is there, found as the changes come in."""
+    base, parts = scratch(spark, "validate"), by_batches(spark, sf_dir)
+    for i, part in enumerate(parts):
+        write_files([part], f"{base}/source", i)
+        validate.start(spark, f"{base}/source", part.withColumn("part", F.lit(0)).schema, "lineitem", ["l_orderkey", "l_linenumber"], base).awaitTermination()
+    return validate.dead_letters(spark, base)
+
+
 def stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranking after each micro-batch, as the sink gets it; named by its last changelog batch."""
     from pyspark.sql.window import Window
@@ -180,4 +190,4 @@ def stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (stream_job_end, stream_updates, stream_out_of_order, stream_join_deltas, stream_keyed_join, stream_revenue, stream_revenue_update, stream_update_files, stream_topk)}
+    return {f.__name__: f for f in (stream_job_end, stream_updates, stream_out_of_order, stream_join_deltas, stream_keyed_join, stream_revenue, stream_revenue_update, stream_update_files, stream_validate, stream_topk)}
