@@ -195,6 +195,16 @@ def test_no_choice_below_a_dropped_node():
     assert keep.tolist() == [True, False, False, False, True]
 
 
+def test_what_a_reader_sees_stays(model):
+    """Hidden from reading aids isn't hidden; noscript, xmp and drawings hold words that are seen."""
+    filler = "A long sentence of the article that says a number of things about rivers and their banks. " * 3
+    page = f'<html><body><nav><a href="/a">Home</a></nav><article><h1>Rivers</h1><p>{filler}</p><p>It was <span aria-hidden="true">seen</span> by all who came to look at the river that day. {filler}</p><noscript><p>{filler} Without scripts.</p></noscript><xmp>Plain <b>as written</b> &amp; long. {filler}</xmp><p>{filler}<svg viewBox="0 0 1 1"><title>no</title><path d="M0"/><text>drawn words</text></svg> {filler}</p></article><footer>Copyright</footer></body></html>'
+    text = H.extract([page], model)[0]
+    for words in ("It was seen by all", "Without scripts.", "Plain <b>as written</b> &amp; long.", "drawn words"):
+        assert words in text, words
+    assert "Home" not in text and "Copyright" not in text and "no drawn" not in text
+
+
 def test_broken_markup(model):
     for page in ("<p>unclosed", "</div></p>text", "<a href='x", "<script>never closed", "<table><tr><td>a<td>b", "<" * 2000, '<p class="' * 500, "<div>" * 3000 + "deep"):
         assert isinstance(H.extract([page], model)[0], str)

@@ -1,9 +1,9 @@
 import calendar
 import datetime
 import hashlib
-import re
 
 import pytest
+import regex as re
 from pyspark.sql import functions as F
 
 from tidejoin.llm import pii as P
@@ -64,7 +64,7 @@ def month_first(day, key):
 
 
 def day_of(m):
-    for form in ("%Y-%m-%d",) if "-" in m else ("%d/%m/%Y", "%m/%d/%Y") if "/" in m else ("%d.%m.%Y",):
+    for form in ("%Y-%m-%d",) if "-" in m else ("%Y/%m/%d",) if re.match(r"\d{4}/", m) else ("%d/%m/%Y", "%m/%d/%Y") if "/" in m else ("%d.%m.%Y",):
         try:
             day = datetime.datetime.strptime(m, form).date()
         except ValueError:
@@ -82,12 +82,13 @@ def plain_value(m, key):
     groups = [g for g in m.split(":") if g]
     if "@" in m:
         return "email", hashlib.sha256(f"{key}|email|{m.lower()}".encode()).hexdigest()[:32] + "@example.invalid"
-    if re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d([/.])\d\d[/.]\d{4}", m):
+    if re.fullmatch(r"\d{4}-\d\d-\d\d|\d{4}/\d+/\d+|\d\d?([/.])\d\d?\1\d{4}", m):
         day, form = day_of(m)
         if day is None:
             return None, m
-        if form == "%m/%d/%Y":
-            return "date", month_first(day, key).strftime("%m/%d/") + f"{month_first(day, key).year:04d}"
+        form = form if len(m) == 10 else form.replace("%d", "%-d").replace("%m", "%-m")
+        if form.startswith(("%m", "%-m")):
+            return "date", month_first(day, key).strftime(form)
         n = (day - datetime.date(1700, 1, 1)).days
         x, y = network(n // 5411, n % 5411, 27, 5411, key, "date")
         new = datetime.date(1700, 1, 1) + datetime.timedelta(x * 5411 + y)
@@ -103,18 +104,23 @@ def plain_value(m, key):
         h = moved_digits(h[:30], key, "ip6 a", 16) + h[30:]
         over = max(0, len(h) - 30)
         return "ip6", filled(m.lower(), h[:over] + moved_digits(h[over:], key, "ip6 b", 16), "[0-9a-f]")
-    if re.fullmatch(r"\d{3}-\d\d-\d{4}", m):
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}|\d{3} \d\d \d{4}", m):
         area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
         if area in (0, 666) or area >= 900 or not group or not serial:
             return None, m
         x, y = network((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
         area = x // 99 + 1
-        return "ssn", f"{area + (area >= 666):03d}-{x % 99 + 1:02d}-{y + 1:04d}"
-    if "+" in m or re.fullmatch(r"(\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}|[2-9]\d{9}", m):
+        return "ssn", m[3].join([f"{area + (area >= 666):03d}", f"{x % 99 + 1:02d}", f"{y + 1:04d}"])
+    if "+" in m or re.fullmatch(r"(\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}|[2-9]\d\d \d{3} \d{4}|[2-9]\d{9}", m):
         code = ""
+        if m[0] != "+" and len(d) == 10:
+            least = 20_000 if d[0] >= "2" else 0
+            x, y = network(int(d[:5]) - least, int(d[5:]), 80_000 if least else 20_000, 100_000, key, f"phone from {least}")
+            return "phone", filled(m, f"{x + least:05d}{y:05d}")
         if m[0] == "+":
             lead = re.match(r"\+(\d{1,3})", m)[1]
             code = "+" + next((c for c in CODES if lead.startswith(c)), lead)
+            code += re.match(r"( ?\(0\))?", m[len(code) :])[0]
         local = m[len(code) :]
         return "phone", code + filled(local, moved_digits(re.sub("[^0-9]", "", local), key, "phone"))
     if m[0].isalpha():
@@ -135,7 +141,28 @@ def plain(text, key=P.KEY):
     return None if text is None else re.sub(P.ANY, lambda m: plain_value(m[0], key)[1], text)
 
 
-STRINGS = ["+15551234567", "+49 30 1234567", "+442079460958", "+3725551234", "12/25/1990", "02/29/1996 and 29/02/1996", "12/31/1999 10/30/2001 04/13/1777", "31/31/1999", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "FE80::1 x fe80::1", "std::vector a::b ::1", "5551234567 and 1551234567", "n" * 70 + "@host.org", "a@" + "label." * 10 + "example.com.", "x" * 100_000 + "@y.io", "4111 1111 1111 1111 110 or 6304 0000 0000 0000 000", "4111 1111 1111 1112 123", "4111-1111-1111-1111 car", "a@b.c d@e..fg", "2001:db8::ff00:42:8329,", "1:2:3:4:5:6:7:8:9", "DE89 3704 0044 0532 0130 00", "10.0.0.255.", "1999-12-31T", "123-45-6789", "+1 (017) 555-7713 190"]
+STRINGS = ["+15551234567", "+49 30 1234567", "+442079460958", "+3725551234", "12/25/1990", "02/29/1996 and 29/02/1996", "12/31/1999 10/30/2001 04/13/1777", "31/31/1999", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "FE80::1 x fe80::1", "std::vector a::b ::1", "5551234567 and 1551234567", "n" * 70 + "@host.org", "a@" + "label." * 10 + "example.com.", "x" * 100_000 + "@y.io", "4111 1111 1111 1111 110 or 6304 0000 0000 0000 000", "4111 1111 1111 1112 123", "4111-1111-1111-1111 car", "a@b.c d@e..fg", "2001:db8::ff00:42:8329,", "1:2:3:4:5:6:7:8:9", "DE89 3704 0044 0532 0130 00", "10.0.0.255.", "1999-12-31T", "123-45-6789", "+1 (017) 555-7713 190", "jürgen@example.org x", "über.Straße@müller.de", "::ffff:192.0.2.1", "555 123 4567", "123 45 6789", "1/2/1990", "1990/12/25", "2020-01-01T10:00:00", "2020-01-01TX", "+49 (0)30 901820", "1/25/1990 3.4.2001 1990/1/2", "017-555-7713"]
+#: Each is one value of a kind, which its pseudonym has to be again.
+SEEN = {"jürgen@example.org": "email", "555 123 4567": "phone", "123 45 6789": "ssn", "1/2/1990": "date", "1990/12/25": "date", "+49 (0)30 901820": "phone", "1/25/1990": "date", "5551234567": "phone", "192.0.2.1": "ip", "2001:db8::ff00:42:8329": "ip6", "4111111111111111": "card", "DE89 3704 0044 0532 0130 00": "iban"}
+
+
+def test_pseudonyms_are_values_of_the_same_kind(spark):
+    """No part of a value stays in clear, and what replaces it would be found again."""
+    df = spark.createDataFrame([(s,) for s in SEEN], "text string")
+    once = P.pseudonymised(df).collect()
+    again = P.pseudonymised(spark.createDataFrame([(r.text,) for r in once], "text string")).collect()
+    for (s, kind), a, b in zip(SEEN.items(), once, again, strict=True):
+        assert a.text != s and a[f"n_{kind}"] == 1 == b[f"n_{kind}"], (s, a.text)
+    mapped, stamp = run(spark, ["::ffff:192.0.2.1", "at 2020-01-01T10:00:00Z"])
+    assert mapped.startswith("::ffff:") and "192" not in mapped and re.fullmatch(r"::ffff:\d+\.\d+\.\d+\.\d+", mapped)
+    assert stamp.endswith("T10:00:00Z") and "2020-01-01" not in stamp
+    assert "jü" not in once[0].text
+
+
+def test_ten_digits_keep_their_first(spark):
+    numbers = [f"{a}{b:08d}{c}" for a in range(2, 10) for b in range(0, 10**8, 2 * 10**6 + 77) for c in (0, 7)]
+    got = run(spark, numbers)
+    assert len(set(got)) == len(numbers) and all(re.fullmatch(r"[2-9]\d{9}", x) for x in got)
 
 
 def test_whole_texts_equal_a_plain_version(spark, sf):

@@ -39,9 +39,10 @@ TRAIN_CHARS = 200_000
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
-SILENT = RAW | frozenset("head svg select option button datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br object audio video canvas math mrow mi mo mn ms mtext mfrac msup msub msubsup msqrt mroot mover munder munderover mspace mstyle semantics".split())
+RAW = frozenset("script style title textarea template iframe xmp noembed noframes".split())
+# What a reader sees stays: noscript as if scripts were off, xmp as it is written, the words of drawings.
+SILENT = RAW - {"xmp"} | frozenset("head select option button datalist".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br object audio video canvas math mrow mi mo mn ms mtext mfrac msup msub msubsup msqrt mroot mover munder munderover mspace mstyle semantics svg g text tspan textpath".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("table ul ol dl div article section body html td th aside nav main".split())
@@ -97,7 +98,7 @@ def _attributes(text: str) -> tuple[frozenset[int], bool, int | None]:
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id", "role", "aria-label", "itemprop"):
                 groups |= {_GROUP_OF_TOKEN[t] for t in map(str.lower, _TOKEN.findall(value)) if t in _GROUP_OF_TOKEN}
-            elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "aria-hidden" and value == "true":
+            elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
             elif name == "known-label":
                 known = int(value)
@@ -187,6 +188,8 @@ def tree(page: str) -> Node:
         now.parts.append(node)
         if tag in RAW:
             closing = _RAW_END[tag].search(page, at)
+            if tag == "xmp":
+                node.parts.append(page[at : closing.start() if closing else len(page)])
             at = closing.end() if closing else len(page)
         elif tag not in VOID and not attributes.endswith("/"):
             now = node

@@ -12,13 +12,18 @@ kind      valid if                              what is permuted
 email     it has that form                      a keyed name at a reserved domain
 card      13-19 digits, Luhn check right        all digits but the check digit, set anew
 iban      check modulo 97 right                 the account's digits; check digits set anew
-ip        four numbers up to 255                the 32-bit address
+ip        four numbers up to 255, also the end  the 32-bit address
+          of an IPv6 address
 ip6       8 groups, or ``::`` and 2 to 7        the hexadecimal digits
 phone     (ddd) ddd-dddd, ddd-ddd-dddd,         all digits but the country code, which is
-          +cc .., 10 digits, the first 2 to 9   that of the list of calling codes
-ssn       ddd-dd-dddd, no block of zeros        the valid numbers
+          +cc .., +cc (0).., ddd ddd dddd and   that of the list of calling codes, and "(0)";
+          10 digits, both from 2 to 9 on        10 digits from 2 on stay so
+ssn       ddd-dd-dddd or with spaces, no block  the valid numbers
+          of zeros
 date      a day of the years 1700 to 2099,      the days of these 400 years; if the month
-          day or else month first if slashes    comes first, the days 13 and later of each
+          day or else month first if slashes,   comes first, the days 13 and later of each
+          also before a time of day; parts may
+          have one digit, the year may be first
 ========  ====================================  ======================================
 
 An email's name is a keyed hash of 128 bits (a permutation of names of any length
@@ -45,12 +50,12 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _GROUP = "[0-9A-Fa-f]{1,4}"
 #: How a value looks, in the order in which they are tried at one place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
-    "date": r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9A-Za-z])(?![/.-][0-9])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-][\p{L}\p{N}.-]*\.\p{L}{2,}(?![\p{L}\p{N}])",
+    "date": r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9A-SU-Za-z]|T(?![0-9]{2}:))(?![/.-][0-9])",
     "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z])(?!\.[0-9])",
-    "ip6": rf"(?<![0-9A-Za-z:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?)(?![0-9A-Za-z:])",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z])(?!-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}|[2-9][0-9]{9})(?![0-9A-Za-z])(?!-[0-9])",
+    "ip6": rf"(?<![0-9A-Za-z:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?)(?![0-9A-Za-z:]|\.[0-9])",
+    "ssn": r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3} [0-9]{2} [0-9]{4})(?![0-9A-Za-z])(?!-[0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?: ?\(0\)(?:[ .-]?[0-9]{2,8}){1,4}|(?:[ .-]?[0-9]{2,4}){2,4})|[2-9][0-9]{2} [0-9]{3} [0-9]{4}|[2-9][0-9]{9})(?![0-9A-Za-z])(?!-[0-9])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
@@ -58,7 +63,7 @@ ANY = "|".join(PATTERNS[k] for k in KINDS)
 #: What every value holds: texts without it are not searched.
 SIGN = "[@0-9]|::"
 # Country calling codes of one and two digits; all others have three.
-CALLING_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
+CALLING_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})(?: ?\(0\))?"
 #: Days of the range of dates, 400 years of the calendar, as a product of two near enough numbers.
 DAYS = (27, 5411)
 
@@ -138,8 +143,9 @@ def iban_rest(account: Column, country: Column, check: Column | str) -> Column:
 
 def _day(m: Column) -> Column:
     """The date of a match, or null."""
-    slashes = F.coalesce(F.try_to_date(m, "dd/MM/yyyy"), F.try_to_date(m, "MM/dd/yyyy"))
-    return F.when(m.contains("-"), F.try_to_date(m, "yyyy-MM-dd")).when(m.contains("/"), slashes).otherwise(F.try_to_date(m, "dd.MM.yyyy"))
+    slashes = F.coalesce(F.try_to_date(m, "d/M/yyyy"), F.try_to_date(m, "M/d/yyyy"))
+    year_first = m.rlike("^[0-9]{4}/")
+    return F.when(m.contains("-"), F.try_to_date(m, "yyyy-MM-dd")).when(year_first, F.try_to_date(m, "yyyy/M/d")).when(m.contains("/"), slashes).otherwise(F.try_to_date(m, "d.M.yyyy"))
 
 
 def _month_first(day: Column, key: str) -> Column:
@@ -193,7 +199,7 @@ def kind_of(m: Column) -> Column:
         .when(whole("date"), F.when(F.year(_day(m)).between(1700, 2099), "date"))
         .when(whole("ip"), "ip")
         .when(m.rlike(f"^(?:{_bare('ip6')})$"), F.when(~m.contains("::") | ((F.size(groups) <= 7) & (F.size(groups) >= 2) & (F.length(F.replace(m, F.lit(":"), F.lit(""))) >= 5)), "ip6"))
-        .when(whole("ssn"), F.when(~m.rlike("^(?:000|666|9)|-00-|-0000$"), "ssn"))
+        .when(whole("ssn"), F.when(~m.rlike("^(?:000|666|9)|[ -]00[ -]|[ -]0000$"), "ssn"))
         .when(m.rlike(f"^(?:{_bare('phone')})$"), "phone")
         .when(m.rlike("^[A-Z]"), F.when(iban_rest(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, 1, 2), F.substring(compact, 3, 2)) == 1, "iban"))
         .when((luhn_sum(d, 0) % 10 == 0) | (luhn_sum(_card(m, d), 0) % 10 == 0), "card")
@@ -226,18 +232,31 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     place = area - 1 - F.when(area > 666, 1).otherwise(0)
     back = lambda v: v + 1 + F.when(v >= 665, 1).otherwise(0)
     wide = lambda v, n: F.lpad(v.cast("string"), n, "0")
-    ssn = _let(feistel(place * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn"), lambda p: F.concat_ws("-", wide(back(F.floor(p["x"] / 99).cast("long")), 3), wide(p["x"] % 99 + 1, 2), wide(p["y"] + 1, 4)))
+    ssn = _let(feistel(place * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn"), lambda p: F.concat(wide(back(F.floor(p["x"] / 99).cast("long")), 3), F.substring(m, 4, 1), wide(p["x"] % 99 + 1, 2), F.substring(m, 4, 1), wide(p["y"] + 1, 4)))
 
     start = F.lit("1700-01-01").cast("date")
     day = F.datediff(_day(m), start).cast("long")
-    format_ = F.when(m.contains("-"), F.lit("yyyy-MM-dd")).when(m.contains("/"), F.lit("dd/MM/yyyy")).otherwise(F.lit("dd.MM.yyyy"))
-    swapped = m.contains("/") & F.try_to_date(m, "dd/MM/yyyy").isNull()
+    year_first = m.rlike("^[0-9]{4}/")
+    swapped = m.contains("/") & ~year_first & F.try_to_date(m, "d/M/yyyy").isNull()
     moved = _let(feistel(F.floor(day / DAYS[1]).cast("long"), day % DAYS[1], DAYS[0], DAYS[1], key, "date"), lambda p: F.date_add(start, (p["x"] * DAYS[1] + p["y"]).cast("int")))
-    date = F.when(swapped, F.date_format(_month_first(_day(m), key), "MM/dd/yyyy")).when(format_ == "yyyy-MM-dd", F.date_format(moved, "yyyy-MM-dd")).when(format_ == "dd/MM/yyyy", F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "dd.MM.yyyy"))
+    # a date with a part of one digit is written without zeros again
+    short = F.length(m) < 10
+    form = lambda v, full, bare: F.when(short, F.date_format(v, bare)).otherwise(F.date_format(v, full))
+    date = (
+        F.when(swapped, form(_month_first(_day(m), key), "MM/dd/yyyy", "M/d/yyyy"))
+        .when(m.contains("-"), F.date_format(moved, "yyyy-MM-dd"))
+        .when(year_first, form(moved, "yyyy/MM/dd", "yyyy/M/d"))
+        .when(m.contains("/"), form(moved, "dd/MM/yyyy", "d/M/yyyy"))
+        .otherwise(form(moved, "dd.MM.yyyy", "d.M.yyyy"))
+    )
 
     code = F.regexp_extract(m, CALLING_CODE, 0)
     local = F.substring(m, F.length(code) + 1, F.length(m))
-    phone = F.concat(code, laid_out(local, permuted_digits(_digits(local), key, "phone")))
+    # ten digits without a code keep to those that begin with 2 to 9, or to those that don't
+    high_, low_ = F.substring(d, 1, 5).cast("long"), F.substring(d, 6, 5).cast("long")
+    least = F.when(high_ >= 20_000, 20_000).otherwise(0).cast("long")
+    ten = _let(feistel(high_ - least, low_, F.when(high_ >= 20_000, 80_000).otherwise(20_000).cast("long"), 100_000, key, F.concat(F.lit("phone from "), least.cast("string"))), lambda p: F.concat(wide(p["x"] + least, 5), wide(p["y"], 5)))
+    phone = F.when((code == "") & (F.length(d) == 10), laid_out(m, ten)).otherwise(F.concat(code, laid_out(local, permuted_digits(_digits(local), key, "phone"))))
 
     own = _card(m, d)
     checked = _let(permuted_digits(F.substring(own, F.lit(1), F.length(own) - 1), key, "card"), lambda p: F.concat(p, ((10 - luhn_sum(p, 1) % 10) % 10).cast("string")))
