@@ -34,6 +34,12 @@ def alive_counter(chain: FkChain, rels: dict[str, DataFrame], name: str) -> Data
     return rels[name].join(children, F.col(a.fk) == F.col("_child"), "left").select(*a.key, F.coalesce("_n", F.lit(0)).alias("alive"))
 
 
+def parent_pairs(df: DataFrame, fk: str, pk: str) -> DataFrame:
+    """``fk, pk``: each key with the key of each row that refers to it, a row per pair; for keys of any number of parents,
+    whose array would have to fit one row."""
+    return df.where(F.col(fk).isNotNull()).select(fk, pk).distinct()
+
+
 def parents_of(df: DataFrame, fk: str, pk: str) -> DataFrame:
     """``fk, parents, n_parents``: the keys of the rows that refer to each key."""
     return df.where(F.col(fk).isNotNull()).groupBy(fk).agg(F.sort_array(F.collect_set(pk)).alias("parents")).withColumn("n_parents", F.size("parents"))

@@ -68,6 +68,7 @@ ORACLES = {
     "revenue_exact": "SELECT l_returnflag, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) AS BIGINT) AS revenue_e4 FROM lineitem GROUP BY l_returnflag",
     "revenue_cents": "SELECT l_returnflag, CAST(sum(p - p * bp // 10000) AS BIGINT) AS revenue_cents FROM (SELECT l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS p, CAST(round(l_discount * 10000) AS BIGINT) AS bp FROM lineitem) GROUP BY l_returnflag",
     "scalar_money": "SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS price_cents, -CAST(round(l_extendedprice * 100) AS BIGINT) AS negative_cents, CAST(round(l_discount * 10000) AS BIGINT) AS discount_units FROM lineitem",
+    "tbl_round_trip": "SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS extendedprice_cents, CAST(round(l_discount * 100) AS BIGINT) AS discount_cents FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "filter_orders_window": "SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-10-01' AND o_orderdate < TIMESTAMP '1997-01-01'",
     "filter_returned": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R'",
     "live_customers": f"{GAPPY} SELECT c_custkey, c_name FROM lc WHERE c_nationkey IN (SELECT n_nationkey FROM n)",
@@ -76,6 +77,7 @@ ORACLES = {
     "nonlive_lineitems": f"{GAPPY} SELECT l_orderkey, l_linenumber, l_partkey FROM l WHERE l_orderkey NOT IN (SELECT o_orderkey FROM lo)",
     "alive_counter": f"{GAPPY} SELECT o_orderkey, CAST(CASE WHEN o_custkey IN (SELECT c_custkey FROM lc) THEN 1 ELSE 0 END AS BIGINT) AS alive FROM o",
     "parents_of": f"{BASE} SELECT o_custkey, CAST(count(*) AS INTEGER) AS n_parents, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS parents FROM (SELECT DISTINCT o_custkey, o_orderkey FROM o) GROUP BY o_custkey",
+    "parent_pairs": f"{BASE} SELECT DISTINCT o_custkey, o_orderkey FROM o",
     "liveness_changes": f"{LOGGED}, a AS {LIVE_AT.format(b=5)}, z AS {LIVE_AT.format(b=6)} SELECT o_orderkey, -1 AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM z) UNION ALL SELECT o_orderkey, 1 FROM (SELECT * FROM z EXCEPT SELECT * FROM a)",
     "liveness_deltas": f"{LOGGED}, {LIVE_STATES}, later AS (SELECT * REPLACE (batch + 1 AS batch) FROM lives WHERE batch < 7) SELECT *, 1 AS change FROM (SELECT * FROM lives EXCEPT SELECT * FROM later) UNION ALL SELECT *, -1 FROM (SELECT * FROM later EXCEPT SELECT * FROM lives)",
     "fk_orphans": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 17 <> 0)",
@@ -106,6 +108,7 @@ ORACLES = {
     "group_count": f"{DELTA}, {G} SELECT count(*) AS n_groups FROM g WHERE cnt > 0",
     "running_revenue": f"{DELTA}, r AS (SELECT c_custkey, batch, sum(op * {REV}) AS d, sum(op) AS k FROM dd GROUP BY c_custkey, batch) SELECT c_custkey, batch, CAST(sum(d) OVER w AS BIGINT) AS revenue_e4, CAST(sum(k) OVER w AS BIGINT) AS cnt FROM r WINDOW w AS (PARTITION BY c_custkey ORDER BY batch)",
     "snapshots_batch_end": f"{DELTA}, {SNAPS} SELECT batch, rank, c_custkey, revenue_e4 FROM t",
+    "snapshots_written": f"{DELTA}, {SNAPS} SELECT batch, rank, c_custkey, revenue_e4 FROM t",
     "topk_changes": f"{DELTA}, {SNAPS} SELECT batch, changed FROM x",
     "snapshots_on_change": f"{DELTA}, {SNAPS} SELECT batch, rank, c_custkey, revenue_e4 FROM t WHERE batch IN (SELECT batch FROM x WHERE changed)",
     "topk_changes_emptied": f"{EMPTIED} SELECT batch, changed FROM x",

@@ -13,7 +13,7 @@ from .operators import aggregate, changelog, compare, delta, fk_join, liveness,
 from .plans.chain import FkChain, q10
 from .sources.bucketed import bucketed
 from .sources.shared import scratch, written
-from .sources.tables import parquet_table
+from .sources.tables import parquet_table, tbl_table, write_tbl
 from .sources.updates import bulk, pair_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,16 @@ def scalar_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select("l_orderkey", "l_linenumber", money.cents(F.concat(price, F.lit("9"))).alias("price_cents"), money.cents(F.concat(F.lit("-"), price, F.lit("9"))).alias("negative_cents"), money.discount_units(discount).alias("discount_units"))
 
 
+def tbl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders and lines, written as pipe-delimited text, read back and joined."""
+    path = scratch(spark, "tbl")
+    for n in ("orders", "lineitem"):
+        write_tbl(parquet_table(spark, sf_dir, n), path, n)
+    o, l = (tbl_table(spark, path, n) for n in ("orders", "lineitem"))  # noqa: E741
+    cents = lambda c: (F.col(c) * 100).cast("long").alias(c.partition("_")[2] + "_cents")
+    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "l_returnflag", cents("l_extendedprice"), cents("l_discount"))
+
+
 def filter_orders_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet_table(spark, sf_dir, "orders").where(predicates.order_window("1996-10-01", 3)).select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
 
@@ -143,6 +153,10 @@ def parents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_custkey", "n_parents", F.array_join("parents", ",").alias("parents"))
 
 
+def parent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return liveness.parent_pairs(rels(spark, sf_dir)["orders"], "o_custkey", "o_orderkey")
+
+
 def liveness_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that became live or ceased to be with batch 6."""
     logs = seed_logs(spark, sf_dir)
@@ -306,6 +320,15 @@ def snapshots_batch_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_units(snapshots(spark, sf_dir)).select("batch", F.col("rank").cast("long").alias("rank"), KEY, "revenue_e4")
 
 
+def snapshots_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking after each batch as a numbered snapshot file with a header, all read back."""
+    path, shots = scratch(spark, "snapshots"), written(snapshots(spark, sf_dir), "timeline")
+    for b in range(LAST_BATCH + 1):  # a batch has k rows
+        sinks.write_snapshot(shots.where(F.col("batch") == b).drop("batch").orderBy("rank"), path, "BATCH_END", b)
+    read = spark.read.option("header", True).option("basePath", path).csv(f"{path}/trigger=batch_end/*")
+    return read.select(F.col("snapshot").cast("long").alias("batch"), F.col("rank").cast("long").alias("rank"), F.col(KEY).cast("long").alias(KEY), (F.col("revenue").cast("decimal(38,4)") * 10000).cast("long").alias("revenue_e4"))
+
+
 def topk_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.ranking_changes(snapshots(spark, sf_dir), KEY, LAST_BATCH)
 
@@ -399,7 +422,7 @@ def run_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.record().select("job", "updates_total", "join_deltas_total", "groups_total", "snapshots_total", (F.size("phases_ms") == 4).alias("phases"), (F.col("wall_time_ms") >= F.aggregate(F.map_values("phases_ms"), F.lit(0).cast("long"), lambda a, b: a + b) - 4).alias("within_wall_time"))
 
 
-BATCH = (q10_top20, q10_all, fk_chain_join, fk_chain_join_bucketed, revenue_by_customer, revenue_exact, revenue_cents, scalar_money, filter_orders_window, filter_returned, live_customers, live_orders, live_lineitems, nonlive_lineitems, alive_counter, parents_of, liveness_changes, liveness_deltas, fk_orphans, pk_duplicates, schema_integrity, column_checks, changelog_bulk, changelog_mixed, changelog_filtered, changelog_pairs, count_updates, assign_batches, net_changes, row_versions, validate_changelog, join_deltas, delta_counts, delta_join_batch, signed_aggregate, merge_partials, positive_groups, group_count, running_revenue, snapshots_batch_end, topk_changes, snapshots_on_change, topk_changes_emptied, snapshots_on_change_emptied, result_diff, result_diff_digest, result_diff_detail, sink_csv_rows, metrics_summary, metrics_json, run_record)
+BATCH = (q10_top20, q10_all, fk_chain_join, fk_chain_join_bucketed, revenue_by_customer, revenue_exact, revenue_cents, scalar_money, tbl_round_trip, filter_orders_window, filter_returned, live_customers, live_orders, live_lineitems, nonlive_lineitems, alive_counter, parents_of, parent_pairs, liveness_changes, liveness_deltas, fk_orphans, pk_duplicates, schema_integrity, column_checks, changelog_bulk, changelog_mixed, changelog_filtered, changelog_pairs, count_updates, assign_batches, net_changes, row_versions, validate_changelog, join_deltas, delta_counts, delta_join_batch, signed_aggregate, merge_partials, positive_groups, group_count, running_revenue, snapshots_batch_end, snapshots_written, topk_changes, snapshots_on_change, topk_changes_emptied, snapshots_on_change_emptied, result_diff, result_diff_digest, result_diff_detail, sink_csv_rows, metrics_summary, metrics_json, run_record)
 
 
 def queries() -> dict[str, Query]:

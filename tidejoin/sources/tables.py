@@ -54,3 +54,12 @@ def tbl_table(spark: SparkSession, path: str, name: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], tbl_schema(name))
+
+
+def write_tbl(df: DataFrame, path: str, name: str) -> None:
+    """A table as pipe-delimited text whose lines end in a delimiter, in as many files as Spark's tasks give.
+
+    Columns go by the public order; those that ``df`` lacks are empty.  Texts may hold no delimiter: none is quoted.
+    """
+    fields = [F.coalesce(F.col(f.name).cast(f.dataType).cast("string"), F.lit("")) if f.name in df.columns else F.lit("") for f in tbl_schema(name)]
+    df.select(F.concat_ws("|", *fields, F.lit("")).alias("value")).write.text(f"{path}/{name}.tbl")
