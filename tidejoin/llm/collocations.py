@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, bounded, lean, scratch, written
+from .common import lean, scratch, written
 
 #: Words of the longest phrase.
 LONGEST = 4
@@ -420,7 +420,7 @@ def phrase_counts(coded_slices: DataFrame, words: DataFrame, least: int) -> Data
 
 def scored(phrases: DataFrame) -> DataFrame:
     """``p, a, l, r, score`` of the candidates: by their lowest cut, of equal ones the first."""
-    f = bounded(phrases)
+    f = phrases
     cuts = phrases.where(F.size("p") > 1).select("p", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"))
     cuts = cuts.withColumns({"_first": F.slice("p", 1, F.col("k")), "_rest": F.slice("p", F.col("k") + 1, F.size("p") - F.col("k"))})
     cuts = cuts.join(f.select(F.col("p").alias("_first"), F.col("f").alias("l")), "_first").join(f.select(F.col("p").alias("_rest"), F.col("f").alias("r")), "_rest")
@@ -449,13 +449,13 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000) -> DataFrame
                 break
             seed += 1
         phrases = phrase_counts(parts, words, least)
-        good = scored(phrases).join(contained(phrases), "p", "left").where(F.expr("most is null or cast(most as decimal(20,0)) * 100 < cast(a as decimal(20,0)) * 80"))
+        # tables in between keep the plans, and the driver's part in them, small
+        good = written(scored(phrases), "scored").join(contained(phrases), "p", "left").where(F.expr("most is null or cast(most as decimal(20,0)) * 100 < cast(a as decimal(20,0)) * 80"))
         named = words.where(F.col("f") >= least).select(F.col("h").alias("_h"), F.col("lang").alias("_lang"), F.col("word").alias("_word"))
-        named = bounded(named, BROADCAST_ROWS // 2)
         for i in range(LONGEST):
             own = named.select(F.col("_h").alias(f"_h{i}"), F.col("_word").alias(f"_w{i}"), *([F.col("_lang").alias("lang")] if i == 0 else []))
             good = good.join(own, F.get("p", F.lit(i)) == F.col(f"_h{i}"), "inner" if i < 2 else "left")
-        good = good.select("lang", F.concat_ws(" ", *[f"_w{i}" for i in range(LONGEST)]).alias("phrase"), "a", "l", "r", "score")
+        good = written(good.select("lang", F.concat_ws(" ", *[f"_w{i}" for i in range(LONGEST)]).alias("phrase"), "a", "l", "r", "score"), "named")
         order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
         near = good.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
         near = near.withColumn("_k", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_k") <= top)
