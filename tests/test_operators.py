@@ -264,3 +264,21 @@ def test_stream_totals_add_up(spark, tmp_path):
     finally:
         spark.streams.removeListener(totals)
     assert totals.rows == 21 and totals.batches >= 2 and totals.took["addBatch"] > 0
+
+
+def test_groups_from_weights_and_hot_keys_equal_the_plain_replay(spark):
+    """Sums from keys alone, and the join whose keys are split, on random changelogs and on one with a hot order."""
+    from tidejoin.streaming.queries import unfiltered
+
+    PLAIN = unfiltered(CHAIN)  # noqa: N806
+    for seed in (3, 9):
+        lg = as_logs(spark, random_changes(seed, 4))
+        plain = replay.join_deltas(PLAIN, lg)
+        want = {tuple(r) for r in aggregate.signed_aggregate(PLAIN, plain).collect()}
+        assert {tuple(r) for r in replay.signed_groups(PLAIN, lg).collect()} == want
+        split = replay.join_deltas(PLAIN, lg, hot_rows=0)
+        assert sorted(map(tuple, split.collect()), key=repr) == sorted(map(tuple, plain.select(*split.columns).collect()), key=repr)
+    hot = lg["lineitem"].withColumn("l_orderkey", F.lit(5).cast("long"))
+    assert replay.hottest(hot, "l_orderkey") == hot.count() and replay.hottest(hot.limit(0), "l_orderkey") == 0
+    plan = replay.join_deltas(PLAIN, {**lg, "lineitem": hot}, hot_rows=3)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" not in plan

@@ -286,7 +286,7 @@ def delta_join_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signed_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_units(aggregate.signed_aggregate(q10(), deltas(spark, sf_dir))).select(KEY, "revenue_e4", "cnt")
+    return in_units(replay.signed_groups(q10(), seed_logs(spark, sf_dir))).select(KEY, "revenue_e4", "cnt")
 
 
 def merge_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
