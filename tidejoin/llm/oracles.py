@@ -42,4 +42,22 @@ SELECT page_id, pg.h AS host, pg.p AS path, best.rule AS rule, coalesce(best.ver
 FROM pg LEFT JOIN best ON pg.h = best.h AND pg.p = best.p AND best.k = 1
 """
 
-ORACLES = {"op5_decontamination": OP5, "op13_url_rules": OP13}
+#: Every phrase of one to four words counted, then cuts and containment as joins.
+OP11 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM p),
+g AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, list_slice(w, i, i + m - 1) AS q, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE len(q) = 1 GROUP BY lang),
+c AS (SELECT lang, q, f AS a FROM f WHERE f >= 30 AND len(q) > 1),
+k AS (SELECT lang, q, a, unnest(range(1, len(q))) AS k FROM c),
+s AS (SELECT k.lang, k.q, a, k, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (l.f + r.f) AS BIGINT) AS score FROM k
+  JOIN f AS l ON l.lang = k.lang AND l.q = list_slice(k.q, 1, k) JOIN f AS r ON r.lang = k.lang AND r.q = list_slice(k.q, k + 1, len(k.q))),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, q ORDER BY score, k) = 1),
+u AS (SELECT lang, list_slice(q, i, i + m - 1) AS q, max(a) AS most FROM (SELECT lang, q, a, m, unnest(range(1, len(q) - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE len(q) > m) GROUP BY ALL),
+o AS (SELECT b.lang, array_to_string(b.q, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN u ON u.lang = b.lang AND u.q = b.q WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o QUALIFY rank <= 2000)
+SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN n ON n.lang = z.lang
+"""
+
+ORACLES = {"op5_decontamination": OP5, "op11_collocations": OP11, "op13_url_rules": OP13}
