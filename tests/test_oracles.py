@@ -9,8 +9,8 @@ from tidejoin import oracles
 from tidejoin import queries as core
 
 QUERIES = core.queries()
-#: Streams take long; each kind of stream is also tested in test_streaming.
-SLOW = {"stream_join_deltas", "stream_revenue", "stream_updates"}
+#: These take long; each is also tested in test_streaming, test_keyed or test_liveness.
+SLOW = {"stream_join_deltas", "stream_keyed_join", "stream_revenue", "stream_updates", "liveness_deltas"}
 
 
 @pytest.fixture(scope="module")
