@@ -346,13 +346,14 @@ class _DoubleArray:
         return base
 
 
-#: A trie as a row of the shared folder.
-TRIE = "block int, alphabet binary, base binary, check binary, phrase binary, phrases binary, lengths binary"
+#: A trie as rows of the shared folder: its arrays in parts of ``PART_BYTES``, so that no large value passes the driver's JVM.
+TRIE = "block int, name string, k int, bytes binary"
+PART_BYTES = 128 << 10
 _KINDS = {"alphabet": "<i8", "base": "<i4", "check": "<i4", "phrase": "<i4", "phrases": "<i8", "lengths": "<i8"}
 
 
 def tries(found: DataFrame, blocks: int) -> DataFrame:
-    """A row per block of phrases; a phrase's block is drawn by its hash, so blocks are of a size."""
+    """The rows of a trie per block of phrases; a phrase's block is drawn by its hash, so blocks are of a size."""
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         p = table.column("p").combine_chunks()
@@ -360,13 +361,21 @@ def tries(found: DataFrame, blocks: int) -> DataFrame:
         rows = np.zeros((len(p), LONGEST), np.int64)
         rows[np.arange(LONGEST) < lengths[:, None]] = p.flatten().to_numpy()
         trie = Trie.of(rows, lengths)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), **{n: pa.array([getattr(trie, n).astype(k).tobytes()], pa.binary()) for n, k in _KINDS.items()}})
+        parts = [(n, i, data[at : at + PART_BYTES]) for n, k in _KINDS.items() for data in [getattr(trie, n).astype(k).tobytes()] for i, at in enumerate(range(0, len(data), PART_BYTES))]
+        names, ks, values = zip(*parts, strict=True)
+        return pa.table({"block": pa.array([key[0].as_py()] * len(parts), pa.int32()), "name": pa.array(names), "k": pa.array(ks, pa.int32()), "bytes": pa.array(values, pa.binary())})
 
     return found.select(F.pmod(F.xxhash64("p"), F.lit(blocks)).cast("int").alias("block"), "p").groupBy("block").applyInArrow(build, TRIE)
 
 
-def read_trie(row) -> Trie:
-    one = {n: np.frombuffer(row[n], k) for n, k in _KINDS.items()}
+def read_trie(rows: DataFrame) -> Trie | None:
+    """From the rows of one block, which come a few at a time."""
+    n, parts = rows.count(), {}
+    if not n:
+        return None
+    for r in rows.repartition(-(-n // 4)).toLocalIterator():
+        parts.setdefault(r["name"], {})[r["k"]] = bytes(r["bytes"])
+    one = {name: np.frombuffer(b"".join(parts[name][k] for k in sorted(parts[name])), kind) for name, kind in _KINDS.items()}
     return Trie(**{**one, "phrases": one["phrases"].reshape(-1, LONGEST)})
 
 
@@ -409,9 +418,9 @@ def phrase_counts(coded_slices: DataFrame, words: DataFrame, least: int) -> Data
     built = written(tries(found, blocks), "tries")
     out = None
     for k in range(blocks):  # a pass each; one trie at a time is at the driver
-        row = built.where(F.col("block") == k).first()
-        if row is not None:
-            sent = context.broadcast(read_trie(row))
+        trie = read_trie(built.where(F.col("block") == k).drop("block"))
+        if trie is not None:
+            sent = context.broadcast(trie)
             part = written(counted(coded_slices, sent).where(F.col("f") >= least), "phrase-counts")
             sent.destroy()
             out = part if out is None else out.unionByName(part)
