@@ -7,7 +7,7 @@
    Buckets that reach the minimum are kept as bits of a map of bounded size, in which the next
    length looks its parts up.  A phrase as frequent as the minimum passes all maps, so the
    candidates, the different phrases that do, are safe in Apriori's sense.
-3. Candidates, single words included, are put into double-array tries by their first word, at most
+3. Candidates, single words included, are put into double-array tries by their hash, at most
    ``TRIE_NODES`` to a trie; the tasks that build them write them to the shared folder.  Each trie is broadcast,
    all positions of a slice advance together one level after the other, accepting
    states are counted by bincount, and Spark sums the shards.  Only these counts are used.
