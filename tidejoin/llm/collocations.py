@@ -379,8 +379,8 @@ def read_trie(rows: DataFrame) -> Trie | None:
     return Trie(**{**one, "phrases": one["phrases"].reshape(-1, LONGEST)})
 
 
-def counted(coded_slices: DataFrame, trie) -> DataFrame:
-    """``p, f``: the phrases of a broadcast trie with their shards' counts."""
+def counted(coded_slices: DataFrame, trie, least: int) -> DataFrame:
+    """``p, f``: the phrases of a broadcast trie that occur ``least`` times, their shards' counts summed by phrase number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = trie.value
@@ -389,12 +389,19 @@ def counted(coded_slices: DataFrame, trie) -> DataFrame:
             for hashes, codes in _slices(batch):
                 total += own.counts(hashes, codes)
         some = np.flatnonzero(total)
-        lengths = own.lengths[some]
-        words = own.phrases[some][np.arange(LONGEST) < lengths[:, None]]
-        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(words)), pa.array(total[some])], ["p", "f"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["k", "f"])
 
-    return coded_slices.select("hashes", "codes").mapInArrow(lean(run), "p array<long>, f long").groupBy("p").agg(F.sum("f").alias("f"))
+    def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = trie.value
+        for batch in batches:
+            k = batch.column("k").to_numpy()
+            lengths = own.lengths[k]
+            words = own.phrases[k][np.arange(LONGEST) < lengths[:, None]]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(words)), batch.column("f")], ["p", "f"])
+
+    shards = coded_slices.select("hashes", "codes").mapInArrow(lean(run), "k int, f long")
+    return shards.groupBy("k").agg(F.sum("f").alias("f")).where(F.col("f") >= least).mapInArrow(lean(named), "p array<long>, f long")
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -421,7 +428,7 @@ def phrase_counts(coded_slices: DataFrame, words: DataFrame, least: int) -> Data
         trie = read_trie(built.where(F.col("block") == k).drop("block"))
         if trie is not None:
             sent = context.broadcast(trie)
-            part = written(counted(coded_slices, sent).where(F.col("f") >= least), "phrase-counts")
+            part = written(counted(coded_slices, sent, least), "phrase-counts")
             sent.destroy()
             out = part if out is None else out.unionByName(part)
     return coded_slices.sparkSession.createDataFrame([], "p array<long>, f long") if out is None else out
