@@ -3,7 +3,7 @@
 1. Texts are split once into pieces and words with numpy and stored as *slices*: a
    dictionary of the slice's words with their counts, and the code of each word in turn.
 2. Words are summed up by language.  For each length from 2 on, every position whose two
-   shorter phrases may be frequent adds to the count of its phrase's 64-bit bucket.
+   shorter phrases may be frequent adds to the count of its phrase's bucket, told by ``BUCKET_BITS`` of its hash.
    Buckets that reach the minimum are kept as bits of a map of bounded size, in which the next
    length looks its parts up.  A phrase as frequent as the minimum passes all maps, so the
    candidates, the different phrases that do, are safe in Apriori's sense.
@@ -45,6 +45,8 @@ SLICE_BYTES = 2 << 20
 MOST_BITS = 30
 #: Nodes of one trie: some 60 MB as arrays.
 TRIE_NODES = 4_000_000
+#: Highest bits of a bucket that are counted: 2^40 buckets, 1024 for each bit of the largest map, so rows are short and few infrequent phrases share one.
+BUCKET_BITS = 40
 #: Bucket counts that a task holds before it sends them.
 HELD = 500_000
 #: Parts of a language whose first rows are found before they are ranked together.
@@ -199,11 +201,11 @@ def bucket_counts(coded_slices: DataFrame, maps, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(b.view(np.int64)), pa.array(f)], ["b", "f"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        parts, size, low = [], 0, np.uint64(64 - BUCKET_BITS)
         for batch in batches:
             for hashes, codes in _slices(batch):
                 *_, (_, _, found) = frequent(maps.value, hashes, codes, length)
-                parts.append(np.unique(found, return_counts=True))
+                parts.append(np.unique(found >> low << low, return_counts=True))
                 size += len(parts[-1][0])
                 if size > HELD:
                     parts = [merged(parts)]
