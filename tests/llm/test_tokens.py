@@ -90,16 +90,46 @@ def test_sum_of_squares_level():
     assert p.level(4) == 6
 
 
-def test_many_open_windows_are_joined_without_padding():
-    p = packing.SumOfSquares(1024, most_open=8)
+def test_packing_in_many_passes(spark, docs):
+    # windows go on after few ids, in small parts, and some passes don't shrink
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for held, pass_ids in ((1, 500), (5000, 2000), (1 << 21, 300)):
+        check_pieces(packing.pack(docs.repartition(3), NAMES[0], 0, held=held, pass_ids=pass_ids).collect(), texts, NAMES[0], 0)
+    same = spark.createDataFrame([(i, "a " * 650) for i in range(300)], "doc_id long, text string")
+    rows = packing.pack(same.repartition(4), NAMES[0], 0, pass_ids=20_000).collect()
+    check_pieces(rows, dict.fromkeys(range(300), "a " * 650), NAMES[0], 0)
+
+
+def test_open_windows_fill_each_other_without_padding():
+    p = packing.SumOfSquares(1024)
     rng = np.random.default_rng(0)
     for d in range(500):
         p.place((d, 0, rng.integers(0, 9, 600).astype("<u4"), 600))
-        assert p.open <= 9
-    p.recut(True)
+    assert p.held == 500 * 632
+    p.finish()
     sizes = [sum(len(x[2]) for x in w) for _, w in p.closed]
-    assert sum(sizes) == 500 * 600 and sum(s != 1024 for s in sizes) <= 10
+    assert sum(sizes) == 500 * 600 and sum(s != 1024 for s in sizes) <= 10 and p.held == 0
     assert len({s for s, _ in p.closed}) == len(p.closed)
+    # the 292 windows that stay keep their documents whole
+    whole = [w[0][0] for _, w in p.closed if len(w[0][2]) == 600]
+    assert len(whole) >= 500 * 600 // 1024
+
+
+def test_few_pieces_are_cut():
+    rng = np.random.default_rng(1)
+    p = packing.SumOfSquares(1024)
+    sizes = rng.integers(1, 1024, 10_000).tolist()
+    for _ in range(2):  # a pass, and one over what it left
+        for d, n in enumerate(sizes):
+            p.place((d, 0, np.zeros(n, "<u4"), n))
+        sizes = [len(x[2]) for w in p.emptied() for x in w]
+    for d, n in enumerate(sizes):
+        p.place((d, 0, np.zeros(n, "<u4"), n))
+    before = len(p.closed)
+    windows = [w for level in p.windows for w in level]
+    p.finish()
+    moved = sum(len(w) for _, w in p.closed[before:]) - sum(len(w) for w in windows)
+    assert moved <= 100
 
 
 def test_histogram_answers(docs, empty):
