@@ -1,9 +1,10 @@
 """The chain join with its state in Spark's own state store: a keyed stateful operator per foreign key.
 
-A row of the changelog goes to the task of its key.  There the state holds the rows that
-refer to the key (they wait while nothing is there for them) and the rows that have it, each with its weight.
-A change meets the other side's rows at once, so a batch costs what it changes and not
-what came before, and Spark keeps, snapshots and restores the state (RocksDB).
+A row of the changelog goes to the group of its key.  There the state holds the rows that
+refer to its keys (they wait while nothing is there for them) and the rows that have them, each with its weight.
+A change meets the other side's rows at once.  Keys share ``groups`` groups, whose rows are packed, thousands to a value:
+a call to the state's server takes as long for one row as for all of them.  So a batch reads the groups that
+it touches, and Spark keeps, snapshots and restores the state (RocksDB).
 
 The last dimension has few keys, so it is not keyed: the rows joined so far lie in
 folders of the key they refer to, and a change of the dimension reads its own folders alone.
@@ -26,59 +27,58 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators.changelog import OP
 from ..operators.fk_join import on_keys, small
 from ..plans.chain import FkChain, Rel
+from .packed import GROUPS, HELD, SENT, packed_rows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SALTS = 4
-#: Joined rows that a task hands on at once.
-SENT = 10_000
-#: Input of a keyed join: the key as text, the part, which side a row is on, the row as JSON, its signed count.
-SIDE = "key string, salt int, referring boolean, row string, w long"
 JOINED = "referring string, referred string, w long"
 
 
-def meeting_rows(sent: int = SENT) -> StatefulProcessor:
-    """Joins changes of both sides of a key; weights multiply, so order and repetition don't matter.
+def meeting_rows(sent: int = SENT, held: int = HELD) -> StatefulProcessor:
+    """Joins changes of both sides of a group of keys; weights multiply, so order and repetition don't matter.
 
     The class is made here so that it travels whole: the process that prepares the state needs no package of ours.
     """
+    packed = packed_rows(sent, held)
 
     class MeetingRows(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.referring = handle.getMapState("referring", "row string", "w long")
-            self.referred = handle.getMapState("referred", "row string", "w long")
+            self.referring, self.referred = (packed(handle, n, ["key", "row"]) for n in ("referring", "referred"))
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            parts: list[pd.DataFrame] = []
             for part in rows:
-                net = part.groupby(["referring", "row"], sort=False)["w"].sum()
-                net = net[net != 0]
-                mine = {r: int(w) for (side, r), w in net.items() if side}
-                theirs = {r: int(w) for (side, r), w in net.items() if not side}
-                # new referring rows with what is there, then new referred rows with all that refer
-                if mine:
-                    yield from self.joined((a, wa, b[0], wb[0]) for b, wb in self.referred.iterator() for a, wa in mine.items())
-                    self.add(self.referring, mine)
-                if theirs:
-                    yield from self.joined((a[0], wa[0], b, wb) for a, wa in self.referring.iterator() for b, wb in theirs.items())
-                    self.add(self.referred, theirs)
-
-        def add(self, state, change: dict[str, int]) -> None:
-            for row, w in change.items():
-                old = state.getValue((row,)) if state.exists() and state.containsKey((row,)) else None
-                now = w + (old[0] if old else 0)
-                if now:
-                    state.updateValue((row,), (now,))
-                else:
-                    state.removeKey((row,))
-
-        def joined(self, pairs: Iterator[tuple[str, int, str, int]]) -> Iterator[pd.DataFrame]:
-            held: list[tuple[str, str, int]] = []
-            for a, wa, b, wb in pairs:
-                held.append((a, b, wa * wb))
-                if len(held) >= sent:
-                    yield pd.DataFrame(held, columns=["referring", "referred", "w"])
-                    held = []
-            if held:
-                yield pd.DataFrame(held, columns=["referring", "referred", "w"])
+                parts.append(part[["referring", "key", "row", "w"]])
+                if sum(map(len, parts)) >= held:
+                    yield from self.met(pd.concat(parts))
+                    parts = []
+            if parts:
+                yield from self.met(pd.concat(parts))
+
+        def met(self, change: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            side = change["referring"].to_numpy(bool)
+            mine, theirs = (self.referring.net([change[s]]) for s in (side, ~side))
+            # new referring rows with what is there, then new referred rows with all that refer
+            if len(mine):
+                for there in self.referred.read():
+                    yield from self.joined(mine, there)
+                self.referring.append(mine)
+            if len(theirs):
+                for there in self.referring.read():
+                    yield from self.joined(there, theirs)
+                self.referred.append(theirs)
+
+        def joined(self, a: pd.DataFrame, b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            """Rows that share a key, of so many ``a`` at a time that few are held."""
+            n = a["key"].map(b["key"].value_counts())
+            a, n = a[n.notna()], n.dropna()
+            if not len(a):
+                return
+            for _, own in a.groupby(n.cumsum().to_numpy().astype("int64") // (10 * sent)):
+                out = own.merge(b, on="key")
+                out = pd.DataFrame({"referring": out["row_x"], "referred": out["row_y"], "w": out["w_x"] * out["w_y"]})
+                for at in range(0, len(out), sent):
+                    yield out.iloc[at : at + sent]
 
         def close(self) -> None:
             pass
@@ -95,8 +95,8 @@ def _types(rel: Rel, schema: T.StructType) -> T.StructType:
 class KeyedJoin:
     """The signed rows of the chain's join under a mixed changelog; ``path`` is the folder of results and checkpoint."""
 
-    def __init__(self, spark: SparkSession, chain: FkChain, path: str, schema: T.StructType, salts: int = SALTS):
-        self.spark, self.chain, self.path, self.schema, self.salts = spark, chain, path, schema, salts
+    def __init__(self, spark: SparkSession, chain: FkChain, path: str, schema: T.StructType, salts: int = SALTS, groups: int = GROUPS):
+        self.spark, self.chain, self.path, self.schema, self.salts, self.groups = spark, chain, path, schema, salts, groups
 
     def start(self, source: str, files_per_trigger: int | None = None, every: str | None = None) -> StreamingQuery:
         """A query over a folder of changelog files; it ends when those there have been applied, unless ``every`` is given."""
@@ -129,7 +129,8 @@ class KeyedJoin:
         fields = list(_types(rels[0], self.schema).fields)
         for a, b in self.chain.pairs()[:-1]:
             both = self.referring(left, a.fk, T.StructType(fields)).unionByName(self.referred(self.changes(stream, b), b))
-            met = both.groupBy("key", "salt").transformWithStateInPandas(meeting_rows(), JOINED, "append", "none")
+            both = both.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(self.groups)).cast("int"))
+            met = both.groupBy("part", "salt").transformWithStateInPandas(meeting_rows(), JOINED, "append", "none")
             more = _types(b, self.schema)
             left = met.select(F.from_json("referring", T.StructType(fields)).alias("a"), F.from_json("referred", more).alias("b"), "w").select("a.*", "b.*", "w")
             fields += more.fields
