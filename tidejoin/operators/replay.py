@@ -16,18 +16,22 @@ from .fk_join import on_keys, small
 FOREVER = 2**62
 #: Facts of one foreign key from which on their join is left to be split.
 HOT_ROWS = 1_000_000
+#: Changes of facts that a task nets and joins; so many that its memory doesn't depend on the input.
+TASK_ROWS = 100_000
 
 
-def row_versions(log: DataFrame, dealt_by: str | None = None) -> DataFrame:
+def row_versions(log: DataFrame, dealt_by: str | None = None, parts: int | None = None) -> DataFrame:
     """Rows with ``m`` copies from batch ``from_batch`` until before ``to_batch``.
 
-    If the log is dealt by a column first, the sums, the windows and a join on that column all stay in place.
+    If the log is dealt by a column first, the sums, the windows and a join on that column all stay in place; ``parts``: in
+    so many partitions, which Spark doesn't merge.
 
     The k-th insert of a row pairs with its k-th delete; copies are counted, not listed, so a row that comes
     a million times is one row here.
     """
     columns = data_columns(log)
-    log = log.repartition(dealt_by) if dealt_by else log
+    if dealt_by:
+        log = log.repartition(parts, dealt_by) if parts else log.repartition(dealt_by)
     w = Window.partitionBy(*columns).orderBy(BATCH)
     net = net_changes(log)
     v = net.select(*columns, F.col(BATCH).alias("from_batch"), F.coalesce(F.lead(BATCH).over(w), F.lit(FOREVER)).alias("to_batch"), F.sum(OP).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("m"))
@@ -40,26 +44,28 @@ def hottest(log: DataFrame, key: str) -> int:
     return max((r["count"] for r in found or []), default=0)
 
 
-def joined_versions(chain: FkChain, logs: dict[str, DataFrame], hot_rows: int = HOT_ROWS) -> DataFrame:
+def joined_versions(chain: FkChain, logs: dict[str, DataFrame], hot_rows: int = HOT_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """Join rows of the chain with the batches of their lives; foreign keys are the equi-join, overlap the rest.
 
-    Facts are dealt by their foreign key once, and netting, versions and the first join stay there, unless a key has more
+    Facts are dealt by their foreign key once, ``task_rows`` to a task, and netting, versions and the first join stay there, unless a key has more
     than ``hot_rows`` facts: then rows are netted where they fall by all of their columns, and the joins get exchanges of
     their own, which Spark splits at run time where a key is too large.  The last dimension is broadcast if it is small.
     """
     last = chain.rels[-1].name
-    even = hottest(logs[chain.fact.name], chain.fact.fk) <= hot_rows
+    even, parts = hottest(logs[chain.fact.name], chain.fact.fk) <= hot_rows, None
+    if even:  # sorts and sums take some tens of times the bytes of a shuffle, so rows are counted
+        parts = max(logs[r.name].count() for r in chain.rels[:2]) // task_rows + 1
 
     def step(left: DataFrame, pair) -> DataFrame:
         a, b = pair
-        right = row_versions(logs[b.name], b.key[0] if even and b.name != last else None)
+        right = row_versions(logs[b.name], b.key[0] if even and b.name != last else None, parts if a is chain.fact else None)
         # each change of the log makes one version at most
         right = (small(right, logs[b.name]) if b.name == last else right).withColumnsRenamed({"from_batch": "_from", "to_batch": "_to", "m": "_m"})
         meet = on_keys(a.fk, b.key[0]) & (F.greatest("from_batch", "_from") < F.least("to_batch", "_to"))
         both = left.join(right, meet)
         return both.withColumns({"from_batch": F.greatest("from_batch", "_from"), "to_batch": F.least("to_batch", "_to"), "m": F.col("m") * F.col("_m")}).drop("_from", "_to", "_m")
 
-    return reduce(step, chain.pairs(), row_versions(logs[chain.fact.name], chain.fact.fk if even else None))
+    return reduce(step, chain.pairs(), row_versions(logs[chain.fact.name], chain.fact.fk if even else None, parts))
 
 
 def signed(v: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,6 +80,12 @@ def join_deltas(chain: FkChain, logs: dict[str, DataFrame], hot_rows: int = HOT_
     return net_changes(signed(v, [c for c in v.columns if c not in ("from_batch", "to_batch", "m")]))
 
 
+def narrowed(chain: FkChain, logs: dict[str, DataFrame], measured: list[str]) -> dict[str, DataFrame]:
+    """The changelogs with keys and measured columns alone: sums over join deltas need no others, as weights add up."""
+    columns = lambda r: dict.fromkeys([*(measured if r is chain.fact else r.key), *([r.fk] if r.fk else [])])
+    return {r.name: logs[r.name].select(*columns(r), OP, BATCH) for r in chain.rels}
+
+
 def signed_groups(chain: FkChain, logs: dict[str, DataFrame]) -> DataFrame:
     """``group key, revenue, cnt``: the view after a whole changelog, from keys and measures alone.
 
