@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import written
 from .tables import tbl_schema
 
 #: Order of a bulk load, from the last dimension to the fact table.
@@ -56,26 +57,28 @@ def numbered_lines(spark: SparkSession, files: list[tuple[str, int]], root: str
         raise ValueError("files of one name can't be told apart")
     text = spark.read.text(root, lineSep="\n", recursiveFileLookup=True) if root else spark.read.text([p for p, _ in files], lineSep="\n")
     of = F.create_map(*[F.lit(x) for pair in batches.items() for x in pair])
-    return numbered(located(text).withColumn("batch", F.coalesce(F.try_element_at(of, _name(0)), F.try_element_at(of, _name(1))).cast("long")))
+    return numbered(located(text), batch=F.coalesce(F.try_element_at(of, _name(0)), F.try_element_at(of, _name(1))).cast("long"))
 
 
 def located(text: DataFrame) -> DataFrame:
     """``file, block, line``: the lines of a text scan that aren't blank, with the split that they are read in."""
-    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"))
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.when(F.col("value").contains("\r"), F.regexp_replace("value", "\r$", "")).otherwise(F.col("value")).alias("line"))
     return lines.where(F.trim("line") != "")
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """Located lines with ``n``, from 1 within their file.
+def numbered(lines: DataFrame, **of_file: Column) -> DataFrame:
+    """Located lines with ``n``, from 1 within their file, and columns made from the file's name, once per split.
 
-    Numbers come from the counts of the splits before a line's own, whose rows a task holds in order.
+    A split is read in order by one task, so the lines are written once with their places in their tasks, and a number is
+    that place moved by the counts of the splits before: no line is shuffled or sorted.
     """
     split = ["file", "block"]
-    placed = lines.withColumn("_id", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(Window.partitionBy(*split).orderBy("_id")))
-    sizes = lines.groupBy(*split).agg(F.count("*").alias("_size"))
+    placed = written(lines.withColumn("_id", F.monotonically_increasing_id()), "lines")
+    sizes = placed.groupBy(*split).agg(F.count("*").alias("_size"), F.min("_id").alias("_first"))
     before = F.sum("_size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(*split, F.coalesce(before, F.lit(0)).alias("_before"))
-    return placed.join(starts, split).select("file", "block", "line", (F.col("_before") + F.col("_n")).alias("n"), *[c for c in lines.columns if c not in ("file", "block", "line")])
+    # a row per split
+    starts = F.broadcast(sizes.select(*split, (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"), *[c.alias(n) for n, c in of_file.items()]))
+    return placed.join(starts, split).select(*lines.columns, (F.col("_shift") + F.col("_id")).alias("n"), *of_file)
 
 
 #: Update files, or folders of part files, by name: relation and number of the set.
@@ -92,7 +95,7 @@ def update_lines(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 def changelogs_of(lines: DataFrame) -> dict[str, DataFrame]:
     """A micro-batch of ``update_lines`` as a changelog per relation; ``batch`` is the number of the set."""
-    rows = numbered(lines.select("*", F.regexp_extract("file", SET_NAME, 1).alias("relation"), F.regexp_extract("file", SET_NAME, 2).cast("long").alias("batch")))
+    rows = numbered(lines, relation=F.regexp_extract("file", SET_NAME, 1), batch=F.regexp_extract("file", SET_NAME, 2).cast("long"))
     return {r: paired(rows.where(F.col("relation") == r), r) for r in ("orders", "lineitem")}
 
 
