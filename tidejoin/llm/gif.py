@@ -388,23 +388,40 @@ def tones(rgba: np.ndarray) -> np.ndarray:
 FRAMES = "frame int, start_ms long, delay_ms long, width int, height int, rgba binary, histogram array<int>"
 
 
-def frame_table(media: DataFrame, key: str, value: str) -> DataFrame:
-    """A row per timed frame of the GIFs in a binary column, with the rendered canvas and its colour histogram; a key with
-    the name of one of these columns is called ``key_<name>``."""
-    kind, names = media.select(key).schema[0].dataType.simpleString(), [x.split()[0] for x in FRAMES.split(", ")]
+def frame_table(media: DataFrame, key: str, value: str, canvas: bool = True) -> DataFrame:
+    """A row per timed frame of the GIFs in a binary column, with the rendered canvas, if wanted, and its colour histogram;
+    a key with the name of one of these columns is called ``key_<name>``."""
+    kind, fields = media.select(key).schema[0].dataType.simpleString(), [x for x in FRAMES.split(", ") if canvas or not x.startswith("rgba")]
+    names = [x.split()[0] for x in FRAMES.split(", ")]
     out = f"key_{key}" if key in names else key
+    names = [x.split()[0] for x in fields]
+
+    def read(values: list[bytes]) -> list[tuple[int, int, list[Frame]] | None]:
+        try:
+            return parse_all(values)
+        except ValueError:  # those that are no GIFs have no rows
+            return [None] if len(values) == 1 else [x for v in values for x in read([v])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, data in zip(batch.column(0), batch.column(1), strict=True):
-                try:
-                    width, height, frames = parse(data.as_py() or b"")
-                    for n, (start, delay, rgba) in enumerate(rendered(width, height, frames)):
-                        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], k.type), pa.array([n], pa.int32()), pa.array([start]), pa.array([delay]), pa.array([width], pa.int32()), pa.array([height], pa.int32()), pa.array([rgba.tobytes()]), pa.array([histogram(rgba)], pa.list_(pa.int32()))], [out, *names])
-                except ValueError:
-                    continue
-
-    return media.select(key, value).mapInArrow(lean(run), f"`{out}` {kind}, {FRAMES}")
+            for part in slices(batch, value, 1 << 20):
+                for k, found in zip(part.column(0), read([v.as_py() or b"" for v in part.column(1)]), strict=True):
+                    if found is None or found[0] * found[1] > MOST_PIXELS:
+                        continue
+                    width, height, frames = found
+                    delays, at = np.array([10 * f.delay for f in frames], np.int64), 0
+                    starts = delays.cumsum() - delays
+                    for stack in canvases(width, height, frames):
+                        n = len(stack)
+                        place = bins(stack).reshape(n, -1) + 64 * np.arange(n)[:, None]
+                        counts = np.bincount(place[stack[..., 3].reshape(n, -1) > 0], minlength=64 * n).astype(np.int32)
+                        columns = [pa.array([k.as_py()] * n, k.type), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(starts[at : at + n]), pa.array(delays[at : at + n]), pa.array(np.full(n, width, np.int32)), pa.array(np.full(n, height, np.int32))]
+                        columns += [pa.array([c.tobytes() for c in stack], pa.binary())] if canvas else []
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * n + 1, 64, dtype=np.int32)), pa.array(counts))
+                        yield pa.RecordBatch.from_arrays([*columns, lists], [out, *names])
+                        at += n
+
+    return media.select(key, value).mapInArrow(lean(run), f"`{out}` {kind}, {', '.join(fields)}")
 
 
 def padded(text: str | None) -> bytes:

@@ -72,7 +72,7 @@ def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The timed frames of all texts as animations, with the colour histogram of each rendered frame."""
     media = animations(table(spark, sf_dir, "documents"))
-    return frame_table(media, "doc_id", "media").select("doc_id", "frame", "start_ms", "delay_ms", "width", "height", F.array_join(F.col("histogram").cast("array<string>"), ",").alias("histogram"))
+    return frame_table(media, "doc_id", "media", canvas=False).select("doc_id", "frame", "start_ms", "delay_ms", "width", "height", F.array_join(F.col("histogram").cast("array<string>"), ",").alias("histogram"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
