@@ -95,7 +95,8 @@ def update_lines(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 def changelogs_of(lines: DataFrame) -> dict[str, DataFrame]:
     """A micro-batch of ``update_lines`` as a changelog per relation; ``batch`` is the number of the set."""
-    rows = numbered(lines, relation=F.regexp_extract("file", SET_NAME, 1), batch=F.regexp_extract("file", SET_NAME, 2).cast("long"))
+    # the relation stands in each line's row, so that no later filter parses lines of the other before it is asked
+    rows = numbered(lines.select("*", F.regexp_extract("file", SET_NAME, 1).alias("relation")), batch=F.regexp_extract("file", SET_NAME, 2).cast("long"))
     return {r: paired(rows.where(F.col("relation") == r), r) for r in ("orders", "lineitem")}
 
 
