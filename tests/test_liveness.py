@@ -34,6 +34,31 @@ def test_events_of_random_changelogs(spark, monkeypatch):
     assert total > 20
 
 
+def test_batches_one_by_one_give_the_same_events(spark):
+    logs = filtered_logs(CHAIN, as_logs(spark, random_changes(5, 4)))
+    kept, steps = liveness.Liveness(PLAIN, {n: log.drop("op", "batch") for n, log in logs.items()}), []
+    for b in range(4):
+        change = {n: log.where(f"batch = {b}").withColumn("w", F.col("op").cast("long")).drop("op", "batch") for n, log in logs.items()}
+        steps += [(n, *r, b) for n, df in kept.apply(change).items() for r in df.collect()]
+    found = liveness.liveness_deltas(PLAIN, logs, 3)
+    assert len(steps) > 20 and sorted(map(str, steps)) == sorted(str((n, *r)) for n, df in found.items() for r in df.collect())
+
+
+def test_a_changelog_takes_no_jobs_per_batch(spark):
+    logs, jobs = filtered_logs(CHAIN, as_logs(spark, random_changes(6, 4))), []
+    for last in (1, 3):
+        spark.sparkContext.setJobGroup(f"liveness-{last}", "")
+        liveness.liveness_deltas(PLAIN, logs, last)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"liveness-{last}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] > 4 and jobs[1] <= jobs[0] + 8
+
+
+def test_a_key_lives_while_its_counter_is_above_zero(spark):
+    rows = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (1, -1, 2), (1, -1, 4), (1, 1, 6), (None, 1, 0)], "k long, change int, batch long")
+    assert sorted((r._key, r._from, r._to) for r in liveness.key_lives(rows, "k").collect()) == [(1, 0, 4), (1, 6, liveness.FOREVER)]
+
+
 def weighted(df, w=1):
     return df.withColumn("w", F.lit(w).cast("long"))
 

@@ -6,11 +6,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.chain import FkChain
 from ..sources.shared import written
 from .changelog import BATCH, OP, data_columns
 from .fk_join import on_keys
+from .replay import FOREVER, TASK_ROWS, row_versions, signed
 
 
 def live(chain: FkChain, rels: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -158,17 +160,42 @@ def summed(parts: list[DataFrame], value: str) -> list[DataFrame]:
 
 
 def liveness_deltas(chain: FkChain, logs: dict[str, DataFrame], last_batch: int) -> dict[str, DataFrame]:
-    """``row, batch, change`` of each relation for all batches of a changelog, one after the other; written tables."""
-    kept, out = Liveness(chain, {n: log.select(*data_columns(log)) for n, log in logs.items()}), {}
-    here = {(n, r[BATCH]) for n, log in logs.items() for r in log.select(BATCH).distinct().collect()}
-    for b in range(last_batch + 1):
-        change = {n: log.where(F.col(BATCH) == b).select(*data_columns(log), F.col(OP).cast("long").alias("w")) for n, log in logs.items() if (n, b) in here}
-        for name, found in kept.apply(change).items():
-            found = found.withColumn(BATCH, F.lit(b).cast("long"))
-            out[name] = out[name].unionByName(found) if name in out else found
+    """``row, batch, change`` of each relation for the batches of a bounded changelog, all at once; written tables.
+
+    The counters are the same as those of ``Liveness``, but a key's whole life comes from one sum over the batches: the
+    rows that refer to it live where their own weight and its counter are above zero together.  Rows whose key never lives
+    go before anything is netted, and no job is run per batch.  Relations without any change are left out.
+    """
+    out, alive = {}, None
+    for rel in reversed(chain.rels):
+        log, columns = logs[rel.name].where(F.col(BATCH).between(0, last_batch)), data_columns(logs[rel.name])
+        if alive is not None:
+            log = written(log.join(alive.select(F.col("_key").alias(rel.fk)), rel.fk, "left_semi").select(*columns, OP, BATCH), "near")
+        # dealt by whole rows, so many to a task: a key that many rows refer to makes no large task
+        v = row_versions(log.repartition(log.count() // TASK_ROWS + 1, *columns)).where("m > 0").drop("m")
+        if alive is not None:
+            v = v.join(alive, on_keys(rel.fk, "_key") & (F.greatest("from_batch", "_from") < F.least("to_batch", "_to")))
+            v = v.withColumns({"from_batch": F.greatest("from_batch", "_from"), "to_batch": F.least("to_batch", "_to")})
+        # lives that follow each other cancel where they meet
+        ends = signed(v.withColumn("m", F.lit(1)), columns)
+        found = written(ends.groupBy(*columns, BATCH).agg(F.sum(OP).cast("int").alias("change")).where("change <> 0").select(*columns, "change", BATCH), "liveness")
+        if found.isEmpty():
+            break
+        out[rel.name] = found
+        alive = written(key_lives(found, rel.key[0]), "alive") if rel is not chain.fact else None
     return out
 
 
+def key_lives(found: DataFrame, key: str) -> DataFrame:
+    """``_key, _from, _to``: the spans of batches in which the counter of a key's live rows is above zero."""
+    n = found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"), BATCH).agg(F.sum("change").alias("n"))
+    w = Window.partitionBy("_key").orderBy(BATCH)
+    sums = n.select("_key", BATCH, "n", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("sum"))
+    crossed = sums.where((F.col("sum") > 0) != (F.col("sum") - F.col("n") > 0))
+    spans = crossed.select("_key", F.col(BATCH).alias("_from"), F.coalesce(F.lead(BATCH).over(w), F.lit(FOREVER)).alias("_to"), "sum")
+    return spans.where("sum > 0").drop("sum")
+
+
 def liveness_changes(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     """``key, change``: +1 for keys that became live between two states, -1 for those that no longer are."""
     a, b = (df.select(*key).distinct() for df in (before, after))
