@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.chain import FkChain
+from ..sources.shared import written
 from .changelog import OP, data_columns
 from .fk_join import is_small, on_keys
 
@@ -38,12 +40,30 @@ def product_join(chain: FkChain, sides: dict[str, DataFrame], start: int = 0, fe
 
 
 def delta_terms(chain: FkChain, old: dict[str, DataFrame], change: dict[str, DataFrame]) -> list[DataFrame]:
-    """One term per relation that changes: its changes, joined with the old state of the relations before it and the new
-    state of those after it.  Retractions so use the old dimension rows; a relation that isn't in ``change`` has no term."""
+    """At most two terms: the fact table's own changes, joined with the new state of the others, and its old state, joined
+    once with the net changes of the chain after it; those come the same way, from the last dimension on.  Retractions so use
+    the old dimension rows; a relation that isn't in ``change`` has no term.
+
+    The net changes of each part of the chain are written, so that Spark knows how few they are before it plans the join
+    with a whole state: that isn't shuffled to meet a few rows.
+    """
     new = {n: old[n].unionByName(change[n]) if n in change else old[n] for n in old}
-    names = [r.name for r in chain.rels]
-    few = is_small(new[names[-1]])  # it holds the old rows and the changes, so it bounds the sides of all terms
-    return [product_join(chain, {**{n: old[n] for n in names[:i]}, names[i]: change[names[i]], **{n: new[n] for n in names[i + 1 :]}}, i, few) for i in range(len(names)) if names[i] in change]
+    few = is_small(new[chain.rels[-1].name])  # it holds the old rows and the changes, so it bounds the sides of all terms
+    net, terms = None, []
+    for i in reversed(range(len(chain.rels))):
+        rel, part = chain.rels[i], replace(chain, rels=chain.rels[i:])
+        terms = [product_join(part, {**new, rel.name: change[rel.name]}, 0, few)] if rel.name in change else []
+        if net is not None:
+            terms.append(old[rel.name].join(net.withColumnRenamed(WEIGHT, "_w"), on_keys(rel.fk, chain.rels[i + 1].key[0])).withColumn(WEIGHT, F.col(WEIGHT) * F.col("_w")).drop("_w"))
+        if terms and i:
+            net = written(netted(terms), "net")
+            net = None if net.isEmpty() else net
+    return terms
+
+
+def netted(terms: list[DataFrame]) -> DataFrame:
+    every = reduce(DataFrame.unionByName, terms)
+    return every.groupBy(*[c for c in every.columns if c != WEIGHT]).agg(F.sum(WEIGHT).alias(WEIGHT)).where(F.col(WEIGHT) != 0)
 
 
 def delta_join(chain: FkChain, old: dict[str, DataFrame], change: dict[str, DataFrame]) -> DataFrame:
@@ -51,9 +71,10 @@ def delta_join(chain: FkChain, old: dict[str, DataFrame], change: dict[str, Data
 
     States need not be consolidated: joins are linear in the weights.
     """
-    every = reduce(DataFrame.unionByName, delta_terms(chain, old, change))
-    columns = [c for c in every.columns if c != WEIGHT]
-    return every.groupBy(*columns).agg(F.sum(WEIGHT).alias(OP)).where(F.col(OP) != 0)
+    terms = delta_terms(chain, old, change)
+    if not terms:  # nothing reached the fact table
+        terms = [product_join(chain, {**old, chain.rels[0].name: old[chain.rels[0].name].limit(0)}, 0, True)]
+    return netted(terms).withColumnRenamed(WEIGHT, OP)
 
 
 def weighted(log: DataFrame) -> DataFrame:
