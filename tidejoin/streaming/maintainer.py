@@ -49,24 +49,22 @@ class Maintainer:
         store, chain = self.store, self.chain
         if store.last() >= batch_id:
             return
-        batch, change = batch.persist(), {}
-        try:
-            touched = store.touched(batch)
-            for rel in chain.rels:  # a relation that doesn't change costs no write, read or join term
-                if rel.name in touched:
-                    rows = rel.rows(unmixed(batch, rel.name), (OP,))
-                    change[rel.name] = rows.groupBy(*data_columns(rows)).agg(F.sum(OP).cast("long").alias(WEIGHT)).where(F.col(WEIGHT) != 0).persist()
-            store.append(change, batch_id)
-            n, deltas = Observation(), None
-            if change:
-                net = delta_join(chain, self.old_state(touched, batch_id), change)
-                deltas = store.write(net.observe(n, F.coalesce(F.sum(F.abs(OP)), F.lit(0)).alias("n")), "deltas", batch_id)
-                store.write(group_changes(chain, deltas.withColumn("batch", F.lit(batch_id)), by_batch=False), "view", batch_id)
-            store.commit(batch_id, n.get["n"] if change else 0)
-        finally:
-            for rows in change.values():
-                rows.unpersist()
-            batch.unpersist()
+        # a stream counts its rows as often as they are read, so they are read once
+        batch = store.write(batch, "incoming", batch_id)
+        touched, change = store.touched(batch), {}
+        for rel in chain.rels:  # a relation that doesn't change costs no write, read or join term
+            if rel.name in touched:
+                rows = rel.rows(unmixed(batch, rel.name), (OP,))
+                change[rel.name] = rows.groupBy(*data_columns(rows)).agg(F.sum(OP).cast("long").alias(WEIGHT)).where(F.col(WEIGHT) != 0)
+        store.append(change, batch_id)
+        n, deltas = Observation(), None
+        if change:
+            # read back where they lie: no executor keeps them in memory, and their size is known to the joins
+            net = delta_join(chain, self.old_state(touched, batch_id), {name: store.changes(name, batch_id) for name in change})
+            deltas = store.write(net.observe(n, F.coalesce(F.sum(F.abs(OP)), F.lit(0)).alias("n")), "deltas", batch_id)
+            store.write(group_changes(chain, deltas.withColumn("batch", F.lit(batch_id)), by_batch=False), "view", batch_id)
+        store.commit(batch_id, n.get["n"] if change else 0)
+        store.drop("incoming", batch_id)
         if self.sink and self.policy is not Policy.JOB_END:
             before = self.ranking(batch_id - 1) if self.policy is Policy.ON_CHANGE else None
             if before != self.ranking(batch_id):

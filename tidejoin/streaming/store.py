@@ -5,6 +5,7 @@ Layout below the store's path::
     state/<relation>/v=<batch>/bucket=<b>/   weighted rows that batch changed
     deltas/v=<batch>/                        signed join rows of the batch
     view/v=<batch>/                          signed sums per group of the batch
+    incoming/v=<batch>/                      the batch as it came, until its commit
     schemas/                                 the columns of each relation's state, written with the seed
     commits/v=<batch>                        written last, a file with the number of deltas: the batch counts from then on
     bases/v=<batch>/                         state and view summed up to that batch, with a file ``whole`` when complete
@@ -129,6 +130,11 @@ class Store:
             df = df.where(F.col("bucket").isin(own)) if own else df.where(F.lit(False))
         return df.drop("v", "bucket")
 
+    def changes(self, name: str, version: int) -> DataFrame:
+        """The weighted rows that one version changed."""
+        plain = T.StructType([f for f in self.schema(name).fields if f.name not in ("v", "bucket")])
+        return self.spark.read.schema(plain).option("recursiveFileLookup", True).parquet(f"{self.path}/state/{name}/v={version}")
+
     def _versions(self, kind: str, upto: int, schema: T.StructType) -> DataFrame:
         """The newest base up to a version and the changes since then; ``v`` is the folder's."""
         base = max((v for v in self.names("bases") if v <= upto and self._exists(f"bases/v={v}/whole")), default=None)
@@ -150,6 +156,9 @@ class Store:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, kind: str, version: int) -> None:
+        self._delete(f"{kind}/v={version}")
+
     def view_changes(self, upto: int) -> DataFrame:
         """The unsummed view of all versions up to one."""
         if self._view is None:
