@@ -5,6 +5,8 @@ A changelog has the columns of its relation, ``op`` (+1 or -1), and ``batch``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,6 +83,8 @@ def numbered(lines: DataFrame, **of_file: Column) -> DataFrame:
     return placed.join(starts, split).select(*lines.columns, (F.col("_shift") + F.col("_id")).alias("n"), *of_file)
 
 
+#: Relations that have update files.
+RELATIONS = ("orders", "lineitem")
 #: Update files, or folders of part files, by name: relation and number of the set.
 SET_NAME = r"/(orders|lineitem)\.tbl\.u([0-9]+)(?:/[^/]*)?$"
 
@@ -93,11 +97,38 @@ def update_lines(spark: SparkSession, path: str, files_per_trigger: int | None =
     return located(reader.load(f"{path}/*.tbl.u*"))
 
 
-def changelogs_of(lines: DataFrame) -> dict[str, DataFrame]:
-    """A micro-batch of ``update_lines`` as a changelog per relation; ``batch`` is the number of the set."""
+def changelogs_of(lines: DataFrame, wanted: dict[str, Callable[[], Column] | None] | None = None) -> dict[str, DataFrame]:
+    """A micro-batch of ``update_lines`` as a changelog per relation; ``batch`` is the number of the set.
+
+    ``wanted``: filters of relations, that are asked again later.  A line that fails its filter is counted, but neither its
+    text nor its relation is found and written.
+    """
     # the relation stands in each line's row, so that no later filter parses lines of the other before it is asked
-    rows = numbered(lines.select("*", F.regexp_extract("file", SET_NAME, 1).alias("relation")), batch=F.regexp_extract("file", SET_NAME, 2).cast("long"))
-    return {r: paired(rows.where(F.col("relation") == r), r) for r in ("orders", "lineitem")}
+    kept = {"line": F.col("line"), "relation": F.regexp_extract("file", SET_NAME, 1)}
+    named = unfailed(lines, wanted or {}).select("file", "block", *[F.when(F.col("keep"), c).alias(n) for n, c in kept.items()])
+    rows = numbered(named, batch=F.regexp_extract("file", SET_NAME, 2).cast("long")).where("line is not null")
+    return {r: paired(rows.where(F.col("relation") == r), r) for r in RELATIONS}
+
+
+def unfailed(lines: DataFrame, wanted: dict[str, Callable[[], Column] | None]) -> DataFrame:
+    """Located lines with ``keep``: false if the filter of the line's relation surely drops it.
+
+    It raises no error: a field that is missing or bad, or a path that names both relations, keeps the line for a stricter
+    look.  Only the filters' columns are parsed, without splitting the line.
+    """
+    # each step is a projection of its own, so that nothing is computed twice; columns that no filter asks for go
+    named = lines.withColumns({f"_{r}": F.col("file").contains(f"/{r}.tbl.u") for r in RELATIONS})
+    passes = F.lit(None).cast("boolean")
+    upto, fields = {}, {}
+    for r in RELATIONS:
+        if (where := wanted.get(r)) is not None:
+            own = reduce(lambda a, b: a & b, [F.col(f"_{n}") if n == r else ~F.col(f"_{n}") for n in RELATIONS])
+            for i, f in enumerate(tbl_schema(r)):
+                upto[f"_{f.name}"] = F.when(own, F.substring_index("line", "|", i + 1))
+                whole = F.octet_length(f"_{f.name}") < F.octet_length("line")
+                fields[f.name] = F.when(whole, F.substring_index(f"_{f.name}", "|", -1)).try_cast(f.dataType)
+            passes = F.when(own, where()).otherwise(passes)
+    return named.withColumns(upto).withColumns(fields).select(*lines.columns, F.coalesce(passes, F.lit(True)).alias("keep"))
 
 
 def update_sets(spark: SparkSession, path: str, relations: tuple[str, ...] = ("orders", "lineitem"), first_batch: int = len(LOAD_ORDER), layout: str = "pairs", tables: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:

@@ -138,8 +138,10 @@ def start_updates(spark: SparkSession, path: str, chain: FkChain, maintainer: Ma
     """A query over raw update files (DELETE and INSERT lines in turn) beside the tables; sets that come while it runs are
     applied when they come.  ``chain`` has the filters.  It ends with the files that are there, unless ``every`` is given."""
 
+    wanted = {r.name: r.where for r in chain.rels}
+
     def sink(lines: DataFrame, batch_id: int) -> None:
-        maintainer.process(mixed(filtered_logs(chain, changelogs_of(lines))), batch_id)
+        maintainer.process(mixed(filtered_logs(chain, changelogs_of(lines, wanted))), batch_id)
 
     out = update_lines(spark, path, files_per_trigger).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return out.trigger(**({"processingTime": every} if every else {"availableNow": True})).start()

@@ -90,7 +90,8 @@ class Store:
         if self.names("commits"):
             return
         self.append({n: df.withColumn(WEIGHT, F.lit(1).cast("long")) for n, df in rels.items()}, SEED)
-        self.write(partial_view(self.chain, rels), "view", SEED)
+        # the view is made from what has been written: the tables are read, filtered and cast once
+        self.write(partial_view(self.chain, {n: self.changes(n, SEED).drop(WEIGHT) for n in rels}), "view", SEED)
         self.commit(SEED, 0)
 
     def _append(self, name: str, rows: DataFrame, version: int) -> None:
